@@ -23,10 +23,13 @@ def sample_key(id_col: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), col_of(id_col).cast("string")))
 
 
-def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
-    """exactly min(N, rows) rows: the first N in md5(seed:id) order (all rows when fewer)."""
+def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, plan: str = "auto") -> DataFrame:
+    """exactly min(N, rows) rows: the first N in md5(seed:id) order (all rows when fewer).
+
+    ``plan``: 'topn', 'histogram' or 'auto' (top-N up to ``TOP_N_PLAN_MAX`` rows).
+    """
     keyed = df.withColumn("_k", sample_key(id_col, seed))
-    if n <= TOP_N_PLAN_MAX:
+    if plan == "topn" or (plan == "auto" and n <= TOP_N_PLAN_MAX):
         return keyed.orderBy("_k").limit(n).drop("_k")
     # Large N: histogram of the first hex digits (<= 65,536 rows), cumulative count over it, then all
     # rows of the buckets before the cut plus the top rows of the cut bucket.

@@ -141,7 +141,7 @@ def fold_states(actions: Column, start: Column, trans: Column) -> Column:
     def step(acc: Column, a: Column) -> Column:
         k = _rule_key(acc["s"], a)
         go = acc["alive"] & F.map_contains_key(trans, k)
-        nxt = F.when(go, F.element_at(trans, k)).otherwise(acc["s"])
+        nxt = F.when(go, F.try_element_at(trans, k)).otherwise(acc["s"])
         return F.struct(nxt.alias("s"), go.alias("alive"), F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
                         F.when(go, F.concat(acc["states"], F.array(nxt))).otherwise(acc["states"]).alias("states"))
 
@@ -176,8 +176,8 @@ def valid_prefix_walk(long_form: DataFrame, starts: DataFrame, rules: DataFrame,
         ply += 1
         if max_plies is not None and ply > max_plies:
             break
-        nxt = (frontier.join(steps, (frontier.seq_id == steps.seq_id) & (steps.pos == frontier.pos + 1))
-               .select(frontier.seq_id, steps.pos, frontier.state, steps.action)
+        f = frontier.select("seq_id", (F.col("pos") + 1).alias("pos"), "state")
+        nxt = (f.join(steps, ["seq_id", "pos"])
                .join(r, ["state", "action"])
                .select("seq_id", "pos", F.col("next_state").alias("state")))
         nxt = nxt.checkpoint() if ply % checkpoint_every == 0 else nxt.persist()

@@ -170,8 +170,14 @@ def _order(names: tuple[str, ...]) -> list[str]:
     return seen
 
 
-def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """``WITH <views in dependency order>, <extra CTEs> <sql>``."""
+def with_views(sql: str, *names: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
+    """``WITH [RECURSIVE] <views in dependency order>, <extra CTEs> <sql>``."""
     parts = [f"{n} AS ({VIEWS[n][1].strip()})" for n in _order(names)]
     parts += [f"{k} AS ({v.strip()})" for k, v in (extra or {}).items()]
-    return ("WITH " + ",\n".join(parts) + "\n" + sql.strip()) if parts else sql.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(parts) + "\n" + sql.strip()) if parts else sql.strip()
+
+
+def lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
