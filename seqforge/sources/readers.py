@@ -50,9 +50,15 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType = EVAL_RECOR
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows without the corrupt column, bad rows with the raw text)."""
+    """(good rows without the corrupt column, bad rows with the raw text).
+
+    Spark refuses a raw-file query whose only column is the corrupt one (a bad-row count is such a
+    query), so the parsed rows are persisted once (memory, spilling to disk) and both sides read them.
+    """
+    from pyspark import StorageLevel
+    parsed = df.persist(StorageLevel.MEMORY_AND_DISK)
     bad = F.col(CORRUPT).isNotNull()
-    return df.where(~bad).drop(CORRUPT), df.where(bad).select(CORRUPT)
+    return parsed.where(~bad).drop(CORRUPT), parsed.where(bad)
 
 
 def scan_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
