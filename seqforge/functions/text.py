@@ -41,3 +41,14 @@ def hash32(salt: str, c: Column | str) -> Column:
 def joined(arr: Column | str, sep: str = " ") -> Column:
     """Text form of an array (for display, JSON sinks and oracle comparison)."""
     return F.array_join(F.transform(col_of(arr), lambda x: x.cast("string")), sep)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Catalyst inlines a projected alias into the lambda of a higher-order function, so an array
+    computed in one ``select`` and read inside ``transform`` in the next is recomputed per element.
+    Arguments of a higher-order function are evaluated once: ``aggregate`` over a one-element array
+    with ``value`` as its start value binds it, and the finish function uses it freely.
+    """
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: acc, body)

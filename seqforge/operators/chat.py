@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
-from seqforge.functions.text import col_of, ustrip
+from seqforge.functions.text import col_of, let, ustrip
 
 KNOWN_ROLES = ("system", "user", "assistant")
 
@@ -175,20 +175,25 @@ def game_conversation(actions: Column, states: Column, valid_len: Column, assist
         F.lit(fixed.GAME_SYSTEM.split("{user}")[1].split("{fen}")[0]),
         start_text,
         F.lit(fixed.GAME_SYSTEM.split("{fen}")[1])).alias("content"))
-    n = F.least(valid_len, F.size(actions))
-    mine = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                    lambda k: (k < n) & (F.pmod(k, F.lit(2)) == a_par))
-
-    def pair(k: Column) -> Column:
-        st = F.element_at(states, k + 1)
-        pos = F.concat(F.lit("Position: "), st.cast("string"), F.lit("\nLegal moves: "),
-                       F.array_join(candidates_of(st), " "))
-        opp = F.when(k > 0, F.concat(F.lit(fixed.MOVE_OPEN), F.element_at(actions, k), F.lit(fixed.MOVE_CLOSE + "\n\n")))
-        user = F.struct(F.lit("user").alias("role"), F.concat(F.coalesce(opp, F.lit("")), pos).alias("content"))
-        asst = F.struct(F.lit("assistant").alias("role"),
-                        F.concat(F.lit(fixed.MOVE_OPEN), F.element_at(actions, k + 1), F.lit(fixed.MOVE_CLOSE))
-                        .alias("content"))
-        return F.array(user, asst)
-
-    turns = F.flatten(F.transform(mine, pair))
-    return F.when((F.size(actions) >= 2) & (F.size(mine) > 0), F.concat(F.array(system), turns))
+    def body(v: Column) -> Column:
+        acts, sts = v["actions"], v["states"]
+        n = F.least(v["valid_len"], F.size(acts))
+        mine = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                        lambda k: (k < n) & (F.pmod(k, F.lit(2)) == a_par))
+
+        def pair(k: Column) -> Column:
+            st = F.element_at(sts, k + 1)
+            pos = F.concat(F.lit("Position: "), st.cast("string"), F.lit("\nLegal moves: "),
+                           F.array_join(candidates_of(st), " "))
+            opp = F.when(k > 0, F.concat(F.lit(fixed.MOVE_OPEN), F.element_at(acts, k), F.lit(fixed.MOVE_CLOSE + "\n\n")))
+            user = F.struct(F.lit("user").alias("role"), F.concat(F.coalesce(opp, F.lit("")), pos).alias("content"))
+            asst = F.struct(F.lit("assistant").alias("role"),
+                            F.concat(F.lit(fixed.MOVE_OPEN), F.element_at(acts, k + 1), F.lit(fixed.MOVE_CLOSE))
+                            .alias("content"))
+            return F.array(user, asst)
+
+        turns = F.flatten(F.transform(mine, pair))
+        return F.when((F.size(acts) >= 2) & (F.size(mine) > 0), F.concat(F.array(system), turns))
+
+    # The state replay is bound once; the per-ply lambdas read it without recomputing it.
+    return let(F.struct(actions.alias("actions"), states.alias("states"), valid_len.alias("valid_len")), body)

@@ -171,19 +171,23 @@ def valid_prefix_walk(long_form: DataFrame, starts: DataFrame, rules: DataFrame,
     r = rules.select(F.col("state"), F.col("action"), F.col("next_state"))
     frontier = starts.select("seq_id", F.lit(0).alias("pos"), F.col("start_state").alias("state"))
     reached = [frontier]
-    ply = 0
-    while True:
-        ply += 1
-        if max_plies is not None and ply > max_plies:
-            break
+    longest = steps.agg(F.max("pos")).first()[0] or 0     # one small aggregate bounds the loop
+    if max_plies is not None:
+        longest = min(longest, max_plies)
+    for ply in range(1, longest + 1):
         f = frontier.select("seq_id", (F.col("pos") + 1).alias("pos"), "state")
         nxt = (f.join(steps, ["seq_id", "pos"])
                .join(r, ["state", "action"])
                .select("seq_id", "pos", F.col("next_state").alias("state")))
-        nxt = nxt.checkpoint() if ply % checkpoint_every == 0 else nxt.persist()
-        if nxt.isEmpty():
-            break
-        reached.append(nxt)
+        if ply % checkpoint_every == 0:
+            # Cut the lineage (reliable checkpoint in the shared folder) and stop once no sequence is alive.
+            nxt = nxt.checkpoint()
+            reached.append(nxt)
+            if nxt.isEmpty():
+                break
+        else:
+            nxt = nxt.persist()
+            reached.append(nxt)
         frontier = nxt
     out = reached[0]
     for df in reached[1:]:

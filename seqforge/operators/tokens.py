@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqforge.functions.fixed import IGNORE_INDEX
-from seqforge.functions.text import col_of
+from seqforge.functions.text import col_of, let
 
 # Word pieces: runs of ASCII word characters, or one other non-space character.
 TOKEN_RE = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r]"
@@ -97,39 +97,57 @@ def pad_mask(ids: Column | str, max_length: int, pad_id: int = PAD_ID) -> Column
 
 
 def label_response(input_ids: Column | str, n_prompt: Column, n_response: Column, pad_id: int = PAD_ID) -> Column:
-    """T4: -100 outside [n_prompt, n_prompt+n_response); inside, the id unless it equals the pad id."""
-    return F.transform(col_of(input_ids), lambda x, i: F.when(
-        (i >= n_prompt) & (i < n_prompt + n_response) & (x != pad_id), x).otherwise(F.lit(IGNORE_INDEX)))
+    """T4: -100 outside [n_prompt, n_prompt+n_response); inside, the id unless it equals the pad id.
+
+    Built from slices (evaluated once), so the cost is linear in the length."""
+    ids = col_of(input_ids)
+
+    def body(v: Column) -> Column:
+        n, a, b = F.size(v["ids"]), v["a"], v["b"]
+        mid = F.transform(F.slice(v["ids"], a + 1, F.greatest(F.least(b, n) - a, F.lit(0))),
+                          lambda x: F.when(x != pad_id, x).otherwise(F.lit(IGNORE_INDEX)))
+        return F.concat(F.array_repeat(F.lit(IGNORE_INDEX), F.least(a, n)), mid,
+                        F.array_repeat(F.lit(IGNORE_INDEX), F.greatest(n - F.greatest(b, a), F.lit(0))))
+
+    return let(F.struct(ids.alias("ids"), n_prompt.cast("int").alias("a"), (n_prompt + n_response).cast("int").alias("b")),
+               body)
 
 
 def find_subsequence(seq: Column | str, sub: list[int] | Column) -> Column:
     """T5: all 0-based starts where ``sub`` occurs (overlaps allowed); [] when seq is shorter."""
-    s = col_of(seq)
-    m = F.lit(len(sub)) if isinstance(sub, list) else F.size(sub)
     subc = F.array(*[F.lit(v) for v in sub]) if isinstance(sub, list) else sub
-    starts = F.sequence(F.lit(0), F.size(s) - m)
-    return F.when(F.size(s) >= m, F.filter(starts, lambda i: F.slice(s, i + 1, m) == subc)).otherwise(
-        F.array().cast("array<int>"))
-
-
-def span_positions(seq: Column | str, marker: list[int]) -> Column:
-    """Positions covered by paired marker hits (0,1),(2,3)...: from one before the opener to one
-    after the closer's end, clipped to the sequence; an odd last hit is ignored."""
-    s = col_of(seq)
-    occ = find_subsequence(s, marker)
-    m = len(marker)
-    n_pairs = F.floor(F.size(occ) / 2).cast("int")
-    pair_idx = F.when(n_pairs > 0, F.sequence(F.lit(0), n_pairs - 1)).otherwise(F.array().cast("array<int>"))
-    spans = F.transform(pair_idx, lambda k: F.struct(
-        (F.element_at(occ, 2 * k + 1) - 1).alias("start"), (F.element_at(occ, 2 * k + 2) + m + 1).alias("end")))
-    return spans
-
-
-def label_spans(seq: Column | str, marker: list[int]) -> Column:
-    """labels = id inside a marker span, -100 elsewhere."""
-    spans = span_positions(seq, marker)
-    return F.transform(col_of(seq), lambda x, i: F.when(
-        F.exists(spans, lambda sp: (i >= sp["start"]) & (i < sp["end"])), x).otherwise(F.lit(IGNORE_INDEX)))
+
+    def body(v: Column) -> Column:
+        s, q = v["s"], v["q"]
+        m = F.size(q)
+        starts = F.sequence(F.lit(0), F.size(s) - m)
+        return F.when(F.size(s) >= m, F.filter(starts, lambda i: F.slice(s, i + 1, m) == q)).otherwise(
+            F.array().cast("array<int>"))
+
+    return let(F.struct(col_of(seq).alias("s"), subc.alias("q")), body)
+
+
+def span_positions(seq: Column | str, marker: list[int] | Column) -> Column:
+    """Spans covered by paired marker hits (0,1),(2,3)...: from one before the opener to one
+    after the closer's end (end exclusive); an odd last hit is ignored."""
+    m = F.lit(len(marker)) if isinstance(marker, list) else F.size(marker)
+
+    def body(occ: Column) -> Column:
+        opens = F.filter(occ, lambda x, i: i % 2 == 0)
+        closes = F.filter(occ, lambda x, i: i % 2 == 1)
+        pairs = F.slice(F.arrays_zip(opens.alias("o"), closes.alias("c")), 1, F.size(closes))
+        return F.transform(pairs, lambda p: F.struct((p["o"] - 1).alias("start"), (p["c"] + m + 1).alias("end")))
+
+    return let(find_subsequence(seq, marker), body)
+
+
+def label_spans(seq: Column | str, marker: list[int] | Column) -> Column:
+    """labels = id inside a marker span, -100 elsewhere (spans bound once, then one pass)."""
+    def body(v: Column) -> Column:
+        return F.transform(v["s"], lambda x, i: F.when(
+            F.exists(v["sp"], lambda sp: (i >= sp["start"]) & (i < sp["end"])), x).otherwise(F.lit(IGNORE_INDEX)))
+
+    return let(F.struct(col_of(seq).alias("s"), span_positions(seq, marker).alias("sp")), body)
 
 
 def pack_fixed(ids: Column | str, max_length: int, pad_id: int = PAD_ID) -> Column:

@@ -60,31 +60,32 @@ def v_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.concat(F.lit("s"), F.col("l_suppkey").cast("string")),
                           F.lower("l_returnflag"), F.lower("l_linestatus"),
                           F.concat(F.lit("q"), q.cast("int").cast("string")))
-    pv = F.struct(
+    item = F.struct(
+        F.col("l_returnflag").alias("flag"),
         F.col("l_linenumber").alias("k1"), F.col("l_partkey").alias("k2"), F.col("l_suppkey").alias("k3"),
         F.col("l_extendedprice").alias("k4"), q.alias("k5"), F.col("l_linestatus").alias("k6"),
         F.when(q < 45, F.floor("l_extendedprice").cast("int")).alias("cp"),
         F.when(q >= 45, (q - 47).cast("int")).alias("mate"),
         F.array_join(F.slice(line_tokens, 1, (F.lit(1) + hash32("l", F.col("l_partkey")) % 5).cast("int")),
                      " ").alias("line"))
-    per_flag = (li.groupBy("l_orderkey", "l_returnflag")
-                .agg(F.sort_array(F.collect_list(pv)).alias("pvs_sorted")))
+    # One shuffle: line items grouped per order (sorted by flag, then the pv order); the join with
+    # orders reuses that partitioning; evals are split per flag with array functions.
+    per_order = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    ev = per_flag.join(orders, per_flag.l_orderkey == orders.o_orderkey).select(
-        "o_orderkey",
-        F.struct(
-            F.col("l_returnflag").alias("k"),
-            ((F.col("o_orderkey") + F.ascii("l_returnflag")) % 40 + 10).cast("int").alias("depth"),
-            F.floor("o_totalprice").cast("bigint").alias("knodes"),
-            F.transform("pvs_sorted", lambda x: F.struct(x["cp"].alias("cp"), x["mate"].alias("mate"),
-                                                         x["line"].alias("line"))).alias("pvs")).alias("ev"))
-    rec = ev.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("ev")).alias("evs"))
+    rec = per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
+    flags = F.array_distinct(F.transform("items", lambda x: x["flag"]))
+
+    def ev(flag: Column) -> Column:
+        pvs = F.transform(F.filter("items", lambda x: x["flag"] == flag),
+                          lambda x: F.struct(x["cp"].alias("cp"), x["mate"].alias("mate"), x["line"].alias("line")))
+        return F.struct(((F.col("o_orderkey") + F.ascii(flag)) % 40 + 10).cast("int").alias("depth"),
+                        F.floor("o_totalprice").cast("bigint").alias("knodes"), pvs.alias("pvs"))
+
     return rec.select(
         F.col("o_orderkey").alias("rec_id"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(" "), side_letter("s", F.col("o_orderkey")),
                  F.lit(" - - 0 1")).alias("fen"),
-        F.transform("evs", lambda e: F.struct(e["depth"].alias("depth"), e["knodes"].alias("knodes"),
-                                              e["pvs"].alias("pvs"))).alias("evals"))
+        F.transform(flags, ev).alias("evals"))
 
 
 def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -414,16 +414,7 @@ def q_label_spans(spark, sf):
     """Labels on the move-tag spans of encoded completions (marker 'uci_move')."""
     vocab, enc = _comp_ids(spark, sf)
     m = enc.crossJoin(F.broadcast(_marker_ids(vocab, ["uci_move"])))   # one row
-    uci = F.element_at("marker", 1)
-    occ = F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.element_at("ids", i + 1) == uci)
-    occ = F.when(F.size("ids") > 0, occ).otherwise(F.array().cast("array<int>"))
-    n_pairs = F.floor(F.size(occ) / 2).cast("int")
-    spans = F.transform(F.when(n_pairs > 0, F.sequence(F.lit(0), n_pairs - 1)).otherwise(F.array().cast("array<int>")),
-                        lambda k: F.struct((F.element_at(occ, 2 * k + 1) - 1).alias("start"),
-                                           (F.element_at(occ, 2 * k + 2) + 2).alias("end")))
-    labels = F.transform("ids", lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["start"]) & (i < s["end"])), x)
-                         .otherwise(F.lit(fixed.IGNORE_INDEX)))
-    return m.select("completion_id", joined(labels, ",").alias("labels"))
+    return m.select("completion_id", joined(tokens.label_spans("ids", F.col("marker")), ",").alias("labels"))
 
 
 @register("pack_fixed", with_views(f"""
