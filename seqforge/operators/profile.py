@@ -80,16 +80,15 @@ def extract_report(seqs: DataFrame, checked: DataFrame, positions_per_seq: Colum
 
 def line_report(records: DataFrame, lines: DataFrame) -> DataFrame:
     """Records processed, valid lines, success %, line length and depth min/max/avg.
-    Empty input gives NULLs (the reference raises)."""
-    n_rec = records.agg(F.count("*").alias("records"))
+    Empty input gives NULLs (the reference raises). The record count is a scalar subquery."""
+    n_rec = records.agg(F.count("*")).scalar()
     n = F.size(ws_split("line"))
     s = lines.agg(F.count("*").alias("valid"), F.min(n).cast("bigint").alias("len_min"),
                   F.max(n).cast("bigint").alias("len_max"), F.round(F.avg(n), 1).alias("len_avg"),
                   F.min("depth").cast("bigint").alias("depth_min"), F.max("depth").cast("bigint").alias("depth_max"),
                   F.round(F.avg("depth"), 1).alias("depth_avg"))
-    j = n_rec.crossJoin(s)   # 1 x 1 row
-    return j.select("records", "valid",
-                    F.round(F.try_divide(F.col("valid") * 100.0, F.col("records")), 1).alias("success_pct"),
+    return s.select(n_rec.alias("records"), "valid",
+                    F.round(F.try_divide(F.col("valid") * 100.0, n_rec), 1).alias("success_pct"),
                     "len_min", "len_max", "len_avg", "depth_min", "depth_max", "depth_avg")
 
 
@@ -107,15 +106,23 @@ def stats_sidecar(puzzles: DataFrame, positions: DataFrame, failed: int | Column
     moves = puzzles.agg(F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"))
     hist = (puzzles.groupBy(n.alias("n_moves")).count()
             .agg(F.sort_array(F.collect_list(F.struct("n_moves", "count"))).alias("h")))
-    one = counts.crossJoin(pos).crossJoin(themes).crossJoin(buckets).crossJoin(moves).crossJoin(hist)  # 1-row joins
     failed_c = F.lit(failed) if isinstance(failed, int) else failed
-    return one.select(F.to_json(F.struct(
-        (F.col("successful") + failed_c).alias("total"), "total_positions", "successful", failed_c.alias("failed"),
-        F.map_from_entries(F.transform("top", lambda x: F.struct(x["t"], x["c"]))).alias("themes"),
-        F.map_from_entries(F.transform("b", lambda x: F.struct(x["bucket"].cast("string"), x["cnt"]))).alias("rating_buckets"),
-        F.struct("min", "max", "mean").alias("move_stats"),
-        F.map_from_entries(F.transform("h", lambda x: F.struct(x["n_moves"].cast("string"), x["count"])))
-        .alias("move_count_histogram"))).alias("stats_json"))
+    sc = lambda df, c: df.select(c).scalar()   # noqa: E731 - one-row aggregates as scalar subqueries
+    successful = sc(counts, "successful")
+    return spark_one_row(puzzles).select(F.to_json(F.struct(
+        (successful + failed_c).alias("total"), sc(pos, "total_positions").alias("total_positions"),
+        successful.alias("successful"), failed_c.alias("failed"),
+        F.map_from_entries(sc(themes.select(F.transform("top", lambda x: F.struct(x["t"], x["c"])).alias("x")), "x"))
+        .alias("themes"),
+        F.map_from_entries(sc(buckets.select(F.transform("b", lambda x: F.struct(x["bucket"].cast("string"), x["cnt"]))
+                                             .alias("x")), "x")).alias("rating_buckets"),
+        sc(moves.select(F.struct("min", "max", "mean").alias("x")), "x").alias("move_stats"),
+        F.map_from_entries(sc(hist.select(F.transform("h", lambda x: F.struct(x["n_moves"].cast("string"), x["count"]))
+                                          .alias("x")), "x")).alias("move_count_histogram"))).alias("stats_json"))
+
+
+def spark_one_row(df: DataFrame) -> DataFrame:
+    return df.sparkSession.range(1)
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:

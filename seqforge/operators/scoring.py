@@ -7,7 +7,7 @@ rewards are plain columns (``functions.rewards``); the value lookup is an equi-j
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
@@ -81,11 +81,13 @@ def total_reward(df: DataFrame) -> DataFrame:
 def group_advantage(df: DataFrame, group: str = "prompt_id", reward: str = "total_reward",
                     eps: float = fixed.ADVANTAGE_EPS) -> DataFrame:
     """(r - mean) / (std + eps) within the generations of one prompt; a one-row group has no
-    deviation and gets 0. The window is per prompt (a handful of generations)."""
-    w = Window.partitionBy(group)
-    mean, std = F.avg(reward).over(w), F.stddev_samp(reward).over(w)
-    adv = F.when(std.isNull() | F.isnan(std), F.lit(0.0)).otherwise((F.col(reward) - mean) / (std + F.lit(eps)))
-    return df.withColumn("advantage", adv)
+    deviation and gets 0. Group statistics are a partial aggregate joined back on the prompt key
+    (AQE splits a hot prompt on the large side), not a window that sorts a whole group in one task."""
+    stats = df.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"))
+    j = df.join(stats, group)
+    adv = F.when(F.col("_std").isNull() | F.isnan("_std"), F.lit(0.0)).otherwise(
+        (F.col(reward) - F.col("_mean")) / (F.col("_std") + F.lit(eps)))
+    return j.withColumn("advantage", adv).drop("_mean", "_std")
 
 
 def reward_report(df: DataFrame) -> DataFrame:

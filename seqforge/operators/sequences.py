@@ -94,14 +94,15 @@ def valid_prefix(long_form: DataFrame, pairs: DataFrame, start: str = "") -> Dat
     """E5(a): observable state. A step at ``pos`` is allowed when (previous action, action) is in
     ``pairs(prev, action)``; the prefix ends before the first step that is not.
 
-    Returns (seq_id, n_steps, valid_len). One window sort per sequence and one join; the join side
-    is the pair relation (tiny: broadcast by AQE when its measured size allows it).
+    Returns (seq_id, n_steps, valid_len). The previous action comes from an equi-join on
+    (seq_id, pos) - unique keys, so a huge sequence is spread over many tasks - and the result is a
+    partial aggregate per sequence. The pair relation is small (AQE broadcasts it when it is).
     """
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    steps = long_form.select("seq_id", "pos", "action",
-                             F.coalesce(F.lag("action").over(w), F.lit(start)).alias("prev"))
+    steps = long_form.select("seq_id", "pos", "action")
+    prev = steps.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("action").alias("prev"))
+    s = steps.join(prev, ["seq_id", "pos"], "left").withColumn("prev", F.coalesce("prev", F.lit(start)))
     allowed = pairs.select("prev", "action", F.lit(True).alias("ok")).dropDuplicates(["prev", "action"])
-    j = steps.join(allowed, ["prev", "action"], "left")
+    j = s.join(allowed, ["prev", "action"], "left")
     agg = j.groupBy("seq_id").agg(F.count("*").alias("n_steps"),
                                   F.min(F.when(F.col("ok").isNull(), F.col("pos"))).alias("first_bad"))
     return agg.select("seq_id", F.col("n_steps").cast("int"),
@@ -112,11 +113,9 @@ def _rule_key(state: Column, action: Column) -> Column:
     return F.concat_ws("\u0001", state.cast("string"), action)
 
 
-def rules_maps(rules: DataFrame, max_rules: int = MAX_FOLD_RULES) -> DataFrame:
-    """One-row DataFrame with the transition map and the candidate map (state -> sorted actions).
-
-    Its size is checked first: this row is broadcast to every task.
-    """
+def rules_maps(rules: DataFrame, max_rules: int = MAX_FOLD_RULES) -> tuple[Column, Column]:
+    """(transition map, candidate map state -> sorted actions) as scalar subqueries: computed once
+    and shipped to every task with the plan. The rules size is checked first."""
     n = rules.count()
     if n > max_rules:
         raise ValueError(f"rules has {n} rows > {max_rules}: use valid_prefix_walk")
@@ -125,11 +124,13 @@ def rules_maps(rules: DataFrame, max_rules: int = MAX_FOLD_RULES) -> DataFrame:
     cands = (candidate_actions(rules)
              .agg(F.map_from_entries(F.collect_list(F.struct(F.col("state").cast("string"), "candidates")))
                   .alias("cands")))
-    return trans.crossJoin(cands)   # 1 x 1 row
+    return trans.scalar(), cands.scalar()
 
 
 def with_rules_maps(seqs: DataFrame, rules: DataFrame, max_rules: int = MAX_FOLD_RULES) -> DataFrame:
-    return seqs.crossJoin(F.broadcast(rules_maps(rules, max_rules)))   # broadcast of one checked row
+    """Adds the ``trans`` and ``cands`` map columns (one value for all rows)."""
+    trans, cands = rules_maps(rules, max_rules)
+    return seqs.withColumn("trans", trans).withColumn("cands", cands)
 
 
 def fold_states(actions: Column, start: Column, trans: Column) -> Column:

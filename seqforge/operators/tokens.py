@@ -7,11 +7,12 @@ through ``encode_with`` (an Arrow-batched pandas UDF). T2-T8 are array expressio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions.fixed import IGNORE_INDEX
 from seqforge.functions.text import col_of, let
+from seqforge.operators.ordering import dense_index
 
 # Word pieces: runs of ASCII word characters, or one other non-space character.
 TOKEN_RE = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r]"
@@ -23,21 +24,6 @@ def pieces(text: Column | str) -> Column:
     return F.regexp_extract_all(col_of(text), F.lit(TOKEN_RE), 0)
 
 
-def dense_index(df: DataFrame, order: list[Column], start: int = 0, out: str = "id") -> DataFrame:
-    """Dense 0.. index in a total order without a single-partition window: range-partitioned sort,
-    per-partition counts (one row per partition), their prefix, then a row number inside each
-    partition."""
-    keyed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    counts = keyed.groupBy("_pid").agg(F.count("*").alias("_n"))
-    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # over #partitions rows
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off"))
-    within = Window.partitionBy("_pid").orderBy(*order)
-    return (keyed.withColumn("_rn", F.row_number().over(within))
-            .join(F.broadcast(offsets), "_pid")     # one row per partition
-            .withColumn(out, (F.col("_off") + F.col("_rn") - 1 + start).cast("int"))
-            .drop("_pid", "_rn", "_off"))
-
-
 def build_vocab(texts: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
     """(token, cnt, id); ids after the special ids, by (count desc, token asc)."""
     counts = (texts.select(F.explode(pieces(text_col)).alias("token"))

@@ -103,14 +103,12 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_seq_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered action sequences, long form (seq_id, pos, action): user x week of events, ordered by
-    (ts, event_id). Positions come from one sort per sequence (window), not from collecting."""
-    from pyspark.sql import Window
+    (ts, event_id). Positions are skew-safe (a huge sequence spans many tasks)."""
+    from seqforge.operators.ordering import group_positions
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("bigint")
-    e = e.withColumn("seq_id", F.col("user_id") * 10 + week)
-    w = Window.partitionBy("seq_id").orderBy("ts", "event_id")
-    return e.select("seq_id", F.row_number().over(w).cast("int").alias("pos"),
-                    F.col("event_type").alias("action"))
+    e = e.select((F.col("user_id") * 10 + week).alias("seq_id"), "ts", "event_id", F.col("event_type").alias("action"))
+    return group_positions(e, ["seq_id"], [F.col("ts"), F.col("event_id")]).select("seq_id", "pos", "action")
 
 
 def v_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,23 +121,23 @@ def v_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transition relation rules(state, action, next_state): states 0-6 x the action vocabulary of
-    events; next = (3*state + length(action)) % 7; pairs with (state + ascii(action)) % 11 = 0 are
-    not allowed. Unique per (state, action)."""
+    """Transition relation rules(state, action, next_state): states 0-6 for each action of the
+    events' vocabulary; next = (3*state + length(action)) % 7; pairs with
+    (state + ascii(action)) % 11 = 0 are not allowed. Unique per (state, action)."""
     acts = table(spark, sf_dir, "events").select(F.col("event_type").alias("action")).distinct()
-    states = spark.range(7).select(F.col("id").cast("int").alias("state"))
-    r = F.broadcast(states).join(acts, how="cross")   # 7 rows x |action vocabulary|
+    r = acts.select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("state"), "action")
     return (r.where((F.col("state") + F.ascii("action")) % 11 != 0)
             .select("state", "action", ((F.col("state") * 3 + F.length("action")) % 7).cast("int").alias("next_state")))
 
 
 def v_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observable-state rules: allowed (previous action, action) pairs; '' is the start."""
-    acts = table(spark, sf_dir, "events").select(F.col("event_type").alias("action")).distinct()
-    prev = acts.select(F.col("action").alias("prev")).union(
-        spark.range(1).select(F.lit("").alias("prev")))
-    p = F.broadcast(prev).join(acts, how="cross")
-    return p.where((F.length("prev") + F.ascii("action") * 2) % 9 != 0).select("prev", "action")
+    """Observable-state rules: allowed (previous action, action) pairs ('' is the start), taken from
+    the pairs that occur in the sequences and kept when (length(prev) + 2*ascii(action)) % 9 <> 0."""
+    lf = v_seq_long(spark, sf_dir)
+    prev = lf.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("action").alias("prev"))
+    p = (lf.join(prev, ["seq_id", "pos"], "left")
+         .select(F.coalesce("prev", F.lit("")).alias("prev"), "action").distinct())
+    return p.where((F.length("prev") + F.ascii("action") * 2) % 9 != 0)
 
 
 def v_comp(spark: SparkSession, sf_dir: str) -> DataFrame:

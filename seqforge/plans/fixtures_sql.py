@@ -98,11 +98,11 @@ FROM (SELECT range AS state FROM range(7)) s, (SELECT DISTINCT event_type AS act
 WHERE (s.state + ascii(a.action)) % 11 <> 0
 """)
 
-VIEWS["v_pairs"] = ((), """
-SELECT p.prev, a.action
-FROM (SELECT DISTINCT event_type AS prev FROM events UNION ALL SELECT '') p,
-     (SELECT DISTINCT event_type AS action FROM events) a
-WHERE (length(p.prev) + ascii(a.action) * 2) % 9 <> 0
+VIEWS["v_pairs"] = (("v_seq_long",), """
+SELECT prev, action FROM (
+  SELECT DISTINCT coalesce(p.action, '') AS prev, l.action
+  FROM v_seq_long l LEFT JOIN v_seq_long p ON p.seq_id = l.seq_id AND p.pos + 1 = l.pos)
+WHERE (length(prev) + ascii(action) * 2) % 9 <> 0
 """)
 
 VIEWS["v_comp"] = ((), f"""

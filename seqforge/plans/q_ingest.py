@@ -196,9 +196,8 @@ def q_rating_profile(spark, sf):
     "ORDER BY cnt DESC, theme LIMIT 20", "v_puz"))
 def q_top_tokens(spark, sf):
     p = v_puz(spark, sf)
-    n = p.agg(F.count("*").alias("n"))
-    top = profile.top_tokens(p.select(F.explode("themes").alias("theme")), 20, "theme")
-    return top.crossJoin(n).select("theme", "cnt", F.round(F.col("cnt") * 100.0 / F.col("n"), 1).alias("pct"))
+    n = p.agg(F.count("*")).scalar()
+    return profile.top_tokens(p.select(F.explode("themes").alias("theme")), 20, "theme", n)
 
 
 @register("length_profile", with_views(

@@ -384,7 +384,7 @@ def q_find_subsequence(spark, sf):
     """T5: every start of the 3-piece marker '</uci_move' in the encoded completions."""
     vocab, enc = _comp_ids(spark, sf)
     marker = _marker_ids(vocab, ["<", "/", "uci_move"])
-    j = enc.crossJoin(F.broadcast(marker))   # one row
+    j = enc.withColumn("marker", marker.scalar())   # one value, looked up once
     return j.select("completion_id", joined(tokens.find_subsequence("ids", F.col("marker")), ",").alias("positions"))
 
 
@@ -413,7 +413,7 @@ FROM ({_spans_sql(None)})
 def q_label_spans(spark, sf):
     """Labels on the move-tag spans of encoded completions (marker 'uci_move')."""
     vocab, enc = _comp_ids(spark, sf)
-    m = enc.crossJoin(F.broadcast(_marker_ids(vocab, ["uci_move"])))   # one row
+    m = enc.withColumn("marker", _marker_ids(vocab, ["uci_move"]).scalar())   # one value, looked up once
     return m.select("completion_id", joined(tokens.label_spans("ids", F.col("marker")), ",").alias("labels"))
 
 

@@ -7,10 +7,12 @@ after the scan (``partitions``), and a many-file input is preferred over one lar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqforge.operators.ordering import running_total
+
 MIB = 1024 * 1024
 
 PUZZLE_CSV_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in
@@ -81,23 +83,6 @@ def head_n(df: DataFrame, n: int, order: Column) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def running_total(df: DataFrame, order_col: str, size: Column, out: str = "running") -> DataFrame:
-    """Inclusive running sum of ``size`` in ``order_col`` order without one global window.
-
-    Two phases: a range-partitioned sort, per-partition totals (one row per partition), their
-    exclusive prefix (a window over #partitions rows), then a running sum inside each partition.
-    """
-    sorted_df = df.withColumn("_sz", size).repartitionByRange(order_col).sortWithinPartitions(order_col)
-    part = sorted_df.withColumn("_pid", F.spark_partition_id())
-    totals = part.groupBy("_pid").agg(F.sum("_sz").alias("_pt"))
-    w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # over #partitions rows
-    offsets = totals.select("_pid", F.coalesce(F.sum("_pt").over(w_all), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = part.withColumn("_run", F.sum("_sz").over(w_in))
-    return (within.join(F.broadcast(offsets), "_pid")     # one row per partition
-            .withColumn(out, F.col("_off") + F.col("_run")).drop("_pid", "_sz", "_run", "_off"))
-
-
 def byte_slice(df: DataFrame, order_col: str, record_bytes: Column, skip_mb: float = 0,
                target_mb: float = 500) -> DataFrame:
     """Records whose newline offset o (0-based, decompressed stream) is in [S, S+T), with S and T
