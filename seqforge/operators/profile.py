@@ -78,18 +78,18 @@ def extract_report(seqs: DataFrame, checked: DataFrame, positions_per_seq: Colum
                     .alias("positions_per_success"))
 
 
-def line_report(records: DataFrame, lines: DataFrame) -> DataFrame:
-    """Records processed, valid lines, success %, line length and depth min/max/avg.
-    Empty input gives NULLs (the reference raises). The record count is a scalar subquery."""
-    n_rec = records.agg(F.count("*")).scalar()
+def line_report(lines: DataFrame, valid: Column) -> DataFrame:
+    """Records processed, valid lines, success %, line length and depth min/max/avg over the
+    valid ones - one pass, one aggregate. ``lines`` has one row per parsed record (line NULL when
+    the path is missing). Empty input gives NULLs (the reference raises)."""
     n = F.size(ws_split("line"))
-    s = lines.agg(F.count("*").alias("valid"), F.min(n).cast("bigint").alias("len_min"),
-                  F.max(n).cast("bigint").alias("len_max"), F.round(F.avg(n), 1).alias("len_avg"),
-                  F.min("depth").cast("bigint").alias("depth_min"), F.max("depth").cast("bigint").alias("depth_max"),
-                  F.round(F.avg("depth"), 1).alias("depth_avg"))
-    return s.select(n_rec.alias("records"), "valid",
-                    F.round(F.try_divide(F.col("valid") * 100.0, n_rec), 1).alias("success_pct"),
-                    "len_min", "len_max", "len_avg", "depth_min", "depth_max", "depth_avg")
+    x = lines.select(valid.alias("_ok"), F.when(valid, n).alias("_n"), F.when(valid, F.col("depth")).alias("_d"))
+    s = x.agg(F.count("*").alias("records"), F.count_if("_ok").alias("valid"),
+              F.min("_n").cast("bigint").alias("len_min"), F.max("_n").cast("bigint").alias("len_max"),
+              F.round(F.avg("_n"), 1).alias("len_avg"), F.min("_d").cast("bigint").alias("depth_min"),
+              F.max("_d").cast("bigint").alias("depth_max"), F.round(F.avg("_d"), 1).alias("depth_avg"))
+    return s.select("records", "valid", F.round(F.try_divide(F.col("valid") * 100.0, F.col("records")), 1)
+                    .alias("success_pct"), "len_min", "len_max", "len_avg", "depth_min", "depth_max", "depth_avg")
 
 
 def stats_sidecar(puzzles: DataFrame, positions: DataFrame, failed: int | Column = 0, top_k: int = 50) -> DataFrame:

@@ -46,13 +46,17 @@ def explode_pvs(records: DataFrame, keep: tuple[str, ...] = ("rec_id",)) -> Data
 
 # ---- P5/P6: nested pick and minimum length -----------------------------------------------------
 
-def best_line(records: DataFrame) -> DataFrame:
-    """P5: first eval's first pv line; a missing path drops the row. Also depth and knodes (0 if absent)."""
+def best_line_all(records: DataFrame) -> DataFrame:
+    """P5 without the drop: first eval's first pv line (NULL when the path is missing)."""
     ev0 = F.get(F.col("evals"), 0)
     pv0 = F.get(ev0["pvs"], 0)
-    return (records.select("rec_id", "fen", pv0["line"].alias("line"), ev0["depth"].alias("depth"),
-                           F.coalesce(ev0["knodes"], F.lit(0).cast("bigint")).alias("knodes"))
-            .where(F.col("line").isNotNull()))
+    return records.select("rec_id", "fen", pv0["line"].alias("line"), ev0["depth"].alias("depth"),
+                          F.coalesce(ev0["knodes"], F.lit(0).cast("bigint")).alias("knodes"))
+
+
+def best_line(records: DataFrame) -> DataFrame:
+    """P5: first eval's first pv line; a missing path drops the row. Also depth and knodes (0 if absent)."""
+    return best_line_all(records).where(F.col("line").isNotNull())
 
 
 def min_len(df: DataFrame, n: int = 2, col: str = "line") -> DataFrame:
@@ -159,36 +163,31 @@ def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, max_rules: int = MAX_FO
 
 
 def valid_prefix_walk(long_form: DataFrame, starts: DataFrame, rules: DataFrame,
-                      checkpoint_every: int = 8, max_plies: int | None = None) -> DataFrame:
+                      max_plies: int | None = None) -> DataFrame:
     """E5(b): hidden state, any rules size. One equi-join per ply; finished sequences leave the
     frontier, so later plies touch only live sequences. Returns (seq_id, pos, state) for every
-    reached ply (pos 0 = start) plus the prefix length per sequence via :func:`walk_summary`.
+    reached ply (pos 0 = start); :func:`walk_summary` gives the prefix length per sequence.
 
-    ``long_form`` is (seq_id, pos from 1, action); ``starts`` is (seq_id, start_state).
+    ``long_form`` is (seq_id, pos from 1, action); ``starts`` is (seq_id, start_state). Each ply's
+    frontier is checkpointed into ``spark.checkpoint.dir``: the plan of the next ply is one join deep,
+    a lost executor recomputes one ply at most, and the loop stops when no sequence is alive.
     """
     spark = long_form.sparkSession
     checkpoint_dir(spark)
     steps = long_form.select("seq_id", "pos", "action").repartition("seq_id").persist()
     r = rules.select(F.col("state"), F.col("action"), F.col("next_state"))
-    frontier = starts.select("seq_id", F.lit(0).alias("pos"), F.col("start_state").alias("state"))
+    frontier = starts.select("seq_id", F.lit(0).alias("pos"), F.col("start_state").alias("state")).checkpoint()
     reached = [frontier]
-    longest = steps.agg(F.max("pos")).first()[0] or 0     # one small aggregate bounds the loop
-    if max_plies is not None:
-        longest = min(longest, max_plies)
-    for ply in range(1, longest + 1):
+    ply = 0
+    while max_plies is None or ply < max_plies:
+        ply += 1
         f = frontier.select("seq_id", (F.col("pos") + 1).alias("pos"), "state")
         nxt = (f.join(steps, ["seq_id", "pos"])
                .join(r, ["state", "action"])
-               .select("seq_id", "pos", F.col("next_state").alias("state")))
-        if ply % checkpoint_every == 0:
-            # Cut the lineage (reliable checkpoint in the shared folder) and stop once no sequence is alive.
-            nxt = nxt.checkpoint()
-            reached.append(nxt)
-            if nxt.isEmpty():
-                break
-        else:
-            nxt = nxt.persist()
-            reached.append(nxt)
+               .select("seq_id", "pos", F.col("next_state").alias("state"))).checkpoint()
+        if nxt.isEmpty():
+            break
+        reached.append(nxt)
         frontier = nxt
     out = reached[0]
     for df in reached[1:]:
@@ -197,7 +196,7 @@ def valid_prefix_walk(long_form: DataFrame, starts: DataFrame, rules: DataFrame,
 
 
 def walk_summary(reached: DataFrame, long_form: DataFrame) -> DataFrame:
-    """(seq_id, n_steps, valid_len) from the walk's reached plies."""
+    """(seq_id, n_steps, valid_len) from the walk's reached plies (pass the persisted long form)."""
     n = long_form.groupBy("seq_id").agg(F.count("*").cast("int").alias("n_steps"))
     v = reached.groupBy("seq_id").agg(F.max("pos").cast("int").alias("valid_len"))
     return n.join(v, "seq_id", "left").select("seq_id", "n_steps", F.coalesce("valid_len", F.lit(0)).alias("valid_len"))

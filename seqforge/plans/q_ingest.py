@@ -52,7 +52,9 @@ FROM (SELECT count(*) AS records FROM v_eval) r,
 
 @register("line_report", with_views(_LINE_REPORT_SQL, "v_eval"))
 def q_line_report(spark, sf):
-    return profile.line_report(fx.v_eval(spark, sf), v_best(spark, sf))
+    lines = sequences.best_line_all(fx.v_eval(spark, sf))
+    valid = F.col("line").isNotNull() & (F.size(ws_split("line")) >= 2)
+    return profile.line_report(lines, valid)
 
 
 _EVALS_SQL = """

@@ -59,8 +59,8 @@ def q_valid_prefix_fold(spark, sf):
 
 @register("valid_prefix_walk", _walk_sql(_WALK_RESULT_SQL))
 def q_valid_prefix_walk(spark, sf):
-    long_form = fx.v_seq_long(spark, sf)
-    starts = fx.v_seq(spark, sf).select("seq_id", "start_state")
+    long_form = fx.v_seq_long(spark, sf).persist()    # read by the walk, its starts and the summary
+    starts = long_form.select("seq_id").distinct().select("seq_id", F.lit(0).alias("start_state"))
     reached = sequences.valid_prefix_walk(long_form, starts, fx.v_rules(spark, sf))
     summary = sequences.walk_summary(reached, long_form)
     states = (reached.groupBy("seq_id")

@@ -34,7 +34,7 @@ def py_walk(actions):
 def test_fold_equals_walk_equals_python(spark):
     rules, seqs, long_form = _frames(spark)
     fold = {r["seq_id"]: (r["valid_len"], r["states"]) for r in sequences.valid_prefix_fold(seqs, rules).collect()}
-    reached = sequences.valid_prefix_walk(long_form, seqs.select("seq_id", "start_state"), rules, checkpoint_every=2)
+    reached = sequences.valid_prefix_walk(long_form, seqs.select("seq_id", "start_state"), rules)
     summ = {r["seq_id"]: r["valid_len"] for r in sequences.walk_summary(reached, long_form).collect()}
     walk_states = {}
     for r in reached.orderBy("seq_id", "pos").collect():
