@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from seqforge.plans import q_ingest, q_sequences, q_scoring, q_text  # noqa: F401
+    from seqforge.plans import q_examples, q_ingest, q_scoring, q_sequences, q_text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

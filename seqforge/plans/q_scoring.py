@@ -172,7 +172,7 @@ def q_total_reward(spark, sf):
 
 @register("group_advantage", with_views(f"""
 SELECT completion_id, prompt_id,
-       round(CASE WHEN sd IS NULL OR isnan(sd) THEN 0.0 ELSE (t - mu) / (sd + {D(fixed.ADVANTAGE_EPS)}) END, 6) AS advantage
+       round(CASE WHEN sd IS NULL OR isnan(sd) THEN 0.0 ELSE (t - mu) / (sd + {D(fixed.ADVANTAGE_EPS)}) END, 6) + {D(0.0)} AS advantage
 FROM (SELECT completion_id, prompt_id, t, avg(t) OVER (PARTITION BY prompt_id) AS mu,
              stddev_samp(t) OVER (PARTITION BY prompt_id) AS sd
       FROM (SELECT completion_id, prompt_id, {_TOTAL} AS t FROM ({_weighted_sql()})))

@@ -138,34 +138,18 @@ def q_extract_report(spark, sf):
 
 # ---- G5: game conversations ----------------------------------------------------------------
 
-def _game_conversations(spark, sf, seed=42):
-    seqs = fx.v_seq(spark, sf)
-    j = sequences.with_rules_maps(seqs, fx.v_rules(spark, sf))
-    st = sequences.fold_states(F.col("actions"), F.col("start_state"), F.col("trans"))
-    white = sampling.fair_coin("seq_id", seed) == 0
-    cands = lambda s: F.coalesce(F.try_element_at(F.col("cands"), s.cast("string")),
-                                 F.array().cast("array<string>"))
-    msgs = chat.game_conversation(F.col("actions"), st["states"], st["valid_len"], white, cands,
-                                  F.col("start_state").cast("string"))
-    return j.select("seq_id", msgs.alias("messages"), F.size("actions").alias("num_moves")).where(
-        F.col("messages").isNotNull())
-
-
-def _game_sql() -> str:
+def game_rows_sql() -> str:
+    """Per-ply rows of the game conversations (oracle side): the system text, and for each reached
+    ply its user text, the action and whether it is an assistant ply before the prefix end."""
     coin = f"({h32('role42', 's.seq_id')} % 2 = 0)"
     sys_tpl = fixed.GAME_SYSTEM
     a0 = sys_tpl.split("{assistant}")[0]
     a1 = sys_tpl.split("{assistant}")[1].split("{user}")[0]
     a2 = sys_tpl.split("{user}")[1].split("{fen}")[0]
     a3 = sys_tpl.split("{fen}")[1]
-    return _walk_sql(f"""
-SELECT seq_id, num_moves,
-       system_text || coalesce(string_agg(CASE WHEN mine THEN chr(10) || chr(10) || 'user: ' || user_text
-                                               || chr(10) || chr(10) || 'assistant: <uci_move>' || action
-                                               || '</uci_move>' END, '' ORDER BY k), '') AS messages_text
-FROM (
+    return f"""
   SELECT s.seq_id, CAST(len(s.actions) AS INTEGER) AS num_moves, w.pos AS k, s.actions[w.pos + 1] AS action,
-         'system: ' || {lit(a0)} || CASE WHEN {coin} THEN 'White' ELSE 'Black' END || {lit(a1)}
+         {lit(a0)} || CASE WHEN {coin} THEN 'White' ELSE 'Black' END || {lit(a1)}
            || CASE WHEN {coin} THEN 'Black' ELSE 'White' END || {lit(a2)} || CAST(s.start_state AS VARCHAR) || {lit(a3)}
            AS system_text,
          CASE WHEN w.pos > 0 THEN '<uci_move>' || s.actions[w.pos] || '</uci_move>' || chr(10) || chr(10) ELSE '' END
@@ -175,7 +159,18 @@ FROM (
          w.pos < v.valid_len AND w.pos % 2 = (CASE WHEN {coin} THEN 0 ELSE 1 END) AS mine
   FROM v_seq s JOIN walk w ON w.seq_id = s.seq_id
   JOIN (SELECT seq_id, max(pos) AS valid_len FROM walk GROUP BY seq_id) v ON v.seq_id = s.seq_id
-  WHERE len(s.actions) >= 2)
+  WHERE len(s.actions) >= 2
+"""
+
+
+def _game_sql() -> str:
+    return _walk_sql(f"""
+SELECT seq_id, num_moves,
+       'system: ' || system_text
+       || coalesce(string_agg(CASE WHEN mine THEN chr(10) || chr(10) || 'user: ' || user_text
+                                   || chr(10) || chr(10) || 'assistant: <uci_move>' || action
+                                   || '</uci_move>' END, '' ORDER BY k), '') AS messages_text
+FROM ({game_rows_sql()})
 GROUP BY seq_id, num_moves, system_text
 HAVING count_if(mine) > 0
 """)
@@ -183,7 +178,8 @@ HAVING count_if(mine) > 0
 
 @register("build_conversation", _game_sql())
 def q_build_conversation(spark, sf):
-    g = _game_conversations(spark, sf)
+    from seqforge.operators.examples import game_conversations
+    g = game_conversations(fx.v_seq(spark, sf), fx.v_rules(spark, sf))
     return g.select("seq_id", F.col("num_moves").cast("int"), chat.messages_text("messages").alias("messages_text"))
 
 
