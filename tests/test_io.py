@@ -100,3 +100,12 @@ def test_stream_equals_batch(spark, scratch):
     q = extract.start_extract(spark, src, os.path.join(scratch, "sink"), os.path.join(scratch, "ckpt"))
     q.awaitTermination(120)
     assert spark.read.parquet(os.path.join(scratch, "sink")).count() == len(batch)
+
+
+def test_scan_lines_default_knodes(spark, scratch):
+    p = os.path.join(scratch, "lines.jsonl")
+    with open(p, "w") as f:
+        f.write(json.dumps({"fen": "a", "line": "x y", "depth": 3, "knodes": 7}) + "\n")
+        f.write(json.dumps({"fen": "b", "line": "z", "depth": 4}) + "\n")
+    rows = {r["fen"]: r for r in readers.scan_lines(spark, p, partitions=2).collect()}
+    assert rows["a"]["knodes"] == 7 and rows["b"]["knodes"] == 0 and rows["b"]["depth"] == 4
