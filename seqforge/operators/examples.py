@@ -57,10 +57,8 @@ def single_move_rows(seqs: DataFrame, rules: DataFrame, vocab: DataFrame, max_le
     text = prompts.render_prompt_variant("fen", "side", "legal_moves")
     ex = p.select("seq_id", chat.render_chatml(prompts.user_message(text), True).alias("ptext"),
                   prompts.render_response(c["window"], c["target"]).alias("response"))
-    pi = tokens.encode(ex, "ptext", vocab, "seq_id", "p_ids")
-    ri = tokens.encode(ex, "response", vocab, "seq_id", "r_ids")
-    j = pi.join(ri, "seq_id").select("seq_id", "p_ids",
-                                     F.concat("r_ids", F.array(F.lit(tokens.EOS_ID))).alias("r_ids"))
+    enc = tokens.encode_many(ex, "seq_id", {"p_ids": "ptext", "r_ids": "response"}, vocab)
+    j = enc.select("seq_id", "p_ids", F.concat("r_ids", F.array(F.lit(tokens.EOS_ID))).alias("r_ids"))
     t = tokens.truncate_reserve("p_ids", "r_ids", max_length)
     j = j.select("seq_id", t["prompt_ids"].alias("p"), t["response_ids"].alias("r"))
     pm = tokens.pad_mask(F.concat("p", "r"), max_length, pad_id)

@@ -33,19 +33,37 @@ def build_vocab(texts: DataFrame, text_col: str = "text", min_count: int = 1) ->
     return dense_index(counts, [F.col("cnt").desc(), F.col("token")], start=len(SPECIALS))
 
 
-def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str, out: str = "ids") -> DataFrame:
-    """Token ids of ``text_col`` (unknown pieces -> UNK), in order; rows keep their key.
+def encode_many(df: DataFrame, key: str, texts: dict[str, str], vocab: DataFrame) -> DataFrame:
+    """T1 for several text columns at once: (key, <out>: ids[] per text column). Unknown pieces map
+    to UNK; a text without pieces gives [].
+
+    One explode of all texts (tagged by column), one equi-join with the vocabulary (AQE broadcasts a
+    small vocabulary, else sort-merge with skew splitting for frequent pieces), one grouping per key
+    that puts the ids back in order. ``posexplode_outer`` keeps rows that have no piece, so no join
+    back to the input is needed."""
+    names = list(texts)
+    tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).alias("x")) for i, c in enumerate(texts.values())]))
+    p = (df.select(key, tagged.alias("_s"))
+         .select(key, F.col("_s.t").alias("_t"), F.posexplode_outer(pieces(F.col("_s.x"))).alias("_pos", "token")))
+    j = p.join(vocab.select("token", "id"), "token", "left")
+    item = F.when(F.col("_pos").isNotNull(),
+                  F.struct("_t", "_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    g = j.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    def of_text(i: int) -> Column:
+        # a one-argument lambda: PySpark reads a second parameter as the element index
+        return F.transform(F.filter("_p", lambda x: x["_t"] == F.lit(i)), lambda x: x["id"])
+
+    return g.select(key, *[of_text(i).alias(n) for i, n in enumerate(names)])
+
 
-    Pieces are exploded with their position, joined to the vocabulary by equi-join (AQE chooses
-    broadcast when the vocabulary is small, sort-merge with skew splitting otherwise) and put back
-    in order per row."""
-    p = df.select(key, F.posexplode(pieces(text_col)).alias("pos", "token"))
+def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str, out: str = "ids") -> DataFrame:
+    """Token ids of ``text_col`` (unknown pieces -> UNK), in order; rows keep their key
+    (a text without pieces gives [])."""
+    p = df.select(key, F.posexplode_outer(pieces(text_col)).alias("_pos", "token"))
     j = p.join(vocab.select("token", "id"), "token", "left")
-    ids = (j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
-                             .alias("_p"))
-           .select(key, F.transform("_p", lambda x: x["id"]).alias(out)))
-    # Rows with no piece at all keep an empty array.
-    return df.select(key).join(ids, key, "left").select(key, F.coalesce(out, F.array().cast("array<int>")).alias(out))
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+    g = j.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    return g.select(key, F.transform("_p", lambda x: x["id"]).alias(out))
 
 
 def encode_with(text: Column | str, tokenizer_fn) -> Column:
@@ -128,12 +146,31 @@ def span_positions(seq: Column | str, marker: list[int] | Column) -> Column:
 
 
 def label_spans(seq: Column | str, marker: list[int] | Column) -> Column:
-    """labels = id inside a marker span, -100 elsewhere (spans bound once, then one pass)."""
-    def body(v: Column) -> Column:
-        return F.transform(v["s"], lambda x, i: F.when(
-            F.exists(v["sp"], lambda sp: (i >= sp["start"]) & (i < sp["end"])), x).otherwise(F.lit(IGNORE_INDEX)))
+    """labels = id inside a marker span, -100 elsewhere.
 
-    return let(F.struct(col_of(seq).alias("s"), span_positions(seq, marker).alias("sp")), body)
+    Built from segments, one per span: a run of -100 up to the span, then the ids of the span (spans
+    are ordered; overlaps with the previous span and the sequence ends are clipped), then a -100
+    tail. Bulk slices and repeats, no per-token lambda, linear in the length."""
+    ign = F.lit(IGNORE_INDEX)
+
+    def body(v: Column) -> Column:
+        ids, sp = v["s"], v["sp"]
+        n = F.size(ids)
+        ends = F.transform(sp, lambda x: F.least(x["end"], n))
+        prev = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
+        segs = F.transform(F.arrays_zip(sp.alias("sp"), ends.alias("e"), prev.alias("pe")), lambda z: F.struct(
+            z["pe"].alias("pe"), F.greatest(z["sp"]["start"], z["pe"], F.lit(0)).alias("s"), z["e"].alias("e")))
+        parts = F.transform(segs, lambda g: F.concat(
+            F.array_repeat(ign, g["s"] - g["pe"]),
+            F.slice(ids, g["s"] + 1, F.greatest(g["e"] - g["s"], F.lit(0)))))
+        last = F.coalesce(F.element_at(ends, -1), F.lit(0))
+        return F.concat(F.flatten(parts), F.array_repeat(ign, n - last))
+
+    def guarded(v: Column) -> Column:
+        # arrays_zip/element_at on an empty span list: all -100
+        return F.when(F.size(v["sp"]) == 0, F.array_repeat(ign, F.size(v["s"]))).otherwise(body(v))
+
+    return let(F.struct(col_of(seq).alias("s"), span_positions(seq, marker).alias("sp")), guarded)
 
 
 def pack_fixed(ids: Column | str, max_length: int, pad_id: int = PAD_ID) -> Column:

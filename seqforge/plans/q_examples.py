@@ -12,7 +12,7 @@ from seqforge.plans.catalog import register
 from seqforge.plans.fixtures_sql import h32, lit
 from seqforge.plans.fixtures_sql import with_views
 from seqforge.plans.q_sequences import _WALK, _walk_sql, game_rows_sql
-from seqforge.plans.q_text import _VOCAB_SQL, _corpus, _encode_sql, _marker_ids, render_sql
+from seqforge.plans.q_text import _VOCAB_SQL, _encode_sql, _marker_ids, _vocab, render_sql
 
 CM_S, CM_E = fixed.CHATML_START, fixed.CHATML_END
 SFT_L = 512
@@ -82,7 +82,7 @@ FROM (
 
 @register("sft_single_rows", _single_sql())
 def q_sft_single_rows(spark, sf):
-    vocab = tokens.build_vocab(_corpus(spark, sf))
+    vocab = _vocab(spark, sf)
     r = examples.single_move_rows(fx.v_seq(spark, sf), fx.v_rules(spark, sf), vocab, SFT_L)
     return r.select("seq_id", joined("input_ids", ",").alias("input_ids"),
                     joined("attention_mask", ",").alias("attention_mask"), joined("labels", ",").alias("labels"))
@@ -122,7 +122,7 @@ FROM v_seq s LEFT JOIN (
 
 @register("sft_conversation_rows", _conversation_sql())
 def q_sft_conversation_rows(spark, sf):
-    vocab = tokens.build_vocab(_corpus(spark, sf))
+    vocab = _vocab(spark, sf)
     marker = _marker_ids(vocab, ["uci_move"]).scalar()
     r = examples.conversation_rows(fx.v_seq(spark, sf), fx.v_rules(spark, sf), vocab, marker, CONV_L)
     return r.select("seq_id", joined("input_ids", ",").alias("input_ids"),

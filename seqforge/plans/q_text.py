@@ -264,6 +264,13 @@ def _corpus(spark, sf):
     return d.unionByName(c)
 
 
+def _vocab(spark, sf):
+    """The corpus vocabulary, persisted: every token query of a session reads the same one (an
+    equivalent plan hits the cache) instead of recounting the corpus, including inside subqueries."""
+    from pyspark import StorageLevel
+    return tokens.build_vocab(_corpus(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 _VOCAB_SQL = f"""
 SELECT token, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 3 AS INTEGER) AS id
 FROM (SELECT token, count(*) AS cnt FROM (
@@ -275,7 +282,7 @@ FROM (SELECT token, count(*) AS cnt FROM (
 
 @register("build_vocab", with_views(_VOCAB_SQL, "v_comp"))
 def q_build_vocab(spark, sf):
-    return tokens.build_vocab(_corpus(spark, sf))
+    return tokens.build_vocab(_corpus(spark, sf))   # the operator itself, not the cached copy
 
 
 def _encode_sql(src: str, key: str, text: str) -> str:
@@ -297,7 +304,7 @@ def _ids_text(col: str) -> str:
     f"SELECT pair_id, {_ids_text('ids')} AS ids FROM ({_encode_sql('SELECT * FROM v_tok_pairs', 'pair_id', 'prompt')})",
     "v_comp", "v_tok_pairs", extra={"vocab": _VOCAB_SQL}))
 def q_encode(spark, sf):
-    vocab = tokens.build_vocab(_corpus(spark, sf))
+    vocab = _vocab(spark, sf)
     e = tokens.encode(fx.v_tok_pairs(spark, sf), "prompt", vocab, "pair_id")
     return e.select("pair_id", joined("ids", ",").alias("ids"))
 
@@ -305,11 +312,11 @@ def q_encode(spark, sf):
 def _sft_single(spark, sf, max_length: int, pad_id: int):
     """Single-turn SFT rows: ChatML(user prompt, generation prompt) ids + response ids + EOS."""
     pairs = fx.v_tok_pairs(spark, sf)
-    vocab = tokens.build_vocab(_corpus(spark, sf))
+    vocab = _vocab(spark, sf)
     chat_prompt = chat.render_chatml(prompts.user_message(F.col("prompt")), True)
-    p = tokens.encode(pairs.select("pair_id", chat_prompt.alias("ptext")), "ptext", vocab, "pair_id", "p_ids")
-    r = tokens.encode(pairs, "response", vocab, "pair_id", "r_ids")
-    j = p.join(r, "pair_id").select("pair_id", "p_ids", F.concat("r_ids", F.array(F.lit(tokens.EOS_ID))).alias("r_ids"))
+    ex = pairs.select("pair_id", chat_prompt.alias("ptext"), "response")
+    enc = tokens.encode_many(ex, "pair_id", {"p_ids": "ptext", "r_ids": "response"}, vocab)
+    j = enc.select("pair_id", "p_ids", F.concat("r_ids", F.array(F.lit(tokens.EOS_ID))).alias("r_ids"))
     t = tokens.truncate_reserve("p_ids", "r_ids", max_length)
     j = j.select("pair_id", t["prompt_ids"].alias("p"), t["response_ids"].alias("r"))
     pm = tokens.pad_mask(F.concat("p", "r"), max_length, pad_id)
@@ -363,7 +370,7 @@ _sft_query("label_response", 16, tokens.EOS_ID)        # T4: pad == EOS, so EOS
 
 
 def _comp_ids(spark, sf):
-    vocab = tokens.build_vocab(_corpus(spark, sf))
+    vocab = _vocab(spark, sf)
     return vocab, tokens.encode(fx.v_comp(spark, sf), "completion", vocab, "completion_id")
 
 
