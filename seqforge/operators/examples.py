@@ -67,33 +67,38 @@ def single_move_rows(seqs: DataFrame, rules: DataFrame, vocab: DataFrame, max_le
                     tokens.label_response("input_ids", F.size("p"), F.size("r"), pad_id).alias("labels"))
 
 
-def game_conversations(seqs: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
-    """G5 over sequences: (seq_id, messages, num_moves); sequences without an assistant turn dropped."""
+def _conversations_all(seqs: DataFrame, rules: DataFrame, seed: int) -> DataFrame:
+    """(seq_id, messages or NULL, num_moves) for every sequence."""
     j = sequences.with_rules_maps(seqs, rules)
     st = sequences.fold_states(F.col("actions"), F.col("start_state"), F.col("trans"))
     white = sampling.fair_coin("seq_id", seed) == 0
     msgs = chat.game_conversation(F.col("actions"), st["states"], st["valid_len"], white, _cands,
                                   F.col("start_state").cast("string"))
-    return j.select("seq_id", msgs.alias("messages"), F.size("actions").alias("num_moves")).where(
-        F.col("messages").isNotNull())
+    return j.select("seq_id", msgs.alias("messages"), F.size("actions").alias("num_moves"))
+
+
+def game_conversations(seqs: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
+    """G5 over sequences: (seq_id, messages, num_moves); sequences without an assistant turn dropped."""
+    return _conversations_all(seqs, rules, seed).where(F.col("messages").isNotNull())
 
 
 def conversation_rows(seqs: DataFrame, rules: DataFrame, vocab: DataFrame, marker: Column,
                       max_length: int = 1024, pad_id: int = tokens.PAD_ID, seed: int = 42) -> DataFrame:
     """L2 conversation: every sequence gives one row; failed ones are placeholder rows.
 
-    ``marker`` is the id array of the move-tag name (e.g. the vocabulary ids of 'uci_move').
+    ``marker`` is the id array of the move-tag name (e.g. the vocabulary ids of 'uci_move'). One pass:
+    the 'has a conversation' flag rides along the encoding instead of a join back to the sequences.
     """
-    conv = game_conversations(seqs, rules, seed).select("seq_id", chat.render_chatml("messages").alias("text"))
-    enc = tokens.encode(conv, "text", vocab, "seq_id")
-    packed = enc.select("seq_id", F.slice("ids", 1, max_length).alias("ids")).withColumn("marker", marker)
+    conv = _conversations_all(seqs, rules, seed).select(
+        "seq_id", F.col("messages").isNotNull().alias("ok"),
+        F.when(F.col("messages").isNotNull(), chat.render_chatml("messages")).alias("text"))
+    enc = tokens.encode(conv, "text", vocab, "seq_id", keep=("ok",))
+    packed = enc.select("seq_id", "ok", F.slice("ids", 1, max_length).alias("ids")).withColumn("marker", marker)
     pm = tokens.pad_mask("ids", max_length, pad_id)
-    rows = packed.select("seq_id", pm["input_ids"].alias("input_ids"), pm["attention_mask"].alias("attention_mask"),
-                         tokens.label_spans(pm["input_ids"], F.col("marker")).alias("labels"))
     ph = tokens.placeholder(max_length, pad_id)
-    allrows = seqs.select("seq_id").join(rows, "seq_id", "left")
-    ok = F.col("input_ids").isNotNull()
-    return allrows.select("seq_id",
-                          F.when(ok, F.col("input_ids")).otherwise(ph["input_ids"]).alias("input_ids"),
-                          F.when(ok, F.col("attention_mask")).otherwise(ph["attention_mask"]).alias("attention_mask"),
-                          F.when(ok, F.col("labels")).otherwise(ph["labels"]).alias("labels"))
+    ok = F.col("ok")
+    return packed.select("seq_id",
+                         F.when(ok, pm["input_ids"]).otherwise(ph["input_ids"]).alias("input_ids"),
+                         F.when(ok, pm["attention_mask"]).otherwise(ph["attention_mask"]).alias("attention_mask"),
+                         F.when(ok, tokens.label_spans(pm["input_ids"], F.col("marker"))).otherwise(ph["labels"])
+                         .alias("labels"))

@@ -56,14 +56,15 @@ def encode_many(df: DataFrame, key: str, texts: dict[str, str], vocab: DataFrame
     return g.select(key, *[of_text(i).alias(n) for i, n in enumerate(names)])
 
 
-def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str, out: str = "ids") -> DataFrame:
-    """Token ids of ``text_col`` (unknown pieces -> UNK), in order; rows keep their key
-    (a text without pieces gives [])."""
-    p = df.select(key, F.posexplode_outer(pieces(text_col)).alias("_pos", "token"))
+def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str, out: str = "ids",
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    """Token ids of ``text_col`` (unknown pieces -> UNK), in order; rows keep their key and the
+    ``keep`` columns (which must be functions of the key). A NULL or empty text gives []."""
+    p = df.select(key, *keep, F.posexplode_outer(pieces(text_col)).alias("_pos", "token"))
     j = p.join(vocab.select("token", "id"), "token", "left")
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_p"))
-    return g.select(key, F.transform("_p", lambda x: x["id"]).alias(out))
+    g = j.groupBy(key, *keep).agg(F.sort_array(F.collect_list(item)).alias("_p"))
+    return g.select(key, *keep, F.transform("_p", lambda x: x["id"]).alias(out))
 
 
 def encode_with(text: Column | str, tokenizer_fn) -> Column:
