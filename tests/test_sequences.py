@@ -96,3 +96,24 @@ def test_game_conversation_shape(spark):
     assert w1[3]["content"].startswith("<uci_move>b</uci_move>\n\nPosition: 0")
     assert out[True][2] is None and out[False][3] is None and out[True][5] is None   # no assistant turn / too short
     assert "playing chess as Black. The user is White" in out[False][1][0]["content"]
+
+
+def test_example_builders_keep_rows_and_widths(spark):
+    from seqforge.operators import examples, tokens
+    rules, seqs, _ = _frames(spark)
+    texts = spark.createDataFrame([("uci_move a b c 0 1 2 Position Legal moves",)], "text string")
+    vocab = tokens.build_vocab(texts)
+    marker = F.array(F.lit(vocab.where("token = 'uci_move'").first()["id"]))
+    rows = {r["seq_id"]: r for r in examples.conversation_rows(seqs, rules, vocab, marker, 64).collect()}
+    assert set(rows) == set(SEQS)                                   # one row per sequence
+    for k, r in rows.items():
+        assert len(r["input_ids"]) == len(r["attention_mask"]) == len(r["labels"]) == 64
+    assert rows[2]["attention_mask"] == [0] * 64 and rows[2]["labels"] == [-100] * 64   # no conversation
+    assert any(x != -100 for x in rows[1]["labels"])                # move-tag spans are trained
+    single = examples.single_move_rows(seqs, rules, vocab, 32).collect()
+    assert single and all(len(r["input_ids"]) == 32 and len(r["labels"]) == 32 for r in single)
+    for r in single:   # labels are either ignored or equal to the id at that position
+        assert all(l == -100 or l == i for l, i in zip(r["labels"], r["input_ids"]))
+    prompts_ = {r["seq_id"]: r for r in examples.prompt_rows(seqs, rules).collect()}
+    for k, r in prompts_.items():
+        assert r["prompt"].endswith("<|im_start|>assistant\n") and r["correct_move"] in SEQS[k]
