@@ -10,15 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seqforge.functions.fixed import MOVE_CLOSE, MOVE_OPEN, RATIONALE_CLOSE, RATIONALE_NAME, RATIONALE_OPEN
-from seqforge.functions.text import col_of, ustrip
+from seqforge.functions.text import PY_WS, col_of, ustrip
 
-RATIONALE_RE = rf"(?sU){RATIONALE_OPEN}\s*(.+?)\s*{RATIONALE_CLOSE}"
-MOVE_RE = rf"(?sU){MOVE_OPEN}\s*(.+?)\s*{MOVE_CLOSE}"
+S = PY_WS   # Python's \s
+RATIONALE_RE = rf"(?sU){RATIONALE_OPEN}{S}*(.+?){S}*{RATIONALE_CLOSE}"
+MOVE_RE = rf"(?sU){MOVE_OPEN}{S}*(.+?){S}*{MOVE_CLOSE}"
 # Strict joint form. Possessive quantifiers: same matches as the plain form (the group can never
 # swallow the closing tag), but no catastrophic backtracking on long runs of '<'.
 JOINT_STRICT_RE = (rf"(?sU){RATIONALE_OPEN}([^<]*+(?:<(?!/?{RATIONALE_NAME}>)[^<]*+)*+){RATIONALE_CLOSE}"
-                   rf"\s*{MOVE_OPEN}([^<]+){MOVE_CLOSE}")
-JOINT_LOOSE_RE = rf"(?sU){RATIONALE_OPEN}\s*(.+?)\s*{RATIONALE_CLOSE}.*?{MOVE_OPEN}\s*(.+?)\s*{MOVE_CLOSE}"
+                   rf"{S}*{MOVE_OPEN}([^<]+){MOVE_CLOSE}")
+JOINT_LOOSE_RE = rf"(?sU){RATIONALE_OPEN}{S}*(.+?){S}*{RATIONALE_CLOSE}.*?{MOVE_OPEN}{S}*(.+?){S}*{MOVE_CLOSE}"
 
 
 def _extract(c: Column, pattern: str, group: int) -> Column:

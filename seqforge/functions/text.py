@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Python's str.split()/str.strip() treat every Unicode space as whitespace; Java's \s does not unless
 # UNICODE_CHARACTER_CLASS (?U) is on.
-WS_RUN = r"(?U)\s+"
-EDGE_WS = r"(?U)^\s+|\s+$"
+# Python also counts the separators U+001C-U+001F as whitespace.
+PY_WS = r"[\s\x1c-\x1f]"
+WS_RUN = rf"(?U){PY_WS}+"
+EDGE_WS = rf"(?U)^{PY_WS}+|{PY_WS}+$"
 
 
 def col_of(c: Column | str) -> Column:

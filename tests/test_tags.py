@@ -41,6 +41,8 @@ CASES = [
     "plain text",
     "",
     "<rationale>" + "<" * 20000 + "</rationale><uci_move>e2e4</uci_move>",
+    "<rationale>\x1c sep \x1f</rationale><uci_move>\x1de2e4\u3000</uci_move>",
+    "<rationale>\x85nel\u2003</rationale>\x1c<uci_move>a</uci_move>",
 ]
 
 
