@@ -113,18 +113,16 @@ def valid_prefix(long_form: DataFrame, pairs: DataFrame, start: str = "") -> Dat
                       F.coalesce(F.col("first_bad") - 1, F.col("n_steps")).cast("int").alias("valid_len"))
 
 
-def _rule_key(state: Column, action: Column) -> Column:
-    return F.concat_ws("\u0001", state.cast("string"), action)
-
-
 def rules_maps(rules: DataFrame, max_rules: int = MAX_FOLD_RULES) -> tuple[Column, Column]:
-    """(transition map, candidate map state -> sorted actions) as scalar subqueries: computed once
-    and shipped to every task with the plan. The rules size is checked first."""
+    """(transition map state -> (action -> next state), candidate map state -> sorted actions) as
+    scalar subqueries: computed once and shipped to every task with the plan. The rules size is
+    checked first."""
     n = rules.count()
     if n > max_rules:
         raise ValueError(f"rules has {n} rows > {max_rules}: use valid_prefix_walk")
-    trans = rules.agg(F.map_from_entries(F.collect_list(F.struct(
-        _rule_key(F.col("state"), F.col("action")), F.col("next_state")))).alias("trans"))
+    per_state = rules.groupBy("state").agg(
+        F.map_from_entries(F.collect_list(F.struct("action", "next_state"))).alias("m"))
+    trans = per_state.agg(F.map_from_entries(F.collect_list(F.struct("state", "m"))).alias("trans"))
     cands = (candidate_actions(rules)
              .agg(F.map_from_entries(F.collect_list(F.struct(F.col("state").cast("string"), "candidates")))
                   .alias("cands")))
@@ -137,29 +135,50 @@ def with_rules_maps(seqs: DataFrame, rules: DataFrame, max_rules: int = MAX_FOLD
     return seqs.withColumn("trans", trans).withColumn("cands", cands)
 
 
-def fold_states(actions: Column, start: Column, trans: Column) -> Column:
+def fold_states(actions: Column, start: Column, trans: Column, with_states: bool = True) -> Column:
     """E5(c)/E6: struct<valid_len, states[]> where states[k] is the state before step k (and
-    states[valid_len] the state after the valid prefix)."""
+    states[valid_len] the state after the valid prefix). Two map lookups per step, no string keys.
+
+    ``with_states=False`` keeps only the count: linear in the length (the states array is copied
+    on every step, which is quadratic; fine for game-length sequences, not for very long ones)."""
+    def moves_of(state: Column) -> Column:
+        return F.try_element_at(trans, state)
+
+    def step_of(acc: Column, a: Column):
+        m = moves_of(acc["s"])
+        go = acc["alive"] & F.coalesce(F.map_contains_key(m, a), F.lit(False))
+        nxt = F.when(go, F.try_element_at(m, a)).otherwise(acc["s"])
+        return go, nxt
+
+    if not with_states:
+        init = F.struct(start.alias("s"), F.lit(True).alias("alive"), F.lit(0).alias("n"))
+
+        def step(acc: Column, a: Column) -> Column:
+            go, nxt = step_of(acc, a)
+            return F.struct(nxt.alias("s"), go.alias("alive"), F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+
+        return F.aggregate(actions, init, step, lambda acc: F.struct(acc["n"].alias("valid_len"),
+                                                                      acc["s"].alias("last_state")))
+
     init = F.struct(start.alias("s"), F.lit(True).alias("alive"), F.lit(0).alias("n"),
                     F.array(start).alias("states"))
 
-    def step(acc: Column, a: Column) -> Column:
-        k = _rule_key(acc["s"], a)
-        go = acc["alive"] & F.map_contains_key(trans, k)
-        nxt = F.when(go, F.try_element_at(trans, k)).otherwise(acc["s"])
+    def step_states(acc: Column, a: Column) -> Column:
+        go, nxt = step_of(acc, a)
         return F.struct(nxt.alias("s"), go.alias("alive"), F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
                         F.when(go, F.concat(acc["states"], F.array(nxt))).otherwise(acc["states"]).alias("states"))
 
-    return F.aggregate(actions, init, step, lambda acc: F.struct(acc["n"].alias("valid_len"),
-                                                                  acc["states"].alias("states")))
+    return F.aggregate(actions, init, step_states, lambda acc: F.struct(acc["n"].alias("valid_len"),
+                                                                         acc["states"].alias("states")))
 
 
-def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, max_rules: int = MAX_FOLD_RULES) -> DataFrame:
-    """E5(c): (seq_id, n_steps, valid_len, states[]) with the rules as a broadcast map."""
+def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, max_rules: int = MAX_FOLD_RULES,
+                      with_states: bool = True) -> DataFrame:
+    """E5(c): (seq_id, n_steps, valid_len[, states[]]) with the rules as one shipped map."""
     j = with_rules_maps(seqs, rules, max_rules)
-    f = fold_states(F.col("actions"), F.col("start_state"), F.col("trans"))
-    return j.select("seq_id", F.size("actions").alias("n_steps"), f["valid_len"].alias("valid_len"),
-                    f["states"].alias("states"))
+    f = fold_states(F.col("actions"), F.col("start_state"), F.col("trans"), with_states)
+    cols = ["seq_id", F.size("actions").alias("n_steps"), f["valid_len"].alias("valid_len")]
+    return j.select(*cols, *([f["states"].alias("states")] if with_states else []))
 
 
 def valid_prefix_walk(long_form: DataFrame, starts: DataFrame, rules: DataFrame,

@@ -93,9 +93,9 @@ def q_dedup_compute(spark, sf):
 
     def compute(keys):
         f = sequences.with_rules_maps(keys, rules)
-        st = sequences.fold_states(F.col("prefix"), F.col("start_state"), F.col("trans"))
+        st = sequences.fold_states(F.col("prefix"), F.col("start_state"), F.col("trans"), with_states=False)
         return f.select("start_state", "prefix",
-                        F.when(st["valid_len"] == F.size("prefix"), F.element_at(st["states"], -1)).alias("state"))
+                        F.when(st["valid_len"] == F.size("prefix"), st["last_state"]).alias("state"))
 
     return sequences.dedup_compute(pre, ["start_state", "prefix"], compute).select("seq_id", "k", "state")
 
@@ -114,7 +114,7 @@ FROM v_seq s JOIN walk w ON w.seq_id = s.seq_id GROUP BY s.seq_id, s.actions
 """))
 def q_all_or_nothing(spark, sf):
     seqs = fx.v_seq(spark, sf)
-    checked = sequences.valid_prefix_fold(seqs, fx.v_rules(spark, sf))
+    checked = sequences.valid_prefix_fold(seqs, fx.v_rules(spark, sf), with_states=False)
     ok, failed = sequences.all_or_nothing(seqs, checked)
     return (ok.select("seq_id", F.lit("ok").alias("status"))
             .unionByName(failed.select("seq_id", F.lit("failed").alias("status"))))
@@ -132,7 +132,7 @@ FROM (SELECT s.seq_id, len(s.actions) AS n, max(w.pos) = len(s.actions) AS ok
 def q_extract_report(spark, sf):
     """A7 over E4: a sequence yields one position per own ply (plies 0, 2, 4, ...)."""
     seqs = fx.v_seq(spark, sf)
-    checked = sequences.valid_prefix_fold(seqs, fx.v_rules(spark, sf))
+    checked = sequences.valid_prefix_fold(seqs, fx.v_rules(spark, sf), with_states=False)
     return profile.extract_report(seqs, checked, F.floor((F.size("actions") + 1) / 2))
 
 

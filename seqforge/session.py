@@ -51,3 +51,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="seqforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def scale_conf(input_bytes: float, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024,
+               executor_memory_gb: float = 16.0, cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings sized for the data instead of the defaults.
+
+    * file splits: ``maxPartitionBytes`` so that each task reads about ``target_partition_bytes``
+      (parquet is splittable; zstd CSV/JSON is one task per file, so prefer many input files);
+    * shuffle partitions: enough that an average shuffle partition stays near the target (AQE then
+      coalesces small ones), and at least three waves of tasks over all cores;
+    * AQE advisory size and skew thresholds: a partition five times the median and above
+      ``4 x target`` is split (the hot-key case: one key with a third of the rows);
+    * broadcast threshold kept small and fixed: only measured-small sides are broadcast.
+
+    Example: 100 TB on 1,000 executors x 8 cores -> ``scale_conf(100e12, 8000)``.
+    """
+    per_task_memory = executor_memory_gb * 1024 ** 3 * 0.6 / max(cores_per_executor, 1)
+    target = int(min(target_partition_bytes, per_task_memory / 4))
+    shuffle_parts = max(int(input_bytes // target), total_cores * 3, 8)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+        "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    }

@@ -26,3 +26,10 @@ def test_fair_coin_balanced(spark):
     df = spark.range(4000).select(sampling.fair_coin("id").alias("c"))
     n1 = df.where("c = 1").count()
     assert 1800 < n1 < 2200
+
+
+def test_scale_conf_sizes():
+    from seqforge.session import scale_conf
+    big = scale_conf(100e12, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) >= 100e12 // int(big["spark.sql.files.maxPartitionBytes"])
+    assert int(scale_conf(1e6, 4)["spark.sql.shuffle.partitions"]) == 12
