@@ -23,8 +23,11 @@ def ustrip(c: Column | str) -> Column:
 
 
 def ws_split(c: Column | str) -> Column:
-    """Python ``str.split()``: whitespace runs, no empty tokens; '' gives []."""
-    return F.filter(F.split(col_of(c), WS_RUN), lambda x: x != "")
+    """Python ``str.split()``: whitespace runs, no empty tokens; '' gives [].
+
+    The edges are stripped first, so a plain ``split`` yields no empty token (no per-element lambda)."""
+    stripped = ustrip(c)
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, WS_RUN))
 
 
 def ws_count(c: Column | str) -> Column:
@@ -41,8 +44,8 @@ def hash32(salt: str, c: Column | str) -> Column:
 
 
 def joined(arr: Column | str, sep: str = " ") -> Column:
-    """Text form of an array (for display, JSON sinks and oracle comparison)."""
-    return F.array_join(F.transform(col_of(arr), lambda x: x.cast("string")), sep)
+    """Text form of an array (for display, JSON sinks and oracle comparison); a bulk cast."""
+    return F.array_join(col_of(arr).cast("array<string>"), sep)
 
 
 def let(value: Column, body) -> Column:
