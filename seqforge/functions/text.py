@@ -25,9 +25,8 @@ def ustrip(c: Column | str) -> Column:
 def ws_split(c: Column | str) -> Column:
     """Python ``str.split()``: whitespace runs, no empty tokens; '' gives [].
 
-    The edges are stripped first, so a plain ``split`` yields no empty token (no per-element lambda)."""
-    stripped = ustrip(c)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, WS_RUN))
+    (A filter of the empty edge tokens measured faster than stripping whole texts with a regex.)"""
+    return F.filter(F.split(col_of(c), WS_RUN), lambda x: x != "")
 
 
 def ws_count(c: Column | str) -> Column:

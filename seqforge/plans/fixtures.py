@@ -21,10 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(c: Column | str) -> Column:
-    """Whitespace-separated words (no empty word): edges stripped, then one split."""
+    """Whitespace-separated words (no empty word)."""
     c = F.col(c) if isinstance(c, str) else c
-    stripped = F.regexp_replace(c, f"^{FIXTURE_WS}|{FIXTURE_WS}$", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, FIXTURE_WS))
+    return F.filter(F.split(c, FIXTURE_WS), lambda x: x != "")
 
 
 def side_letter(salt: str, id_col: Column) -> Column:
