@@ -31,24 +31,36 @@ def side_letter(salt: str, id_col: Column) -> Column:
 
 
 def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Puzzle CSV rows, all strings (M1): ids, a position, 2-9 moves, a rating that is sometimes
-    empty or not a number, 0-5 themes, a URL, and tags that are absent on odd ids."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    w = words("text")
-    i = F.col("doc_id")
+    """Puzzle CSV rows, all strings (M1), one per order: the moves are its line items in line order
+    (bounded by the order's size; '' for an order without items), a rating that is sometimes empty or
+    not a number, themes from the order's priority and status (plus 'fork'/'mate' on some orders),
+    a URL, and tags that are absent on odd ids."""
+    li = table(spark, sf_dir, "lineitem")
+    tok = F.concat(F.lower("l_returnflag"), F.col("l_linenumber").cast("string"), F.lower("l_linestatus"),
+                   (F.pmod(F.col("l_partkey"), F.lit(8)) + 1).cast("string"))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_linestatus",
+                    "l_returnflag", tok.alias("tok"))
+    moves = (li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+             .select("l_orderkey", F.array_join(F.transform("items", lambda x: x["tok"]), " ").alias("moves")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    j = o.join(moves, o.o_orderkey == moves.l_orderkey, "left")
+    i = F.col("o_orderkey")
     hr = hash32("r", i)
     rating = (F.when(hr % 10 == 0, F.lit("")).when(hr % 10 == 1, F.lit("abc"))
               .otherwise((F.lit(400) + hr % 2400).cast("string")))
-    return d.select(
+    themes = F.concat_ws(" ", F.lower(F.split_part(F.col("o_orderpriority"), F.lit("-"), F.lit(2))),
+                         F.concat(F.lit("status"), F.lower("o_orderstatus")),
+                         F.when(hash32("t1", i) % 5 == 0, F.lit("fork")),
+                         F.when(hash32("t2", i) % 4 == 0, F.lit("mate")))
+    return j.select(
         i.cast("string").alias("PuzzleId"),
-        F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(" "), side_letter("s", i),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(" "), side_letter("s", i),
                  F.lit(" - - 0 1")).alias("FEN"),
-        F.array_join(F.slice(w, 1, (F.lit(2) + hash32("m", i) % 8).cast("int")), " ").alias("Moves"),
+        F.coalesce(F.col("moves"), F.lit("")).alias("Moves"),
         rating.alias("Rating"),
-        F.array_join(F.slice(F.transform(w, lambda x: F.lower(x)), 10, 5), " ").alias("Themes"),
+        themes.alias("Themes"),
         F.concat(F.lit("https://example.org/g/"), i.cast("string")).alias("GameUrl"),
-        F.when(i % 2 == 1, F.lit(None).cast("string"))
-         .otherwise(F.array_join(F.slice(w, 15, 2), " ")).alias("OpeningTags"),
+        F.when(i % 2 == 1, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")).alias("OpeningTags"),
     )
 
 
@@ -142,11 +154,12 @@ def v_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_comp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completions (M12) built from assistant turns in eight text variants, with aligned columns."""
+    """Completions (M12) built from assistant turns in eight text variants, with aligned columns; the
+    move is a 4-hex-digit key derived from the whole turn text."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     cid = F.col("conv_id") * 100 + F.col("turn")
     c = c.select(cid.alias("completion_id"), F.col("conv_id").alias("prompt_id"),
-                 F.col("text").alias("r"), F.lower(F.substring("text", 1, 2)).alias("m"))
+                 F.col("text").alias("r"), F.substring(F.md5("text"), 1, 4).alias("m"))
     v = F.pmod(hash32("v", F.col("completion_id")), F.lit(8))
     r, m = F.col("r"), F.col("m")
     text = (F.when(v == 0, F.concat(F.lit("<rationale>"), r, F.lit("</rationale><uci_move>"), m, F.lit("</uci_move>")))

@@ -24,16 +24,24 @@ def side(salt: str, expr: str) -> str:
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 VIEWS["v_raw"] = ((), f"""
-SELECT CAST(doc_id AS VARCHAR) AS "PuzzleId",
-       source || '/' || lang || ' ' || {side('s', 'doc_id')} || ' - - 0 1' AS "FEN",
-       array_to_string(list_slice(w, 1, 2 + {h32('m', 'doc_id')} % 8), ' ') AS "Moves",
-       CASE WHEN {h32('r', 'doc_id')} % 10 = 0 THEN ''
-            WHEN {h32('r', 'doc_id')} % 10 = 1 THEN 'abc'
-            ELSE CAST(400 + {h32('r', 'doc_id')} % 2400 AS VARCHAR) END AS "Rating",
-       array_to_string(list_slice(list_transform(w, lambda x: lower(x)), 10, 14), ' ') AS "Themes",
-       'https://example.org/g/' || CAST(doc_id AS VARCHAR) AS "GameUrl",
-       CASE WHEN doc_id % 2 = 1 THEN NULL ELSE array_to_string(list_slice(w, 15, 16), ' ') END AS "OpeningTags"
-FROM (SELECT doc_id, source, lang, {words('text')} AS w FROM documents)
+SELECT CAST(o.o_orderkey AS VARCHAR) AS "PuzzleId",
+       'c' || CAST(o.o_custkey AS VARCHAR) || ' ' || {side('s', 'o.o_orderkey')} || ' - - 0 1' AS "FEN",
+       coalesce(m.moves, '') AS "Moves",
+       CASE WHEN {h32('r', 'o.o_orderkey')} % 10 = 0 THEN ''
+            WHEN {h32('r', 'o.o_orderkey')} % 10 = 1 THEN 'abc'
+            ELSE CAST(400 + {h32('r', 'o.o_orderkey')} % 2400 AS VARCHAR) END AS "Rating",
+       concat_ws(' ', lower(split_part(o.o_orderpriority, '-', 2)), 'status' || lower(o.o_orderstatus),
+                 CASE WHEN {h32('t1', 'o.o_orderkey')} % 5 = 0 THEN 'fork' END,
+                 CASE WHEN {h32('t2', 'o.o_orderkey')} % 4 = 0 THEN 'mate' END) AS "Themes",
+       'https://example.org/g/' || CAST(o.o_orderkey AS VARCHAR) AS "GameUrl",
+       CASE WHEN o.o_orderkey % 2 = 1 THEN NULL ELSE o.o_orderpriority END AS "OpeningTags"
+FROM orders o LEFT JOIN (
+  SELECT l_orderkey,
+         string_agg(lower(l_returnflag) || CAST(l_linenumber AS VARCHAR) || lower(l_linestatus)
+                    || CAST(l_partkey % 8 + 1 AS VARCHAR), ' '
+                    ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_linestatus, l_returnflag)
+           AS moves
+  FROM lineitem GROUP BY l_orderkey) m ON m.l_orderkey = o.o_orderkey
 """)
 
 # Typed puzzles (P1/P2): rating '' -> 0, non-numeric rating -> error row (removed here).
@@ -121,7 +129,7 @@ SELECT completion_id, prompt_id, variant,
        [m, 'aa'] AS legal_moves,
        'p' || CAST(prompt_id AS VARCHAR) AS fen
 FROM (SELECT conv_id * 100 + turn AS completion_id, conv_id AS prompt_id, text AS r,
-             lower(substr(text, 1, 2)) AS m,
+             substr(md5(text), 1, 4) AS m,
              CAST({h32('v', 'conv_id * 100 + turn')} % 8 AS INTEGER) AS variant
       FROM conversations WHERE role = 'assistant')
 """)
