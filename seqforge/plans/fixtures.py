@@ -179,20 +179,19 @@ def v_comp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_val(spark: SparkSession, sf_dir: str, depth: int = 3) -> DataFrame:
-    """Evaluation lookup evals(state, action, depth, cp, mate), unique per key; every 13th key is
-    missing. Keys are the (position, move) pairs that the completions can ask for."""
+    """Evaluation lookup evals(state, action, depth, cp, mate), unique per key, for every (position,
+    move) pair the completions can ask for; every 13th key has no value (cp and mate NULL)."""
     comp = v_comp(spark, sf_dir)
     keys = (comp.select("fen", F.explode(F.array_union("legal_moves", F.array("correct_move"))).alias("action"))
             .distinct())
     k = F.concat_ws(" ", F.col("fen"), F.col("action"), F.lit(str(depth)))
-    return (keys.where(F.pmod(hash32("x", k), F.lit(13)) != 0)
-            .select(F.col("fen").alias("state"), "action", F.lit(depth).alias("depth"),
-                    F.when(F.pmod(hash32("e2", k), F.lit(10)) != 0,
-                           (F.pmod(hash32("e", k), F.lit(2001)) - 1000).cast("int")).alias("cp"),
-                    F.when(F.pmod(hash32("e2", k), F.lit(10)) == 0,
-                           ((F.pmod(hash32("e3", k), F.lit(9)) + 1)
-                            * F.when(F.pmod(hash32("e4", k), F.lit(2)) == 0, 1).otherwise(-1)).cast("int")
-                           ).alias("mate")))
+    has = F.pmod(hash32("x", k), F.lit(13)) != 0
+    is_mate = F.pmod(hash32("e2", k), F.lit(10)) == 0
+    return keys.select(
+        F.col("fen").alias("state"), "action", F.lit(depth).alias("depth"),
+        F.when(has & ~is_mate, (F.pmod(hash32("e", k), F.lit(2001)) - 1000).cast("int")).alias("cp"),
+        F.when(has & is_mate, ((F.pmod(hash32("e3", k), F.lit(9)) + 1)
+                               * F.when(F.pmod(hash32("e4", k), F.lit(2)) == 0, 1).otherwise(-1)).cast("int")).alias("mate"))
 
 
 def v_pos(spark: SparkSession, sf_dir: str) -> DataFrame:

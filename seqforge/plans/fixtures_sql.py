@@ -137,13 +137,13 @@ FROM (SELECT conv_id * 100 + turn AS completion_id, conv_id AS prompt_id, text A
 _K = "fen || ' ' || action || ' 3'"
 VIEWS["v_val"] = (("v_comp",), f"""
 SELECT fen AS state, action, 3 AS depth,
-       CASE WHEN {h32('e2', _K)} % 10 <> 0 THEN CAST({h32('e', _K)} % 2001 - 1000 AS INTEGER) END AS cp,
-       CASE WHEN {h32('e2', _K)} % 10 = 0
+       CASE WHEN {h32('x', _K)} % 13 <> 0 AND {h32('e2', _K)} % 10 <> 0
+            THEN CAST({h32('e', _K)} % 2001 - 1000 AS INTEGER) END AS cp,
+       CASE WHEN {h32('x', _K)} % 13 <> 0 AND {h32('e2', _K)} % 10 = 0
             THEN CAST(({h32('e3', _K)} % 9 + 1) * (CASE WHEN {h32('e4', _K)} % 2 = 0 THEN 1 ELSE -1 END) AS INTEGER)
        END AS mate
 FROM (SELECT DISTINCT fen, action FROM (
         SELECT fen, unnest(list_distinct(list_concat(legal_moves, [correct_move]))) AS action FROM v_comp))
-WHERE {h32('x', _K)} % 13 <> 0
 """)
 
 VIEWS["v_pos"] = ((), f"""
