@@ -92,37 +92,46 @@ def line_report(lines: DataFrame, valid: Column) -> DataFrame:
                     .alias("success_pct"), "len_min", "len_max", "len_avg", "depth_min", "depth_max", "depth_avg")
 
 
-def stats_sidecar(puzzles: DataFrame, positions: DataFrame, failed: int | Column = 0, top_k: int = 50) -> DataFrame:
+def stats_sidecar(puzzles: DataFrame, failed: int | Column = 0, top_k: int = 50) -> DataFrame:
     """One JSON row: counters, top themes, sorted rating buckets, move-count stats and a
-    move-count histogram (instead of the raw per-puzzle list, which grows with the data)."""
-    counts = puzzles.agg(F.count("*").alias("successful"))
-    pos = positions.agg(F.count("*").alias("total_positions"))
-    themes = (top_tokens(puzzles.select(F.explode("themes").alias("theme")), top_k, "theme")
-              .agg(F.sort_array(F.collect_list(F.struct(F.col("cnt").alias("c"), F.col("theme").alias("t"))),
-                                asc=False).alias("top")))
-    buckets = (rating_histogram(puzzles, "rating")
-               .agg(F.sort_array(F.collect_list(F.struct("bucket", "cnt"))).alias("b")))
+    move-count histogram (instead of the raw per-puzzle list, which grows with the data).
+
+    One pass: themes, rating buckets and move counts are tagged rows of a single grouped count
+    (partial aggregation); totals, positions (one per solver ply, ceil(n/2)) and min/max/mean come
+    from the move-count histogram. Only the top ``top_k`` themes are kept before the final one-row
+    collect, so that row is bounded by top_k + #buckets + #distinct move counts."""
     n = F.size("moves")
-    moves = puzzles.agg(F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"))
-    hist = (puzzles.groupBy(n.alias("n_moves")).count()
-            .agg(F.sort_array(F.collect_list(F.struct("n_moves", "count"))).alias("h")))
+    bucket = (F.floor(F.col("rating") / 100) * 100).cast("bigint").cast("string")
+    tagged = F.concat(F.transform("themes", lambda t: F.struct(F.lit("t").alias("kind"), t.alias("key"))),
+                      F.array(F.struct(F.lit("b").alias("kind"), bucket.alias("key")),
+                              F.struct(F.lit("n").alias("kind"), n.cast("string").alias("key"))))
+    grouped = (puzzles.select(F.explode(tagged).alias("x"))
+               .groupBy(F.col("x.kind").alias("kind"), F.col("x.key").alias("key")).agg(F.count("*").alias("cnt")))
+    top = grouped.where(F.col("kind") == "t").orderBy(F.col("cnt").desc(), F.col("key")).limit(top_k)
+    parts = top.unionByName(grouped.where(F.col("kind") != "t"))
+    one = parts.agg(F.collect_list(F.struct("kind", "key", "cnt")).alias("p"))
     failed_c = F.lit(failed) if isinstance(failed, int) else failed
-    sc = lambda df, c: df.select(c).scalar()   # noqa: E731 - one-row aggregates as scalar subqueries
-    successful = sc(counts, "successful")
-    return spark_one_row(puzzles).select(F.to_json(F.struct(
-        (successful + failed_c).alias("total"), sc(pos, "total_positions").alias("total_positions"),
-        successful.alias("successful"), failed_c.alias("failed"),
-        F.map_from_entries(sc(themes.select(F.transform("top", lambda x: F.struct(x["t"], x["c"])).alias("x")), "x"))
-        .alias("themes"),
-        F.map_from_entries(sc(buckets.select(F.transform("b", lambda x: F.struct(x["bucket"].cast("string"), x["cnt"]))
-                                             .alias("x")), "x")).alias("rating_buckets"),
-        sc(moves.select(F.struct("min", "max", "mean").alias("x")), "x").alias("move_stats"),
-        F.map_from_entries(sc(hist.select(F.transform("h", lambda x: F.struct(x["n_moves"].cast("string"), x["count"]))
-                                          .alias("x")), "x")).alias("move_count_histogram"))).alias("stats_json"))
-
-
-def spark_one_row(df: DataFrame) -> DataFrame:
-    return df.sparkSession.range(1)
+
+    def of(kind: str) -> Column:
+        return F.filter("p", lambda x: x["kind"] == F.lit(kind))
+
+    lens = F.transform(of("n"), lambda x: F.struct(x["key"].cast("int").alias("n"), x["cnt"].alias("c")))
+    total_ok = F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
+    positions = F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, x: a + F.floor((x["n"] + 1) / 2) * x["c"])
+    moves_sum = F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, x: a + x["n"] * x["c"])
+    n_min = F.array_min(F.transform(lens, lambda x: x["n"]))
+    n_max = F.array_max(F.transform(lens, lambda x: x["n"]))
+    themes = F.sort_array(F.transform(of("t"), lambda x: F.struct(x["cnt"].alias("c"), x["key"].alias("t"))), asc=False)
+    buckets = F.sort_array(F.transform(of("b"), lambda x: F.struct(x["key"].cast("bigint").alias("b"), x["cnt"].alias("c"))))
+    hist = F.sort_array(lens)
+    return one.select(F.to_json(F.struct(
+        (total_ok + failed_c).alias("total"), positions.alias("total_positions"), total_ok.alias("successful"),
+        failed_c.alias("failed"),
+        F.map_from_entries(F.transform(themes, lambda x: F.struct(x["t"], x["c"]))).alias("themes"),
+        F.map_from_entries(F.transform(buckets, lambda x: F.struct(x["b"].cast("string"), x["c"]))).alias("rating_buckets"),
+        F.struct(n_min.alias("min"), n_max.alias("max"), (moves_sum / total_ok).alias("mean")).alias("move_stats"),
+        F.map_from_entries(F.transform(hist, lambda x: F.struct(x["n"].cast("string"), x["c"])))
+        .alias("move_count_histogram"))).alias("stats_json"))
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:

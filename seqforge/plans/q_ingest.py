@@ -350,5 +350,4 @@ def q_scan_examples(spark, sf):
 
 @register("stats_sidecar")
 def q_stats_sidecar(spark, sf):
-    p = v_puz(spark, sf)
-    return profile.stats_sidecar(p, sequences.ply_expand(p))
+    return profile.stats_sidecar(v_puz(spark, sf))
