@@ -182,7 +182,7 @@ def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, max_rules: int = MAX_FO
 
 
 def valid_prefix_walk(long_form: DataFrame, starts: DataFrame, rules: DataFrame,
-                      max_plies: int | None = None) -> DataFrame:
+                      max_plies: int | None = None, empty_check_every: int = 4) -> DataFrame:
     """E5(b): hidden state, any rules size. One equi-join per ply; finished sequences leave the
     frontier, so later plies touch only live sequences. Returns (seq_id, pos, state) for every
     reached ply (pos 0 = start); :func:`walk_summary` gives the prefix length per sequence.
@@ -197,17 +197,18 @@ def valid_prefix_walk(long_form: DataFrame, starts: DataFrame, rules: DataFrame,
     r = rules.select(F.col("state"), F.col("action"), F.col("next_state"))
     frontier = starts.select("seq_id", F.lit(0).alias("pos"), F.col("start_state").alias("state")).checkpoint()
     reached = [frontier]
-    ply = 0
-    while max_plies is None or ply < max_plies:
-        ply += 1
+    longest = steps.agg(F.max("pos")).first()[0] or 0     # one small aggregate bounds the loop
+    if max_plies is not None:
+        longest = min(longest, max_plies)
+    for ply in range(1, longest + 1):
         f = frontier.select("seq_id", (F.col("pos") + 1).alias("pos"), "state")
         nxt = (f.join(steps, ["seq_id", "pos"])
                .join(r, ["state", "action"])
                .select("seq_id", "pos", F.col("next_state").alias("state"))).checkpoint()
-        if nxt.isEmpty():
-            break
         reached.append(nxt)
         frontier = nxt
+        if ply % empty_check_every == 0 and nxt.isEmpty():   # stop once no sequence is alive
+            break
     out = reached[0]
     for df in reached[1:]:
         out = out.unionByName(df)
