@@ -117,3 +117,9 @@ def test_example_builders_keep_rows_and_widths(spark):
     prompts_ = {r["seq_id"]: r for r in examples.prompt_rows(seqs, rules).collect()}
     for k, r in prompts_.items():
         assert r["prompt"].endswith("<|im_start|>assistant\n") and r["correct_move"] in SEQS[k]
+
+
+def test_checkpoint_dir_keeps_configured_folder(spark):
+    from seqforge.session import checkpoint_dir
+    first = checkpoint_dir(spark)
+    assert first and checkpoint_dir(spark) == first   # an existing setting is read, never replaced
