@@ -1,9 +1,14 @@
 """Ordered positions and running sums without putting a whole group (or the whole table) in one task.
 
 A window ``partitionBy(g).orderBy(o)`` sorts every row of a group in one task; with a group that
-holds a third of the data, that task is the job. ``ordered_prefix`` range-partitions on
-(group, order) instead, so a large group spans many tasks, then adds to each task's running sum
-the totals of the earlier tasks of the same group (a table of at most #groups + #partitions rows).
+holds a third of the data, that task is the job. Both functions here work in two levels instead:
+rows belong to buckets that follow the order, a small table holds the total of each bucket, and only
+the rows of one bucket are sorted together. The bucket is a value of the row, never recomputed:
+
+* ``bucket_prefix`` takes a bucket column that the caller derives from the row (a hash prefix, a
+  block number, a key prefix);
+* ``ordered_prefix`` derives it for any order by range-partitioning on (group, order) once and
+  storing the range number with the row, so that both uses of the rows see the same ranges.
 """
 
 from __future__ import annotations
@@ -13,26 +18,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqforge.session import stored
+
+
+def bucket_prefix(df: DataFrame, bucket: str, order: Sequence[Column], value: Column, group: Sequence[str] = (),
+                  out: str = "prefix") -> DataFrame:
+    """Sum of ``value`` over the rows before this one (exclusive), within ``group``, in the order
+    (``bucket``, then ``order``). The buckets of a group must be in that order; ``order`` must be total
+    within a bucket, or its ties interchangeable. Null group values form a group of their own."""
+    rows = df.withColumn("_v", value)
+    totals = rows.groupBy(bucket, *group).agg(F.sum("_v").alias("_t"))
+    # Rows per group here are its buckets: few even for a group with a third of the data.
+    prior = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(bucket).alias("_b"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+                            F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(bucket, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("_run", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    cond = F.col(bucket).eqNullSafe(F.col("_b"))
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return (within.join(offsets, cond)
+            .withColumn(out, F.col("_off") + F.col("_run"))
+            .drop("_v", "_run", "_off", "_b", *[f"_g{i}" for i in range(len(group))]))
+
 
 def ordered_prefix(df: DataFrame, order: Sequence[Column], value: Column, group: Sequence[str] = (),
                    out: str = "prefix") -> DataFrame:
     """Inclusive running sum of ``value`` within ``group`` in ``order`` (a total order within the
     group). With ``value`` = 1 this is the 1-based row number."""
-    keys = [F.col(g) for g in group] + list(order)
-    keyed = (df.withColumn("_v", value).repartitionByRange(*keys)
-             .withColumn("_pid", F.spark_partition_id()))
-    totals = keyed.groupBy("_pid", *group).agg(F.sum("_v").alias("_t"))
-    # Rows per group here are the partitions the group spans: small even for a huge group.
-    prior = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *group, F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_off"))
-    if not group:
-        offsets = F.broadcast(offsets)   # one row per partition
-    inside = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding,
-                                                                            Window.currentRow)
-    within = keyed.withColumn("_run", F.sum("_v").over(inside))
-    return (within.join(offsets, ["_pid", *group])
-            .withColumn(out, F.col("_off") + F.col("_run"))
-            .drop("_pid", "_v", "_run", "_off"))
+    keyed = (df.withColumn("_w", value).repartitionByRange(*[F.col(g) for g in group], *order)
+             .withColumn("_range", F.spark_partition_id()))
+    r = bucket_prefix(stored(keyed, "ranges"), "_range", order, F.col("_w"), group, "_before")
+    return r.withColumn(out, F.col("_before") + F.col("_w")).drop("_before", "_w", "_range")
 
 
 def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "pos") -> DataFrame:

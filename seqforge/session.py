@@ -5,10 +5,11 @@ Operators never build sessions themselves; they take the session from the DataFr
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins and partition counts at runtime, skew-join
 # splitting handles hot keys, UTC keeps timestamps comparable with the oracle. Broadcast joins are
@@ -42,8 +43,9 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when nothing is set (local tests, the driver's local
-    session) a fresh scratch folder is created and registered.
+    The cluster's setting always wins. Only a local session (one machine, as in tests and bench) may
+    leave it unset: a fresh scratch folder is then registered. On a cluster an unset folder is an
+    error, because a machine-local folder is not seen by the other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,11 +53,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="seqforge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        master = sc.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="seqforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and read back: cuts the lineage,
+    survives lost executors, and fixes values that must not be recomputed (partition ids, row ids)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scale_conf(input_bytes: float, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024,
                executor_memory_gb: float = 16.0, cores_per_executor: int = 4) -> dict[str, str]:
     """Settings sized for the data instead of the defaults.
