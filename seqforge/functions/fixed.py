@@ -64,7 +64,6 @@ If no legal moves exist, output only:
 Do NOT include any other text, explanations, or formatting.
 """
 
-SYSTEM_SHORT = "You are a chess expert. Analyze positions carefully and find the best tactical move from legal moves."
 
 # Default system text of the chat renders when the conversation has no leading system turn.
 DEFAULT_SYSTEM = ("You are a chess expert playing a game. Analyze positions carefully and respond with both a rationale "

@@ -158,15 +158,16 @@ def render_family(family: Column | str, messages: Column | str, add_generation_p
 # ---- G5: sequence -> multi-turn game conversation ----------------------------------------------
 
 def game_conversation(actions: Column, states: Column, valid_len: Column, assistant_white: Column,
-                      candidates_of, start_text: Column) -> Column:
+                      candidates_of, start_text: Column, start_white: Column | None = None) -> Column:
     """Messages of one sequence, or NULL when it has no assistant turn.
 
     ``states[k]`` is the state before step k; ``candidates_of(state)`` gives the sorted candidate
-    array; steps stop at ``valid_len``. White moves at even plies. The assistant answers at its
-    plies with ``<uci_move>..</uci_move>``; the opponent's step is shown at the head of the next
+    array; steps stop at ``valid_len``. The side that starts (White unless ``start_white`` says
+    otherwise) moves at even plies. The assistant answers at its plies with ``<uci_move>..</uci_move>``; the opponent's step is shown at the head of the next
     user message.
     """
-    a_par = F.when(assistant_white, F.lit(0)).otherwise(F.lit(1))
+    starts = assistant_white if start_white is None else assistant_white == start_white
+    a_par = F.when(starts, F.lit(0)).otherwise(F.lit(1))
     system = F.struct(F.lit("system").alias("role"), F.concat(
         F.lit(fixed.GAME_SYSTEM.split("{assistant}")[0]),
         F.when(assistant_white, F.lit("White")).otherwise(F.lit("Black")),

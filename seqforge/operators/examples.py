@@ -1,6 +1,9 @@
-"""End-to-end example builders (the reference's lifecycles L2 and L3) composed from the operators.
+"""End-to-end example builders (the reference's lifecycles L1, L2 and L3) composed from the operators.
 
-* :func:`prompt_rows` (L3): a reproducible split point per sequence, the state reached there, the
+* :func:`check_puzzles` and :func:`puzzle_examples` (L1): puzzles whose every move is allowed become one
+  nested example per ply of the solving side, with the position and its candidates at that ply; a puzzle
+  with a move that is not allowed is discarded whole and counted (:func:`puzzle_report`).
+* :func:`prompt_rows` (L3): a reproducible split point in the valid prefix, the state reached there, the
   candidate list, the move prompt wrapped as a one-message chat with the generation prompt.
 * :func:`single_move_rows` (L2, single move): continuation prompt + tagged PV response, encoded,
   truncated with the response reserved, padded, response-only labels.
@@ -8,7 +11,11 @@
   labels on the move-tag spans, truncate-then-pad; sequences without a conversation become
   placeholder rows so the row count is kept.
 
-Sequences carry (seq_id, start_state, actions[]); rules are ``rules(state, action, next_state)``.
+The order of steps for L2 and L3: the sequence is cut to its valid prefix, short ones (under two steps) are
+dropped, :func:`sample_and_split` draws the sample and its train and test rows, then each row is built.
+
+Sequences carry (seq_id, start_state, start_side 'w'/'b', actions[]); rules are
+``rules(state, action, next_state)``.
 """
 
 from __future__ import annotations
@@ -16,48 +23,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.functions import fixed
-from seqforge.operators import chat, prompts, sampling, sequences, tokens
+from seqforge.operators import chat, project, prompts, sampling, sequences, tokens
+
+
+# ---- L1: puzzles -------------------------------------------------------------------------------
+
+def check_puzzles(puzzles: DataFrame, rules: DataFrame) -> DataFrame:
+    """The puzzles (puzzle_id, start_state, moves, ...) with n_steps, valid_len, states, cands and ``ok``:
+    every move is allowed (E4)."""
+    c = sequences.valid_prefix_fold(puzzles, rules, key=("puzzle_id",), actions="moves")
+    c = c.withColumn("ok", F.col("valid_len") == F.col("n_steps"))
+    return sequences.with_candidates(c, rules, ("puzzle_id",))
+
+
+def puzzle_examples(checked: DataFrame, solver_offset: int = 0) -> DataFrame:
+    """Nested examples (input, output, metadata) of the puzzles that are ``ok``."""
+    plies = sequences.ply_expand(checked.where("ok"), solver_offset, keep=("states", "cands"))
+    state = sequences.state_at(F.col("states"), F.col("idx"))
+    plies = plies.withColumn("fen", state.cast("string")).withColumn("legal_moves", sequences.candidates_of(state))
+    return project.position_examples(plies)
+
+
+def puzzle_report(checked: DataFrame, min_rating: int | None = None, max_rating: int | None = None) -> DataFrame:
+    """One row of counters from one pass over all puzzles, error rows (``parse_error``) included: errors,
+    skipped (outside the ratings, if given), total, successful, failed, total_positions."""
+    bad = F.coalesce(F.col("parse_error"), F.lit(False))
+    out = F.lit(False) if min_rating is None else ~F.col("rating").between(min_rating, max_rating)
+    used = ~bad & ~F.coalesce(out, F.lit(False))
+    good = used & F.col("ok")
+    return checked.agg(
+        F.count_if(bad).alias("errors"), F.count_if(~bad & ~used).alias("skipped"), F.count_if(used).alias("total"),
+        F.count_if(good).alias("successful"), F.count_if(used & ~F.col("ok")).alias("failed"),
+        F.coalesce(F.sum(F.when(good, F.floor((F.size("moves") + 1) / 2))), F.lit(0)).cast("bigint").alias("total_positions"))
+
 
+# ---- L2, L3: sequences -------------------------------------------------------------------------
 
-def _replayed(seqs: DataFrame, rules: DataFrame, seed: int, epoch: int) -> DataFrame:
-    """Adds trans/cands maps, the fold (valid_len, states) and a split index per sequence."""
-    j = sequences.with_rules_maps(seqs, rules)
-    st = sequences.fold_states(F.col("actions"), F.col("start_state"), F.col("trans"))
-    return j.select("*", st["valid_len"].alias("valid_len"), st["states"].alias("states"),
-                    sequences.split_point("seq_id", F.size("actions"), seed, epoch).alias("split_idx"))
+def valid_lines(seqs: DataFrame, rules: DataFrame, least: int = 2) -> DataFrame:
+    """The sequences cut to their valid prefix, with states and cands; those with fewer than ``least``
+    valid steps are dropped."""
+    c = sequences.valid_prefix_fold(seqs, rules).where(F.col("valid_len") >= least)
+    c = c.withColumn("actions", F.slice("actions", F.lit(1), F.col("valid_len")))
+    return sequences.with_candidates(c, rules)
 
 
-def _cands(state: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.col("cands"), state.cast("string")), F.array().cast("array<string>"))
+def sample_and_split(rows: DataFrame, n: int | None, test_fraction: float, id_col: str = "seq_id",
+                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test): a sample of ``n`` rows (all if None or fewer), then an exact split of it."""
+    drawn = rows if n is None else sampling.sample_n(rows, n, id_col, seed)
+    return sampling.split_exact(drawn, test_fraction, id_col, seed)
 
 
-def _position(df: DataFrame) -> DataFrame:
-    """The state at the split point (dropped when the split lies beyond the valid prefix)."""
+def _position(lines: DataFrame, seed: int, epoch: int) -> DataFrame:
+    """The state at a split point within the valid prefix, with its side, candidates and next move."""
+    df = lines.withColumn("split_idx", sequences.split_point("seq_id", F.size("actions"), seed, epoch))
     st = sequences.state_at(F.col("states"), F.col("split_idx"))
-    side = F.when(F.pmod(F.col("split_idx"), F.lit(2)) == 0, F.lit("White")).otherwise(F.lit("Black"))
-    return (df.where(F.col("split_idx").isNotNull() & (F.col("split_idx") <= F.col("valid_len")))
-            .select("*", st.cast("string").alias("fen"), side.alias("side"), _cands(st).alias("legal_moves"),
-                    F.element_at("actions", F.col("split_idx") + 1).alias("correct_move")))
+    side = project.side_label(F.col("start_side"), F.col("split_idx"))
+    return df.select("*", st.cast("string").alias("fen"), side.alias("side"),
+                     sequences.candidates_of(st).alias("legal_moves"),
+                     F.element_at("actions", F.col("split_idx") + 1).alias("correct_move"))
 
 
-def prompt_rows(seqs: DataFrame, rules: DataFrame, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """L3: (seq_id, prompt, correct_move, legal_moves, fen)."""
-    p = _position(_replayed(seqs, rules, seed, epoch))
+def prompt_rows(lines: DataFrame, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """L3, from :func:`valid_lines`: (seq_id, prompt, correct_move, legal_moves, fen)."""
+    p = _position(lines, seed, epoch)
     text = prompts.render_prompt("fen", "side", "legal_moves")
     prompt = chat.render_chatml(prompts.user_message(text), True)
     return prompts.drop_null_prompt(p.select("seq_id", prompt.alias("prompt"), "correct_move", "legal_moves", "fen"))
 
 
-def single_move_rows(seqs: DataFrame, rules: DataFrame, vocab: DataFrame, max_length: int = 512, line_k: int = 6,
-                     pad_id: int = tokens.PAD_ID, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """L2 single move: (seq_id, input_ids, attention_mask, labels) of width ``max_length``."""
-    p = _position(_replayed(seqs, rules, seed, epoch))
+def single_move_texts(lines: DataFrame, line_k: int = 6, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """L2 single move, from :func:`valid_lines`: (seq_id, ptext, response)."""
+    p = _position(lines, seed, epoch)
     c = sequences.continuation(F.col("actions"), F.col("split_idx"), line_k)
     text = prompts.render_prompt_variant("fen", "side", "legal_moves")
-    ex = p.select("seq_id", chat.render_chatml(prompts.user_message(text), True).alias("ptext"),
-                  prompts.render_response(c["window"], c["target"]).alias("response"))
-    enc = tokens.encode_many(ex, "seq_id", {"p_ids": "ptext", "r_ids": "response"}, vocab)
+    return p.select("seq_id", chat.render_chatml(prompts.user_message(text), True).alias("ptext"),
+                    prompts.render_response(c["window"], c["target"]).alias("response"))
+
+
+def single_move_rows(examples: DataFrame, vocab: DataFrame, max_length: int = 512, pad_id: int = tokens.PAD_ID) -> DataFrame:
+    """L2 single move, from :func:`single_move_texts`: (seq_id, input_ids, attention_mask, labels) of width
+    ``max_length``."""
+    enc = tokens.encode_many(examples, "seq_id", {"p_ids": "ptext", "r_ids": "response"}, vocab)
     j = enc.select("seq_id", "p_ids", F.concat("r_ids", F.array(F.lit(tokens.EOS_ID))).alias("r_ids"))
     t = tokens.truncate_reserve("p_ids", "r_ids", max_length)
     j = j.select("seq_id", t["prompt_ids"].alias("p"), t["response_ids"].alias("r"))
@@ -67,32 +114,36 @@ def single_move_rows(seqs: DataFrame, rules: DataFrame, vocab: DataFrame, max_le
                     tokens.label_response("input_ids", F.size("p"), F.size("r"), pad_id).alias("labels"))
 
 
-def _conversations_all(seqs: DataFrame, rules: DataFrame, seed: int) -> DataFrame:
+def all_conversations(seqs: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
     """(seq_id, messages or NULL, num_moves) for every sequence."""
-    j = sequences.with_rules_maps(seqs, rules)
-    st = sequences.fold_states(F.col("actions"), F.col("start_state"), F.col("trans"))
+    j = sequences.with_candidates(sequences.valid_prefix_fold(seqs, rules), rules)
     white = sampling.fair_coin("seq_id", seed) == 0
-    msgs = chat.game_conversation(F.col("actions"), st["states"], st["valid_len"], white, _cands,
-                                  F.col("start_state").cast("string"))
+    msgs = chat.game_conversation(F.col("actions"), F.col("states"), F.col("valid_len"), white, sequences.candidates_of,
+                                  F.col("start_state").cast("string"), F.col("start_side") == "w")
     return j.select("seq_id", msgs.alias("messages"), F.size("actions").alias("num_moves"))
 
 
 def game_conversations(seqs: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
     """G5 over sequences: (seq_id, messages, num_moves); sequences without an assistant turn dropped."""
-    return _conversations_all(seqs, rules, seed).where(F.col("messages").isNotNull())
+    return all_conversations(seqs, rules, seed).where(F.col("messages").isNotNull())
+
+
+def conversation_texts(seqs: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
+    """(seq_id, ok, text) for every sequence: the rendered conversation, or ok = false and no text."""
+    return all_conversations(seqs, rules, seed).select(
+        "seq_id", F.col("messages").isNotNull().alias("ok"),
+        F.when(F.col("messages").isNotNull(), chat.render_chatml("messages")).alias("text"))
 
 
-def conversation_rows(seqs: DataFrame, rules: DataFrame, vocab: DataFrame, marker: Column,
-                      max_length: int = 1024, pad_id: int = tokens.PAD_ID, seed: int = 42) -> DataFrame:
-    """L2 conversation: every sequence gives one row; failed ones are placeholder rows.
+def conversation_rows(texts: DataFrame, vocab: DataFrame, marker: Column, max_length: int = 1024,
+                      pad_id: int = tokens.PAD_ID) -> DataFrame:
+    """L2 conversation, from :func:`conversation_texts`: every sequence gives one row; failed ones are
+    placeholder rows.
 
     ``marker`` is the id array of the move-tag name (e.g. the vocabulary ids of 'uci_move'). One pass:
     the 'has a conversation' flag rides along the encoding instead of a join back to the sequences.
     """
-    conv = _conversations_all(seqs, rules, seed).select(
-        "seq_id", F.col("messages").isNotNull().alias("ok"),
-        F.when(F.col("messages").isNotNull(), chat.render_chatml("messages")).alias("text"))
-    enc = tokens.encode(conv, "text", vocab, "seq_id", keep=("ok",))
+    enc = tokens.encode(texts, "text", vocab, "seq_id", keep=("ok",))
     packed = enc.select("seq_id", "ok", F.slice("ids", 1, max_length).alias("ids")).withColumn("marker", marker)
     pm = tokens.pad_mask("ids", max_length, pad_id)
     ph = tokens.placeholder(max_length, pad_id)

@@ -65,12 +65,11 @@ def rating_histogram(df: DataFrame, col: str = "rating", width: int = 100) -> Da
     return df.groupBy(b.alias("bucket")).agg(F.count("*").alias("cnt")).orderBy("bucket")
 
 
-def extract_report(seqs: DataFrame, checked: DataFrame, positions_per_seq: Column) -> DataFrame:
+def extract_report(checked: DataFrame, positions_per_seq: Column) -> DataFrame:
     """Total, successful, failed, positions, success % and positions per success
-    (denominator ``max(successful, 1)``). ``checked`` is (seq_id, valid_len)."""
-    j = seqs.join(checked.select("seq_id", "valid_len"), "seq_id")
+    (denominator ``max(successful, 1)``). ``checked`` is the sequences with their ``valid_len``."""
     ok = F.col("valid_len") == F.size("actions")
-    r = j.agg(F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
+    r = checked.agg(F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
               F.sum(F.when(ok, positions_per_seq).otherwise(0)).cast("bigint").alias("total_positions"))
     return r.select("total", "successful", "failed", "total_positions",
                     F.round(F.try_divide(F.col("successful") * 100.0, F.col("total")), 1).alias("success_pct"),
@@ -129,7 +128,7 @@ def stats_sidecar(puzzles: DataFrame, failed: int | Column = 0, top_k: int = 50)
         failed_c.alias("failed"),
         F.map_from_entries(F.transform(themes, lambda x: F.struct(x["t"], x["c"]))).alias("themes"),
         F.map_from_entries(F.transform(buckets, lambda x: F.struct(x["b"].cast("string"), x["c"]))).alias("rating_buckets"),
-        F.struct(n_min.alias("min"), n_max.alias("max"), (moves_sum / total_ok).alias("mean")).alias("move_stats"),
+        F.struct(n_min.alias("min"), n_max.alias("max"), F.try_divide(moves_sum.cast("double"), total_ok.cast("double")).alias("mean")).alias("move_stats"),
         F.map_from_entries(F.transform(hist, lambda x: F.struct(x["n"].cast("string"), x["c"])))
         .alias("move_count_histogram"))).alias("stats_json"))
 

@@ -8,15 +8,32 @@ from pyspark.sql import functions as F
 from seqforge.functions import fixed
 from seqforge.functions.text import col_of, ws_split
 
+CORRUPT = "_corrupt_record"    # the readers' column for a row that does not fit the schema
+
+
+def _rating() -> Column:
+    r = F.col("Rating")
+    return F.when(r.isNull() | (r == ""), F.lit(0)).otherwise(F.expr("try_cast(Rating AS INT)"))
+
+
+def parse_error(raw: DataFrame) -> Column:
+    """True for an error row: a rating that is not a number, or missing moves or themes.
+
+    The CSV reader gives NULL for an empty field as for a missing one, but marks a row that has too few
+    fields; so with its mark at hand only marked rows can miss a field, and an empty one means no moves or
+    no themes."""
+    missing = F.col("Moves").isNull() | F.col("Themes").isNull()
+    if CORRUPT in raw.columns:
+        missing = missing & F.col(CORRUPT).isNotNull()
+    return _rating().isNull() | missing
+
 
 def type_puzzles(raw: DataFrame) -> DataFrame:
     """P1+P2: CSV strings (M1) -> typed puzzles (M2) with a ``parse_error`` flag.
 
-    Empty rating -> 0; a non-numeric rating is an error row (not 0); absent or empty tags -> [].
+    Only the rating and the tags have a default: empty rating -> 0, absent or empty tags -> [].
     """
-    r = F.col("Rating")
-    rating = F.when(r.isNull() | (r == ""), F.lit(0)).otherwise(F.expr("try_cast(Rating AS INT)"))
-    tags = F.col("OpeningTags")
+    rating, tags = _rating(), F.col("OpeningTags")
     return raw.select(
         F.col("PuzzleId").alias("puzzle_id"), F.col("FEN").alias("fen"),
         ws_split(F.coalesce(F.col("Moves"), F.lit(""))).alias("moves"),
@@ -24,7 +41,7 @@ def type_puzzles(raw: DataFrame) -> DataFrame:
         ws_split(F.coalesce(F.col("Themes"), F.lit(""))).alias("themes"),
         F.col("GameUrl").alias("game_url"),
         F.when(tags.isNull() | (tags == ""), F.array().cast("array<string>")).otherwise(ws_split(tags)).alias("opening_tags"),
-        rating.isNull().alias("parse_error"))
+        parse_error(raw).alias("parse_error"))
 
 
 def good_rows(typed: DataFrame) -> DataFrame:

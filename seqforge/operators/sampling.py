@@ -1,21 +1,17 @@
 """Reproducible sampling and splitting.
 
 All draws are functions of (seed, row id) through md5, so results do not depend on partitioning,
-task retries or executor loss. The exact sample keeps the first N rows in md5 order; for large N it
-avoids a single-task top-N merge by cutting at a hash bucket found from a small histogram.
+task retries or executor loss. The exact sample keeps the first N rows in md5 order, cut at a hash
+bucket found from a small histogram, so no task merges N rows.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqforge.functions.text import col_of, hash32
 
-# Below this N the top-N plan (per-task top-N, then one merge of N rows) is the cheapest.
-TOP_N_PLAN_MAX = 100_000
 _BUCKET_HEX = 4   # 65,536 histogram buckets
 
 
@@ -23,37 +19,50 @@ def sample_key(id_col: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), col_of(id_col).cast("string")))
 
 
-def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42, plan: str = "auto") -> DataFrame:
-    """exactly min(N, rows) rows: the first N in md5(seed:id) order (all rows when fewer).
+def _keyed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """Adds _k (md5 order), _t (a hash of the row: equal ids have an order too) and _b (bucket of _k)."""
+    k = sample_key(id_col, seed)
+    row = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]   # a map has no hash
+    return df.withColumns({"_k": k, "_t": F.xxhash64(*row), "_b": F.conv(F.substring(k, 1, _BUCKET_HEX), 16, 10).cast("int")})
 
-    ``plan``: 'topn', 'histogram' or 'auto' (top-N up to ``TOP_N_PLAN_MAX`` rows).
-    """
-    keyed = df.withColumn("_k", sample_key(id_col, seed))
-    if plan == "topn" or (plan == "auto" and n <= TOP_N_PLAN_MAX):
-        return keyed.orderBy("_k").limit(n).drop("_k")
-    # Large N: histogram of the first hex digits (<= 65,536 rows), cumulative count over it, then all
-    # rows of the buckets before the cut plus the top rows of the cut bucket.
-    keyed = keyed.withColumn("_b", F.conv(F.substring("_k", 1, _BUCKET_HEX), 16, 10).cast("int"))
+
+def _cut(keyed: DataFrame, n: Column) -> tuple[int, int] | None:
+    """(bucket, rows to take from it) such that with all earlier buckets ``n`` rows are taken; ``n`` may
+    use the total ``rows``. None if there are no more rows than that."""
     hist = keyed.groupBy("_b").agg(F.count("*").alias("c"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)   # over <= 65,536 rows
-    cum = hist.select("_b", "c", F.sum("c").over(w).alias("cum"))
-    cut = cum.where(F.col("cum") >= n).orderBy("_b").limit(1).collect()   # one row
-    if not cut:
-        return keyed.drop("_k", "_b")
-    b, c, cm = cut[0]["_b"], cut[0]["c"], cut[0]["cum"]
-    remaining = n - (cm - c)
-    full = keyed.where(F.col("_b") < b)
-    edge = keyed.where(F.col("_b") == b).orderBy("_k").limit(int(remaining))
-    return full.unionByName(edge).drop("_k", "_b")
+    cum = hist.select("_b", "c", F.sum("c").over(w).alias("cum"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("rows"))
+    at = cum.where((F.col("cum") >= n) & (F.col("rows") > n)).orderBy("_b").select("_b", (n - F.col("cum") + F.col("c")).alias("take")).first()
+    return (at["_b"], int(at["take"])) if at else None
+
+
+def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
+    """exactly min(N, rows) rows: the first N in md5(seed:id) order (all rows when fewer).
+
+    One plan for any N: a histogram of the first hex digits finds the bucket of the N-th row; the rows of
+    the buckets before it are a filter, and only the rows of that bucket are ordered."""
+    keyed = _keyed(df, id_col, seed)
+    cut = _cut(keyed, F.lit(n))
+    if cut is None:
+        return df
+    b, take = cut
+    edge = keyed.where(F.col("_b") == b).orderBy("_k", "_t").limit(take)
+    return keyed.where(F.col("_b") < b).unionByName(edge).select(*df.columns)
 
 
 def split_exact(df: DataFrame, test_fraction: float, id_col: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """F2 exact: test = the first ceil(p * rows) rows in md5 order; train = the rest. Disjoint and complete."""
-    n = df.count()
-    n_test = int(math.ceil(test_fraction * n))
-    test = sample_n(df, n_test, id_col, seed) if n_test > 0 else df.limit(0)
-    train = df.join(test.select(id_col), id_col, "left_anti")
-    return train, test
+    """F2 exact: test = the first ceil(p * rows) rows in md5 order; train = the rest. Disjoint and complete:
+    both are filters on the key against the last test row (rows equal in every column go together)."""
+    keyed = _keyed(df, id_col, seed)
+    cut = _cut(keyed, F.ceil(F.lit(float(test_fraction)) * F.col("rows")))
+    if cut is None:
+        return df.limit(0), df
+    b, take = cut
+    last = keyed.where(F.col("_b") == b).select("_k", "_t").orderBy("_k", "_t").limit(take).agg(F.max(F.struct("_k", "_t")).alias("x")).first()["x"]
+    first = F.col("_b") < b
+    if last is not None:
+        first = first | ((F.col("_b") == b) & ((F.col("_k") < last["_k"]) | ((F.col("_k") == last["_k"]) & (F.col("_t") <= last["_t"]))))
+    return keyed.where(~first).select(*df.columns), keyed.where(first).select(*df.columns)
 
 
 def split_hash(df: DataFrame, test_fraction: float, id_col: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:

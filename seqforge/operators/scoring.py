@@ -1,13 +1,13 @@
 """Completion scoring plans (W9, W11-W16, A9): lookups as joins, weights, totals, advantages.
 
 Completions arrive as a table (prompt_id, completion_id, completion + aligned columns). Rule-based
-rewards are plain columns (``functions.rewards``); the value lookup is an equi-join with an
-``evals(state, action, depth, cp, mate)`` table that must be unique per key.
+rewards are plain columns (``functions.rewards``); the value lookup is one equi-join with an
+``evals(state, action, depth, cp, mate)`` table; a key that occurs twice in it raises.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
@@ -15,47 +15,47 @@ from seqforge.functions import rewards as R
 from seqforge.functions.tags import extract_move, extract_rationale
 
 
-def assert_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Fail fast when a lookup side would fan rows out (one aggregate job)."""
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError(f"{what} is not unique per {keys}")
-    return df
+def unique_per_key(df: DataFrame, key: str, what: str) -> DataFrame:
+    """``df`` grouped per key; a key that occurs twice raises when the rows are read."""
+    rest = [c for c in df.columns if c != key]
+    n = F.count("*")
+    only = F.when(n > 1, F.raise_error(F.lit(f"{what}: more than one row for a {key}"))).otherwise(F.first(F.struct(*rest)))
+    return df.groupBy(key).agg(only.alias("_row")).select(key, "_row.*")
 
 
 def align_columns(completions: DataFrame, columns: DataFrame, key: str = "completion_id",
                   check: bool = True) -> DataFrame:
     """Explicit 1:1 equi-join of completions with their aligned prompt columns."""
-    if check:
-        assert_unique(columns, [key], "aligned columns")
-    return completions.join(columns, key, "inner")
+    return completions.join(unique_per_key(columns, key, "aligned columns") if check else columns, key, "inner")
 
 
-def lookup_values(completions: DataFrame, evals: DataFrame, depth: int = 3, state_col: str = "fen",
-                  move_col: str = "move", ref_col: str = "correct_move") -> DataFrame:
-    """W9+W10: folded value of the predicted and the reference move; NULL when the key is missing.
+def _values(evals: DataFrame, depth: int) -> DataFrame:
+    """(state, map action -> folded value). A (state, action) that occurs twice raises, as a map cannot
+    hold it twice. The actions of a state are its legal moves, so the map is small."""
+    e = evals.where(F.col("depth") == depth).select("state", "action", R.fold_mate("cp", "mate").alias("v"))
+    return e.groupBy(F.col("state").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("action", "v"))).alias("_values"))
+
 
-    The distinct (state, action) keys are looked up once (the memo as a plan): the evals side is
-    reduced to its folded value and joined twice by equi-join.
-    """
-    v = (evals.where(F.col("depth") == depth)
-         .select(F.col("state").alias("_s"), F.col("action").alias("_a"), R.fold_mate("cp", "mate").alias("_v")))
-    pred = v.select(F.col("_s").alias(state_col), F.col("_a").alias(move_col), F.col("_v").alias("cp_pred"))
-    ref = v.select(F.col("_s").alias(state_col), F.col("_a").alias(ref_col), F.col("_v").alias("cp_ref"))
-    return (completions.join(pred, [state_col, move_col], "left")
-            .join(ref, [state_col, ref_col], "left"))
+def lookup_values(completions: DataFrame, evals: DataFrame, depth: int = 3, state_col: str = "fen",
+                  move_col: str = "move", ref_col: str = "correct_move", asked: Column | None = None) -> DataFrame:
+    """W9+W10: folded value of the predicted and the reference move; NULL when the key is missing, or where
+    ``asked`` is false. One equi-join on the state serves both moves."""
+    key = F.col(state_col)
+    if asked is not None:   # a key of its own that no state has: rows not asked for stay spread out
+        key = F.when(asked, key).otherwise(F.concat(F.lit("\u0000"), F.xxhash64(*completions.columns).cast("string")))
+    j = completions.withColumn("_key", key).join(_values(evals, depth), F.col("_key") == F.col("_s"), "left")
+    of = lambda c: F.try_element_at(F.col("_values"), F.col(c))
+    return j.withColumn("cp_pred", of(move_col)).withColumn("cp_ref", of(ref_col)).drop("_key", "_s", "_values")
 
 
 def quality_reward(completions: DataFrame, evals: DataFrame, depth: int = 3, completion: str = "completion",
                    legal: str = "legal_moves", state_col: str = "fen", ref_col: str = "correct_move") -> DataFrame:
-    """Adds ``r_quality``. Rows that fail the cheap gate (no move, not a candidate) never reach
-    the lookup join; the rest are scored on the value curve (missing value -> -1.0)."""
-    gate = R.quality_gate(completion, legal)
-    c = completions.withColumn("_gate", gate).withColumn("_move", extract_move(completion))
-    failed = c.where(F.col("_gate").isNotNull()).withColumn("r_quality", F.col("_gate"))
-    passed = lookup_values(c.where(F.col("_gate").isNull()), evals, depth, state_col, "_move", ref_col)
-    passed = passed.withColumn("r_quality", R.quality_curve("cp_pred", "cp_ref")).drop("cp_pred", "cp_ref")
-    return failed.unionByName(passed).drop("_gate", "_move")
+    """Adds ``r_quality``. Completions are read once: rows that fail the cheap gate (no move, not a
+    candidate) look nothing up; the rest are scored on the value curve (missing value -> -1.0)."""
+    c = completions.withColumn("_gate", R.quality_gate(completion, legal)).withColumn("_move", extract_move(completion))
+    v = lookup_values(c, evals, depth, state_col, "_move", ref_col, F.col("_gate").isNull())
+    return (v.withColumn("r_quality", F.coalesce("_gate", R.quality_curve("cp_pred", "cp_ref")))
+            .drop("cp_pred", "cp_ref", "_gate", "_move"))
 
 
 def scaled_rewards(df: DataFrame, completion: str = "completion", legal: str = "legal_moves",
@@ -81,10 +81,10 @@ def total_reward(df: DataFrame) -> DataFrame:
 def group_advantage(df: DataFrame, group: str = "prompt_id", reward: str = "total_reward",
                     eps: float = fixed.ADVANTAGE_EPS) -> DataFrame:
     """(r - mean) / (std + eps) within the generations of one prompt; a one-row group has no
-    deviation and gets 0. Group statistics are a partial aggregate joined back on the prompt key
-    (AQE splits a hot prompt on the large side), not a window that sorts a whole group in one task."""
-    stats = df.groupBy(group).agg(F.avg(reward).alias("_mean"), F.stddev_samp(reward).alias("_std"))
-    j = df.join(stats, group)
+    deviation and gets 0. A window per prompt: a group is the few generations of one prompt."""
+    w = Window.partitionBy(group)
+    mean, std = F.avg(reward).over(w), F.stddev_samp(reward).over(w)
+    j = df.withColumn("_mean", mean).withColumn("_std", std)
     adv = F.when(F.col("_std").isNull() | F.isnan("_std"), F.lit(0.0)).otherwise(
         (F.col(reward) - F.col("_mean")) / (F.col("_std") + F.lit(eps)))
     return j.withColumn("advantage", adv).drop("_mean", "_std")

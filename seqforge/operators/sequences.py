@@ -1,25 +1,22 @@
 """Explode and ordered-sequence operators.
 
 Domain rules (which step is allowed in which state) are a table ``rules(state, action, next_state)``
-that gets joined, never a per-row library. Three plans for the longest valid prefix:
+that gets joined, never a per-row library. A sequence is one row with its actions in order:
 
-* ``valid_prefix`` (observable state = previous action): long form + ``lag`` + left join + ``min``.
-* ``valid_prefix_fold`` (hidden state, small rules): rules as one map column, ``aggregate`` over the
-  action array; no shuffle beyond the broadcast of a size-checked map.
-* ``valid_prefix_walk`` (hidden state, any rules size): one equi-join per ply over a frontier that
-  shrinks as sequences stop; lineage is cut with ``checkpoint()`` every few plies.
+* ``valid_prefix`` (observable state = previous action): the steps as (previous action, action) pairs,
+  one left join and a ``min``;
+* ``valid_prefix_fold`` (hidden state, rules of any size): each sequence gets the rules of its own
+  actions as a small map (one join on the action), then ``aggregate`` folds its array of actions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions.text import col_of, hash32, ws_split
-from seqforge.session import checkpoint_dir
-
-# Largest rules table turned into a broadcast map column; above it, use the walk.
-MAX_FOLD_RULES = 50_000
 
 
 # ---- E1/E2: explodes -------------------------------------------------------------------------
@@ -66,8 +63,9 @@ def min_len(df: DataFrame, n: int = 2, col: str = "line") -> DataFrame:
 
 # ---- E3/E4: per-ply expansion -------------------------------------------------------------------
 
-def ply_expand(puzzles: DataFrame, solver_offset: int = 0) -> DataFrame:
-    """One row per ply where the solving side moves (plies offset, offset+2, ...).
+def ply_expand(puzzles: DataFrame, solver_offset: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per ply where the solving side moves (plies offset, offset+2, ...), with the columns
+    ``keep`` too.
 
     move_number = idx+1, total_moves = n, solution = moves[idx:], side_to_move from the position text.
     """
@@ -79,60 +77,69 @@ def ply_expand(puzzles: DataFrame, solver_offset: int = 0) -> DataFrame:
                     side_label(side0, F.col("idx")).alias("side_to_move"),
                     (F.col("idx") + 1).alias("move_number"), F.size("moves").alias("total_moves"),
                     F.slice("moves", F.col("idx") + 1, F.size("moves") - F.col("idx")).alias("solution"),
-                    "idx"))
+                    "idx", *keep))
 
 
-def all_or_nothing(seqs: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keep whole sequences whose every step is valid; the rest is the failed set.
-
-    ``checked`` carries (seq_id, valid_len) from a ``valid_prefix*`` plan.
-    """
-    j = seqs.join(checked.select("seq_id", "valid_len"), "seq_id")
-    ok = F.col("valid_len") == F.size("actions")
-    return j.where(ok).drop("valid_len"), j.where(~ok).drop("valid_len")
+def all_or_nothing(checked: DataFrame, actions: str = "actions") -> tuple[DataFrame, DataFrame]:
+    """Whole sequences whose every step is valid, and the failed ones. ``checked`` is the sequences
+    with their ``valid_len`` (from :func:`valid_prefix_fold`)."""
+    ok = F.col("valid_len") == F.size(actions)
+    return checked.where(ok), checked.where(~ok)
 
 
 # ---- E5/E6: longest valid prefix and state replay ----------------------------------------------
 
-def valid_prefix(long_form: DataFrame, pairs: DataFrame, start: str = "") -> DataFrame:
+def step_pairs(seqs: DataFrame, start: str = "") -> DataFrame:
+    """(seq_id, pos from 1, prev, action): each step with the action before it (``start`` at the first)."""
+    prev = F.concat(F.array(F.lit(start)), F.slice("actions", F.lit(1), F.greatest(F.size("actions") - 1, F.lit(0))))
+    steps = F.arrays_zip(prev.alias("prev"), F.col("actions").alias("action"))
+    return (seqs.where(F.size("actions") > 0).select("seq_id", F.posexplode(steps).alias("i", "s"))
+            .select("seq_id", (F.col("i") + 1).alias("pos"), "s.prev", "s.action"))
+
+
+def valid_prefix(seqs: DataFrame, pairs: DataFrame, start: str = "") -> DataFrame:
     """E5(a): observable state. A step at ``pos`` is allowed when (previous action, action) is in
     ``pairs(prev, action)``; the prefix ends before the first step that is not.
 
-    Returns (seq_id, n_steps, valid_len). The previous action comes from an equi-join on
-    (seq_id, pos) - unique keys, so a huge sequence is spread over many tasks - and the result is a
-    partial aggregate per sequence. The pair relation is small (AQE broadcasts it when it is).
+    Returns (seq_id, n_steps, valid_len) of the sequences that have a step; the result is a partial
+    aggregate per sequence. The pair relation is small (AQE broadcasts it when it is).
     """
-    steps = long_form.select("seq_id", "pos", "action")
-    prev = steps.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("action").alias("prev"))
-    s = steps.join(prev, ["seq_id", "pos"], "left").withColumn("prev", F.coalesce("prev", F.lit(start)))
     allowed = pairs.select("prev", "action", F.lit(True).alias("ok")).dropDuplicates(["prev", "action"])
-    j = s.join(allowed, ["prev", "action"], "left")
+    j = step_pairs(seqs, start).join(allowed, ["prev", "action"], "left")
     agg = j.groupBy("seq_id").agg(F.count("*").alias("n_steps"),
                                   F.min(F.when(F.col("ok").isNull(), F.col("pos"))).alias("first_bad"))
     return agg.select("seq_id", F.col("n_steps").cast("int"),
                       F.coalesce(F.col("first_bad") - 1, F.col("n_steps")).cast("int").alias("valid_len"))
 
 
-def rules_maps(rules: DataFrame, max_rules: int = MAX_FOLD_RULES) -> tuple[Column, Column]:
-    """(transition map state -> (action -> next state), candidate map state -> sorted actions) as
-    scalar subqueries: computed once and shipped to every task with the plan. The rules size is
-    checked first."""
-    n = rules.count()
-    if n > max_rules:
-        raise ValueError(f"rules has {n} rows > {max_rules}: use valid_prefix_walk")
-    per_state = rules.groupBy("state").agg(
-        F.map_from_entries(F.collect_list(F.struct("action", "next_state"))).alias("m"))
-    trans = per_state.agg(F.map_from_entries(F.collect_list(F.struct("state", "m"))).alias("trans"))
-    cands = (candidate_actions(rules)
-             .agg(F.map_from_entries(F.collect_list(F.struct(F.col("state").cast("string"), "candidates")))
-                  .alias("cands")))
-    return trans.scalar(), cands.scalar()
+def with_transitions(seqs: DataFrame, rules: DataFrame, key: Sequence[str] = ("seq_id",),
+                     actions: str = "actions") -> DataFrame:
+    """Adds ``trans``, the rules of the sequence's own actions as a map action -> (state -> next state);
+    NULL when it has none. ``key`` must be unique. A (state, action) that occurs twice in ``rules``
+    raises, as a map cannot hold it twice, so no row is ever doubled.
+
+    The rules are grouped per action once and joined with each sequence's distinct actions; nothing is
+    collected or broadcast, whatever the size of ``rules``."""
+    per_action = rules.groupBy("action").agg(
+        F.map_from_entries(F.collect_list(F.struct("state", "next_state"))).alias("m"))
+    own = seqs.select(*key, F.explode(F.array_distinct(actions)).alias("action"))
+    maps = (own.join(per_action, "action").groupBy(*key)
+            .agg(F.map_from_entries(F.collect_list(F.struct("action", "m"))).alias("trans")))
+    return seqs.join(maps, list(key), "left")
 
 
-def with_rules_maps(seqs: DataFrame, rules: DataFrame, max_rules: int = MAX_FOLD_RULES) -> DataFrame:
-    """Adds the ``trans`` and ``cands`` map columns (one value for all rows)."""
-    trans, cands = rules_maps(rules, max_rules)
-    return seqs.withColumn("trans", trans).withColumn("cands", cands)
+def with_candidates(df: DataFrame, rules: DataFrame, key: Sequence[str] = ("seq_id",), states: str = "states") -> DataFrame:
+    """Adds ``cands``, the sorted allowed actions (E9) of the states the sequence visits, as a map
+    state text -> actions. ``key`` must be unique."""
+    seen = df.select(*key, F.explode(F.array_distinct(states)).alias("state"))
+    maps = (seen.join(candidate_actions(rules), "state").groupBy(*key)
+            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("state").cast("string"), "candidates"))).alias("cands")))
+    return df.join(maps, list(key), "left")
+
+
+def candidates_of(state: Column) -> Column:
+    """The ``cands`` entry of a state; [] when it has none."""
+    return F.coalesce(F.try_element_at(F.col("cands"), state.cast("string")), F.array().cast("array<string>"))
 
 
 def fold_states(actions: Column, start: Column, trans: Column, with_states: bool = True) -> Column:
@@ -141,13 +148,10 @@ def fold_states(actions: Column, start: Column, trans: Column, with_states: bool
 
     ``with_states=False`` keeps only the count: linear in the length (the states array is copied
     on every step, which is quadratic; fine for game-length sequences, not for very long ones)."""
-    def moves_of(state: Column) -> Column:
-        return F.try_element_at(trans, state)
-
     def step_of(acc: Column, a: Column):
-        m = moves_of(acc["s"])
-        go = acc["alive"] & F.coalesce(F.map_contains_key(m, a), F.lit(False))
-        nxt = F.when(go, F.try_element_at(m, a)).otherwise(acc["s"])
+        m = F.try_element_at(trans, a)
+        go = acc["alive"] & F.coalesce(F.map_contains_key(m, acc["s"]), F.lit(False))
+        nxt = F.when(go, F.try_element_at(m, acc["s"])).otherwise(acc["s"])
         return go, nxt
 
     if not with_states:
@@ -172,54 +176,20 @@ def fold_states(actions: Column, start: Column, trans: Column, with_states: bool
                                                                          acc["states"].alias("states")))
 
 
-def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, max_rules: int = MAX_FOLD_RULES,
-                      with_states: bool = True) -> DataFrame:
-    """E5(c): (seq_id, n_steps, valid_len[, states[]]) with the rules as one shipped map."""
-    j = with_rules_maps(seqs, rules, max_rules)
-    f = fold_states(F.col("actions"), F.col("start_state"), F.col("trans"), with_states)
-    cols = ["seq_id", F.size("actions").alias("n_steps"), f["valid_len"].alias("valid_len")]
-    return j.select(*cols, *([f["states"].alias("states")] if with_states else []))
+def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, with_states: bool = True,
+                      key: Sequence[str] = ("seq_id",), actions: str = "actions") -> DataFrame:
+    """E5(c): the sequences' columns, n_steps, valid_len and states[] (or last_state)."""
+    j = with_transitions(seqs, rules, key, actions)
+    f = fold_states(F.col(actions), F.col("start_state"), F.col("trans"), with_states)
+    last = "states" if with_states else "last_state"
+    return (j.select(*seqs.columns, F.size(actions).alias("n_steps"), f.alias("_f"))
+            .select(*seqs.columns, "n_steps", F.col("_f.valid_len").alias("valid_len"), F.col(f"_f.{last}").alias(last)))
 
 
-def valid_prefix_walk(long_form: DataFrame, starts: DataFrame, rules: DataFrame,
-                      max_plies: int | None = None, empty_check_every: int = 4) -> DataFrame:
-    """E5(b): hidden state, any rules size. One equi-join per ply; finished sequences leave the
-    frontier, so later plies touch only live sequences. Returns (seq_id, pos, state) for every
-    reached ply (pos 0 = start); :func:`walk_summary` gives the prefix length per sequence.
-
-    ``long_form`` is (seq_id, pos from 1, action); ``starts`` is (seq_id, start_state). Each ply's
-    frontier is checkpointed into ``spark.checkpoint.dir``: the plan of the next ply is one join deep,
-    a lost executor recomputes one ply at most, and the loop stops when no sequence is alive.
-    """
-    spark = long_form.sparkSession
-    checkpoint_dir(spark)
-    steps = long_form.select("seq_id", "pos", "action").repartition("seq_id").persist()
-    r = rules.select(F.col("state"), F.col("action"), F.col("next_state"))
-    frontier = starts.select("seq_id", F.lit(0).alias("pos"), F.col("start_state").alias("state")).checkpoint()
-    reached = [frontier]
-    longest = steps.agg(F.max("pos")).first()[0] or 0     # one small aggregate bounds the loop
-    if max_plies is not None:
-        longest = min(longest, max_plies)
-    for ply in range(1, longest + 1):
-        f = frontier.select("seq_id", (F.col("pos") + 1).alias("pos"), "state")
-        nxt = (f.join(steps, ["seq_id", "pos"])
-               .join(r, ["state", "action"])
-               .select("seq_id", "pos", F.col("next_state").alias("state"))).checkpoint()
-        reached.append(nxt)
-        frontier = nxt
-        if ply % empty_check_every == 0 and nxt.isEmpty():   # stop once no sequence is alive
-            break
-    out = reached[0]
-    for df in reached[1:]:
-        out = out.unionByName(df)
-    return out
-
-
-def walk_summary(reached: DataFrame, long_form: DataFrame) -> DataFrame:
-    """(seq_id, n_steps, valid_len) from the walk's reached plies (pass the persisted long form)."""
-    n = long_form.groupBy("seq_id").agg(F.count("*").cast("int").alias("n_steps"))
-    v = reached.groupBy("seq_id").agg(F.max("pos").cast("int").alias("valid_len"))
-    return n.join(v, "seq_id", "left").select("seq_id", "n_steps", F.coalesce("valid_len", F.lit(0)).alias("valid_len"))
+def reached_states(checked: DataFrame, key: Sequence[str] = ("seq_id",)) -> DataFrame:
+    """E5(b): (key, pos, state) of every ply that a sequence reaches (pos 0 = start), from
+    :func:`valid_prefix_fold`."""
+    return checked.select(*key, F.posexplode("states").alias("pos", "state"))
 
 
 def state_at(states: Column, k: Column | int) -> Column:
@@ -254,12 +224,6 @@ def candidate_actions(rules: DataFrame) -> DataFrame:
     return rules.groupBy("state").agg(F.sort_array(F.collect_set("action")).alias("candidates"))
 
 
-def attach_candidates(df: DataFrame, state_col: str, rules: DataFrame) -> DataFrame:
-    """Equi-join of the per-state candidate list (AQE broadcasts it when its size allows)."""
-    c = candidate_actions(rules).withColumnRenamed("state", state_col)
-    return df.join(c, state_col, "left")
-
-
 def dedup_compute(df: DataFrame, keys: list[str], compute) -> DataFrame:
     """Compute once per distinct key tuple, then join the result back (the memo as a plan)."""
     distinct = df.select(*keys).distinct()

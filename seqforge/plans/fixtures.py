@@ -34,7 +34,7 @@ def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Puzzle CSV rows, all strings (M1), one per order: the moves are its line items in line order
     (bounded by the order's size; '' for an order without items), a rating that is sometimes empty or
     not a number, themes from the order's priority and status (plus 'fork'/'mate' on some orders),
-    a URL, and tags that are absent on odd ids."""
+    a URL, and tags that are absent on odd ids. On some orders the moves or the themes are missing."""
     li = table(spark, sf_dir, "lineitem")
     tok = F.concat(F.lower("l_returnflag"), F.col("l_linenumber").cast("string"), F.lower("l_linestatus"),
                    (F.pmod(F.col("l_partkey"), F.lit(8)) + 1).cast("string"))
@@ -56,9 +56,9 @@ def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.cast("string").alias("PuzzleId"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(" "), side_letter("s", i),
                  F.lit(" - - 0 1")).alias("FEN"),
-        F.coalesce(F.col("moves"), F.lit("")).alias("Moves"),
+        F.when(hash32("nm", i) % 17 != 0, F.coalesce(F.col("moves"), F.lit(""))).alias("Moves"),
         rating.alias("Rating"),
-        themes.alias("Themes"),
+        F.when(hash32("nt", i) % 19 != 0, themes).alias("Themes"),
         F.concat(F.lit("https://example.org/g/"), i.cast("string")).alias("GameUrl"),
         F.when(i % 2 == 1, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")).alias("OpeningTags"),
     )
@@ -66,7 +66,8 @@ def v_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested evaluation records (M3): one per order; one eval per return flag of its line items
-    (bounded by the order's size); pvs = those line items in a total order."""
+    (bounded by the order's size); pvs = those line items in a total order. Some records have no eval, and
+    some no pv in their first eval."""
     li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
     line_tokens = F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")),
@@ -87,9 +88,12 @@ def v_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     rec = per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
     flags = F.array_distinct(F.transform("items", lambda x: x["flag"]))
+    flags = F.when(hash32("ne", F.col("o_orderkey")) % 13 == 0, F.slice(flags, 1, 0)).otherwise(flags)
+    no_line = hash32("np", F.col("o_orderkey")) % 11 == 0
+    first = F.get(F.col("items"), 0)["flag"]
 
     def ev(flag: Column) -> Column:
-        pvs = F.transform(F.filter("items", lambda x: x["flag"] == flag),
+        pvs = F.transform(F.filter("items", lambda x: (x["flag"] == flag) & ~(no_line & (flag == first))),
                           lambda x: F.struct(x["cp"].alias("cp"), x["mate"].alias("mate"), x["line"].alias("line")))
         return F.struct(((F.col("o_orderkey") + F.ascii(flag)) % 40 + 10).cast("int").alias("depth"),
                         F.floor("o_totalprice").cast("bigint").alias("knodes"), pvs.alias("pvs"))
@@ -114,23 +118,15 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.col("n_chars")).alias("knodes"))
 
 
-def v_seq_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered action sequences, long form (seq_id, pos, action): user x week of events, ordered by
-    (ts, event_id). Positions are skew-safe (a huge sequence spans many tasks)."""
-    from seqforge.operators.ordering import group_positions
+def v_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered action sequences (seq_id, start_state=0, start_side, actions[]): user x week of events,
+    ordered by (ts, event_id); one shuffle. A user's events of one week are a bounded sequence."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("bigint")
-    e = e.select((F.col("user_id") * 10 + week).alias("seq_id"), "ts", "event_id", F.col("event_type").alias("action"))
-    return group_positions(e, ["seq_id"], [F.col("ts"), F.col("event_id")]).select("seq_id", "pos", "action")
-
-
-def v_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences as arrays (seq_id, start_state=0, actions[])."""
-    lf = v_seq_long(spark, sf_dir)
-    return (lf.groupBy("seq_id")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "action"))).alias("a"))
-            .select("seq_id", F.lit(0).alias("start_state"),
-                    F.transform("a", lambda x: x["action"]).alias("actions")))
+    g = (e.groupBy((F.col("user_id") * 10 + week).alias("seq_id"))
+         .agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("a")))
+    return g.select("seq_id", F.lit(0).alias("start_state"), side_letter("ss", F.col("seq_id")).alias("start_side"),
+                    F.transform("a", lambda x: x["event_type"]).alias("actions"))
 
 
 def v_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,13 +142,21 @@ def v_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observable-state rules: allowed (previous action, action) pairs ('' is the start), taken from
     the pairs that occur in the sequences and kept when (length(prev) + 2*ascii(action)) % 9 <> 0."""
-    lf = v_seq_long(spark, sf_dir)
-    prev = lf.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("action").alias("prev"))
-    p = (lf.join(prev, ["seq_id", "pos"], "left")
-         .select(F.coalesce("prev", F.lit("")).alias("prev"), "action").distinct())
+    from seqforge.operators.sequences import step_pairs
+    p = step_pairs(v_seq(spark, sf_dir)).select("prev", "action").distinct()
     return p.where((F.length("prev") + F.ascii("action") * 2) % 9 != 0)
 
 
+def v_puz_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transition relation over the puzzles' moves: states 0-6; with d, e the codes of a move's second and
+    fourth character, next = (3*state + 2*d + e) % 7; (state + d + e) % 13 = 0 is not allowed."""
+    acts = v_raw(spark, sf_dir).select(F.explode(F.split("Moves", " ")).alias("action")).where("action <> ''").distinct()
+    d, e = F.ascii(F.substring("action", 2, 1)), F.ascii(F.substring("action", 4, 1))
+    r = acts.select("action", d.alias("d"), e.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("state"))
+    return (r.where((F.col("state") + F.col("d") + F.col("e")) % 13 != 0)
+            .select("state", "action", ((F.col("state") * 3 + F.col("d") * 2 + F.col("e")) % 7).cast("int").alias("next_state")))
+
+
 def v_comp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions (M12) built from assistant turns in eight text variants, with aligned columns; the
     move is a 4-hex-digit key derived from the whole turn text."""

@@ -26,13 +26,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 VIEWS["v_raw"] = ((), f"""
 SELECT CAST(o.o_orderkey AS VARCHAR) AS "PuzzleId",
        'c' || CAST(o.o_custkey AS VARCHAR) || ' ' || {side('s', 'o.o_orderkey')} || ' - - 0 1' AS "FEN",
-       coalesce(m.moves, '') AS "Moves",
+       CASE WHEN {h32('nm', 'o.o_orderkey')} % 17 <> 0 THEN coalesce(m.moves, '') END AS "Moves",
        CASE WHEN {h32('r', 'o.o_orderkey')} % 10 = 0 THEN ''
             WHEN {h32('r', 'o.o_orderkey')} % 10 = 1 THEN 'abc'
             ELSE CAST(400 + {h32('r', 'o.o_orderkey')} % 2400 AS VARCHAR) END AS "Rating",
+       CASE WHEN {h32('nt', 'o.o_orderkey')} % 19 <> 0 THEN
        concat_ws(' ', lower(split_part(o.o_orderpriority, '-', 2)), 'status' || lower(o.o_orderstatus),
                  CASE WHEN {h32('t1', 'o.o_orderkey')} % 5 = 0 THEN 'fork' END,
-                 CASE WHEN {h32('t2', 'o.o_orderkey')} % 4 = 0 THEN 'mate' END) AS "Themes",
+                 CASE WHEN {h32('t2', 'o.o_orderkey')} % 4 = 0 THEN 'mate' END) END AS "Themes",
        'https://example.org/g/' || CAST(o.o_orderkey AS VARCHAR) AS "GameUrl",
        CASE WHEN o.o_orderkey % 2 = 1 THEN NULL ELSE o.o_orderpriority END AS "OpeningTags"
 FROM orders o LEFT JOIN (
@@ -44,7 +45,7 @@ FROM orders o LEFT JOIN (
   FROM lineitem GROUP BY l_orderkey) m ON m.l_orderkey = o.o_orderkey
 """)
 
-# Typed puzzles (P1/P2): rating '' -> 0, non-numeric rating -> error row (removed here).
+# Typed puzzles (P1/P2): rating '' -> 0; non-numeric rating, missing moves or themes -> error row (removed here).
 VIEWS["v_puz"] = (("v_raw",), """
 SELECT "PuzzleId" AS puzzle_id, "FEN" AS fen,
        list_filter(regexp_split_to_array("Moves", '\\s+'), lambda x: x <> '') AS moves,
@@ -54,17 +55,19 @@ SELECT "PuzzleId" AS puzzle_id, "FEN" AS fen,
        CASE WHEN "OpeningTags" IS NULL OR "OpeningTags" = '' THEN []::VARCHAR[]
             ELSE list_filter(regexp_split_to_array("OpeningTags", '\\s+'), lambda x: x <> '') END AS opening_tags
 FROM v_raw
-WHERE "Rating" = '' OR TRY_CAST("Rating" AS INTEGER) IS NOT NULL
+WHERE ("Rating" = '' OR TRY_CAST("Rating" AS INTEGER) IS NOT NULL) AND "Moves" IS NOT NULL AND "Themes" IS NOT NULL
 """)
 
 VIEWS["v_eval"] = ((), f"""
 SELECT rec_id, fen, evals FROM (
   SELECT f.l_orderkey AS rec_id,
          'o' || CAST(f.l_orderkey AS VARCHAR) || ' ' || {side('s', 'f.l_orderkey')} || ' - - 0 1' AS fen,
+         CASE WHEN {h32('ne', 'f.l_orderkey')} % 13 = 0 THEN [] ELSE
          list(struct_pack(depth := CAST((f.l_orderkey + ascii(f.l_returnflag)) % 40 + 10 AS INTEGER),
                           knodes := CAST(floor(o.o_totalprice) AS BIGINT),
-                          pvs := f.pvs) ORDER BY f.l_returnflag) AS evals
-  FROM (
+                          pvs := CASE WHEN {h32('np', 'f.l_orderkey')} % 11 = 0 AND f.l_returnflag = f.first_flag THEN [] ELSE f.pvs END)
+              ORDER BY f.l_returnflag) END AS evals
+  FROM (SELECT *, min(l_returnflag) OVER (PARTITION BY l_orderkey) AS first_flag FROM (
     SELECT l_orderkey, l_returnflag,
            list(struct_pack(cp := CASE WHEN l_quantity < 45 THEN CAST(floor(l_extendedprice) AS INTEGER) END,
                             mate := CASE WHEN l_quantity >= 45 THEN CAST(l_quantity - 47 AS INTEGER) END,
@@ -74,7 +77,7 @@ SELECT rec_id, fen, evals FROM (
                                        'q' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)],
                                       1, 1 + {h32('l', 'l_partkey')} % 5), ' '))
                 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_linestatus) AS pvs
-    FROM lineitem GROUP BY l_orderkey, l_returnflag) f
+    FROM lineitem GROUP BY l_orderkey, l_returnflag)) f
   JOIN orders o ON f.l_orderkey = o.o_orderkey
   GROUP BY f.l_orderkey)
 """)
@@ -96,7 +99,8 @@ FROM (SELECT *, user_id * 10 + CAST(floor(date_diff('day', DATE '2024-01-01', CA
 """)
 
 VIEWS["v_seq"] = (("v_seq_long",), """
-SELECT seq_id, 0 AS start_state, list(action ORDER BY pos) AS actions FROM v_seq_long GROUP BY seq_id
+SELECT seq_id, 0 AS start_state, """ + side('ss', 'seq_id') + """ AS start_side, list(action ORDER BY pos) AS actions
+FROM v_seq_long GROUP BY seq_id
 """)
 
 VIEWS["v_rules"] = ((), """
@@ -106,6 +110,14 @@ FROM (SELECT range AS state FROM range(7)) s, (SELECT DISTINCT event_type AS act
 WHERE (s.state + ascii(a.action)) % 11 <> 0
 """)
 
+VIEWS["v_puz_rules"] = (("v_raw",), """
+SELECT CAST(s.state AS INTEGER) AS state, a.action, CAST((s.state * 3 + d * 2 + e) % 7 AS INTEGER) AS next_state
+FROM (SELECT range AS state FROM range(7)) s,
+     (SELECT action, ascii(substr(action, 2, 1)) AS d, ascii(substr(action, 4, 1)) AS e
+      FROM (SELECT DISTINCT unnest(string_split("Moves", ' ')) AS action FROM v_raw) WHERE action <> '') a
+WHERE (s.state + d + e) % 13 <> 0
+""")
+
 VIEWS["v_pairs"] = (("v_seq_long",), """
 SELECT prev, action FROM (
   SELECT DISTINCT coalesce(p.action, '') AS prev, l.action

@@ -1,4 +1,8 @@
-"""End-to-end example queries (lifecycles L2, L3) over action sequences and the rules table."""
+"""End-to-end example queries (lifecycles L2, L3) over action sequences and the rules table.
+
+The oracles follow the order of steps of the task: valid prefix first, sequences with fewer than two valid
+steps dropped, then the split point in what is left.
+"""
 
 from __future__ import annotations
 
@@ -12,23 +16,44 @@ from seqforge.plans.catalog import register
 from seqforge.plans.fixtures_sql import h32, lit
 from seqforge.plans.fixtures_sql import with_views
 from seqforge.plans.q_sequences import _WALK, _walk_sql, game_rows_sql
-from seqforge.plans.q_text import _VOCAB_SQL, _encode_sql, _marker_ids, _vocab, render_sql
+from seqforge.plans.q_text import _encode_sql, _marker_ids, render_sql, vocab_sql
+from seqforge.session import stored
 
 CM_S, CM_E = fixed.CHATML_START, fixed.CHATML_END
 SFT_L = 512
-CONV_L = 1024
+CONV_L = 128      # shorter than most conversations, so that rows are truncated
 
-# Position at the split point: (seq_id, i, actions, state, cands) - only when the split is reached.
+_VALID = """
+SELECT s.seq_id, s.start_side, list_slice(s.actions, 1, v.valid_len) AS actions, v.valid_len
+FROM v_seq s JOIN (SELECT seq_id, max(pos) AS valid_len FROM walk GROUP BY seq_id) v ON v.seq_id = s.seq_id
+WHERE v.valid_len >= 2
+"""
+
+# Position at the split point: (seq_id, i, actions, state, cands, side).
 _POS_SQL = f"""
 SELECT sp.seq_id, sp.i, sp.actions, w.state, coalesce(c.c, []::VARCHAR[]) AS cands,
-       CASE WHEN sp.i % 2 = 0 THEN 'White' ELSE 'Black' END AS side
-FROM (SELECT seq_id, actions, CAST({h32('42:0', 'seq_id')} % len(actions) AS INTEGER) AS i
-      FROM v_seq WHERE len(actions) > 0) sp
+       CASE WHEN (sp.start_side = 'w') <> (sp.i % 2 = 1) THEN 'White' ELSE 'Black' END AS side
+FROM (SELECT *, CAST({h32('42:0', 'seq_id')} % valid_len AS INTEGER) AS i FROM ({_VALID})) sp
 JOIN walk w ON w.seq_id = sp.seq_id AND w.pos = sp.i
 LEFT JOIN (SELECT state, list_sort(list_distinct(list(action))) AS c FROM v_rules GROUP BY state) c ON c.state = w.state
 """
 
 
+def _lines(spark, sf):
+    return examples.valid_lines(fx.v_seq(spark, sf), fx.v_rules(spark, sf))
+
+
+@register("line_split", _walk_sql(f"""
+SELECT * FROM (WITH s AS (SELECT seq_id, row_number() OVER (ORDER BY md5('42:' || CAST(seq_id AS VARCHAR))) AS rn FROM ({_VALID})),
+n AS (SELECT least(count(*), 300) AS n FROM s)
+SELECT seq_id, CASE WHEN rn <= ceil(n * 0.01::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM s, n WHERE rn <= n)
+"""))
+def q_line_split(spark, sf):
+    """L2/L3: sample and train/test split of the valid lines."""
+    train, test = examples.sample_and_split(_lines(spark, sf).select("seq_id"), 300, 0.01)
+    return train.select("seq_id", F.lit("train").alias("split")).unionByName(test.select("seq_id", F.lit("test").alias("split")))
+
+
 def _chat_user_sql(content: str, gen: bool = True) -> str:
     head = lit(f"{CM_S}system\n{fixed.DEFAULT_SYSTEM}{CM_E}\n{CM_S}user\n")
     tail = lit(f"{CM_E}\n" + (f"{CM_S}assistant\n" if gen else ""))
@@ -46,7 +71,7 @@ SELECT seq_id, {_chat_user_sql(_prompt_sql(fixed.PROMPT_BEST_MOVE))} AS prompt,
 FROM ({_POS_SQL})
 """))
 def q_grpo_prompts(spark, sf):
-    r = examples.prompt_rows(fx.v_seq(spark, sf), fx.v_rules(spark, sf))
+    r = examples.prompt_rows(_lines(spark, sf))
     return r.select("seq_id", "prompt", "correct_move", joined("legal_moves").alias("legal_moves"), "fen")
 
 
@@ -76,14 +101,16 @@ FROM (
           FROM ({_encode_sql('SELECT * FROM src', 'seq_id', 'ptext')}) a
           JOIN ({_encode_sql('SELECT * FROM src', 'seq_id', 'response')}) b ON a.seq_id = b.seq_id)))
 """
-    return with_views(body, "v_seq", "v_seq_long", "v_rules", "v_comp",
-                      extra={"walk": _WALK, "vocab": _VOCAB_SQL, "src": src}, recursive=True)
+    words = vocab_sql("SELECT ptext AS text FROM src UNION ALL SELECT response FROM src")
+    return with_views(body, "v_seq", "v_seq_long", "v_rules",
+                      extra={"walk": _WALK, "src": src, "vocab": words}, recursive=True)
 
 
 @register("sft_single_rows", _single_sql())
 def q_sft_single_rows(spark, sf):
-    vocab = _vocab(spark, sf)
-    r = examples.single_move_rows(fx.v_seq(spark, sf), fx.v_rules(spark, sf), vocab, SFT_L)
+    ex = stored(examples.single_move_texts(_lines(spark, sf)), "single-move")
+    vocab = tokens.build_vocab(ex.select(F.col("ptext").alias("text")).unionByName(ex.select(F.col("response").alias("text"))))
+    r = examples.single_move_rows(ex, vocab, SFT_L)
     return r.select("seq_id", joined("input_ids", ",").alias("input_ids"),
                     joined("attention_mask", ",").alias("attention_mask"), joined("labels", ",").alias("labels"))
 
@@ -116,15 +143,16 @@ FROM v_seq s LEFT JOIN (
                 FROM ({_encode_sql('SELECT * FROM conv', 'seq_id', 'text')})),
                (SELECT id AS uci FROM vocab WHERE token = 'uci_move') mk))) e ON e.seq_id = s.seq_id
 """
-    return with_views(body, "v_seq", "v_seq_long", "v_rules", "v_comp",
-                      extra={"walk": _WALK, "vocab": _VOCAB_SQL, "conv": text}, recursive=True)
+    return with_views(body, "v_seq", "v_seq_long", "v_rules",
+                      extra={"walk": _WALK, "conv": text, "vocab": vocab_sql("SELECT text FROM conv")}, recursive=True)
 
 
 @register("sft_conversation_rows", _conversation_sql())
 def q_sft_conversation_rows(spark, sf):
-    vocab = _vocab(spark, sf)
+    texts = stored(examples.conversation_texts(fx.v_seq(spark, sf), fx.v_rules(spark, sf)), "conversations")
+    vocab = tokens.build_vocab(texts.where("ok").select("text"))
     marker = _marker_ids(vocab, ["uci_move"]).scalar()
-    r = examples.conversation_rows(fx.v_seq(spark, sf), fx.v_rules(spark, sf), vocab, marker, CONV_L)
+    r = examples.conversation_rows(texts, vocab, marker, CONV_L)
     return r.select("seq_id", joined("input_ids", ",").alias("input_ids"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_attended"),
                     joined("labels", ",").alias("labels"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
 from seqforge.functions.text import joined, ws_split
-from seqforge.operators import profile, project, sequences
+from seqforge.operators import examples, profile, project, sequences
 from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import register
 from seqforge.plans.fixtures_sql import with_views
@@ -110,7 +110,8 @@ SELECT "PuzzleId" AS puzzle_id, "FEN" AS fen, array_to_string({ws('coalesce("Mov
        array_to_string({ws('coalesce("Themes", \'\')')}, ' ') AS themes, "GameUrl" AS game_url,
        CASE WHEN "OpeningTags" IS NULL OR "OpeningTags" = '' THEN '' ELSE array_to_string({ws('"OpeningTags"')}, ' ') END
          AS opening_tags,
-       (CASE WHEN "Rating" IS NULL OR "Rating" = '' THEN 0 ELSE TRY_CAST("Rating" AS INTEGER) END) IS NULL AS parse_error
+       (CASE WHEN "Rating" IS NULL OR "Rating" = '' THEN 0 ELSE TRY_CAST("Rating" AS INTEGER) END) IS NULL
+         OR "Moves" IS NULL OR "Themes" IS NULL AS parse_error
 FROM v_raw
 """
 
@@ -195,11 +196,11 @@ def q_rating_profile(spark, sf):
 @register("top_tokens", with_views(
     "SELECT theme, cnt, round(cnt * 100.0 / (SELECT count(*) FROM v_puz), 1) AS pct FROM ("
     "SELECT theme, count(*) AS cnt FROM (SELECT unnest(themes) AS theme FROM v_puz) GROUP BY theme) "
-    "ORDER BY cnt DESC, theme LIMIT 20", "v_puz"))
+    "ORDER BY cnt DESC, theme LIMIT 5", "v_puz"))
 def q_top_tokens(spark, sf):
     p = v_puz(spark, sf)
     n = p.agg(F.count("*")).scalar()
-    return profile.top_tokens(p.select(F.explode("themes").alias("theme")), 20, "theme", n)
+    return profile.top_tokens(p.select(F.explode("themes").alias("theme")), 5, "theme", n)
 
 
 @register("length_profile", with_views(
@@ -219,9 +220,9 @@ def q_rating_histogram(spark, sf):
 @register("token_explode", with_views(
     "SELECT puzzle_id, unnest(themes) AS token FROM v_puz", "v_puz"))
 def q_token_explode(spark, sf):
-    return sequences.token_explode(fx.v_raw(spark, sf).join(v_puz(spark, sf).select(
-        F.col("puzzle_id").alias("PuzzleId")), "PuzzleId", "left_semi")
-        .select(F.col("PuzzleId").alias("puzzle_id"), "Themes"), "Themes", keep=("puzzle_id",))
+    raw = fx.v_raw(spark, sf)
+    good = raw.where(~project.parse_error(raw)).select(F.col("PuzzleId").alias("puzzle_id"), "Themes")
+    return sequences.token_explode(good, "Themes", keep=("puzzle_id",))
 
 
 _PLY_SQL = """
@@ -245,21 +246,69 @@ def q_ply_expand(spark, sf):
     return _ply_cols(sequences.ply_expand(v_puz(spark, sf)))
 
 
-def _plies_with_candidates(spark, sf):
-    plies = sequences.ply_expand(v_puz(spark, sf))
-    # Candidates of a position: the distinct remaining solution moves, sorted (a bounded stand-in for
-    # the legal-move list, which the reference gets from a game library).
-    return plies.withColumn("legal_moves", F.array_sort(F.array_distinct("solution")))
+# L1: every move of a puzzle is checked against the rules, then each ply of the solving side gives an example.
+_PUZ_WALK = """
+SELECT puzzle_id, 0 AS pos, CAST(CAST(puzzle_id AS BIGINT) % 7 AS INTEGER) AS state, moves FROM v_puz
+UNION ALL
+SELECT w.puzzle_id, w.pos + 1, r.next_state, w.moves
+FROM walk w JOIN v_puz_rules r ON r.state = w.state AND r.action = w.moves[w.pos + 1]
+"""
+_CHECKED = """
+SELECT p.*, v.valid_len = len(p.moves) AS ok
+FROM v_puz p JOIN (SELECT puzzle_id, max(pos) AS valid_len FROM walk GROUP BY puzzle_id) v ON v.puzzle_id = p.puzzle_id
+"""
+_EXAMPLES = """
+SELECT c.puzzle_id, CAST(w.state AS VARCHAR) AS fen, array_to_string(coalesce(k.c, []::VARCHAR[]), ' ') AS legal_moves, rating,
+       array_to_string(themes, ' ') AS themes, c.moves[i + 1] AS move,
+       CASE WHEN (split_part(c.fen, ' ', 2) = 'w') <> (i % 2 = 1) THEN 'White' ELSE 'Black' END AS side_to_move,
+       CAST(i + 1 AS BIGINT) AS move_number, CAST(len(c.moves) AS BIGINT) AS total_moves,
+       array_to_string(list_slice(c.moves, i + 1, len(c.moves)), ' ') AS solution
+FROM (SELECT *, unnest(range(len(moves))) AS i FROM checked WHERE ok) c
+JOIN walk w ON w.puzzle_id = c.puzzle_id AND w.pos = c.i
+LEFT JOIN (SELECT state, list_sort(list_distinct(list(action))) AS c FROM v_puz_rules GROUP BY state) k ON k.state = w.state
+WHERE i % 2 = 0
+"""
+
+
+def _puzzle_sql(sql: str) -> str:
+    return with_views(sql, "v_puz", "v_puz_rules", extra={"walk": _PUZ_WALK, "checked": _CHECKED, "examples": _EXAMPLES},
+                      recursive=True)
+
+
+def _checked(spark, sf, puzzles=None):
+    p = v_puz(spark, sf) if puzzles is None else puzzles
+    p = p.withColumn("start_state", (F.col("puzzle_id").cast("bigint") % 7).cast("int"))
+    return examples.check_puzzles(p, fx.v_puz_rules(spark, sf))
+
 
+@register("puzzle_examples", _puzzle_sql(
+    "SELECT puzzle_id, move_number, fen, legal_moves, side_to_move, move, solution FROM examples"))
+def q_puzzle_examples(spark, sf):
+    ex = examples.puzzle_examples(_checked(spark, sf))
+    return ex.select(F.col("metadata.puzzle_id").alias("puzzle_id"), F.col("metadata.move_number").cast("bigint").alias("move_number"),
+                     F.col("input.fen").alias("fen"), joined("input.legal_moves").alias("legal_moves"),
+                     F.col("input.side_to_move").alias("side_to_move"), F.col("output.move").alias("move"),
+                     joined("output.solution").alias("solution"))
 
-@register("position_examples", with_views(
-    f"SELECT fen AS input_fen, array_to_string(list_sort(list_distinct(solution)), ' ') AS input_legal_moves, "
-    f"side_to_move AS input_side_to_move, move AS output_move, array_to_string(solution, ' ') AS output_solution, "
-    f"puzzle_id AS metadata_puzzle_id, rating AS metadata_rating, array_to_string(themes, ' ') AS metadata_themes, "
-    f"CAST(move_number AS BIGINT) AS metadata_move_number, CAST(total_moves AS BIGINT) AS metadata_total_moves "
-    f"FROM ({_PLY_SQL})", "v_puz"))
+
+@register("puzzle_report", _puzzle_sql(f"""
+SELECT (SELECT count_if(parse_error) FROM ({_TYPED_SQL})) AS errors, count_if(NOT used) AS skipped, count_if(used) AS total,
+       count_if(used AND ok) AS successful, count_if(used AND NOT ok) AS failed,
+       CAST(coalesce(sum(CASE WHEN used AND ok THEN (len(moves) + 1) // 2 END), 0) AS BIGINT) AS total_positions
+FROM (SELECT *, rating BETWEEN 1000 AND 2500 AS used FROM checked)
+"""))
+def q_puzzle_report(spark, sf):
+    """A7/S11 counters of one extraction run: error rows, rows outside the ratings, failed and successful."""
+    typed = project.type_puzzles(fx.v_raw(spark, sf))
+    return examples.puzzle_report(_checked(spark, sf, typed), 1000, 2500)
+
+
+@register("position_examples", _puzzle_sql(
+    "SELECT fen AS input_fen, legal_moves AS input_legal_moves, side_to_move AS input_side_to_move, move AS output_move, "
+    "solution AS output_solution, puzzle_id AS metadata_puzzle_id, rating AS metadata_rating, themes AS metadata_themes, "
+    "move_number AS metadata_move_number, total_moves AS metadata_total_moves FROM examples"))
 def q_position_examples(spark, sf):
-    ex = project.position_examples(_plies_with_candidates(spark, sf))
+    ex = examples.puzzle_examples(_checked(spark, sf))
     return ex.select(F.col("input.fen").alias("input_fen"), joined("input.legal_moves").alias("input_legal_moves"),
                      F.col("input.side_to_move").alias("input_side_to_move"),
                      F.col("output.move").alias("output_move"), joined("output.solution").alias("output_solution"),
@@ -270,11 +319,10 @@ def q_position_examples(spark, sf):
                      F.col("metadata.total_moves").cast("bigint").alias("metadata_total_moves"))
 
 
-@register("flatten_example", with_views(
-    f"SELECT fen, move AS correct_move, array_to_string(list_sort(list_distinct(solution)), ' ') AS legal_moves, "
-    f"side_to_move, puzzle_id, rating, array_to_string(themes, ' ') AS themes FROM ({_PLY_SQL})", "v_puz"))
+@register("flatten_example", _puzzle_sql(
+    "SELECT fen, move AS correct_move, legal_moves, side_to_move, puzzle_id, rating, themes FROM examples"))
 def q_flatten_example(spark, sf):
-    f = project.flatten_example(project.position_examples(_plies_with_candidates(spark, sf)))
+    f = project.flatten_example(examples.puzzle_examples(_checked(spark, sf)))
     return f.select("fen", "correct_move", joined("legal_moves").alias("legal_moves"), "side_to_move", "puzzle_id",
                     "rating", joined("themes").alias("themes"))
 
@@ -322,12 +370,12 @@ def q_complexity_bucket(spark, sf):
 # ---- lines: S6, S14 ----------------------------------------------------------------------------
 
 @register("byte_slice", with_views(
-    "SELECT seq_id, o FROM (SELECT seq_id, sum(strlen(line) + 1) OVER (ORDER BY seq_id ROWS UNBOUNDED PRECEDING) - 1 AS o "
+    "SELECT seq_id, o, line FROM (SELECT seq_id, line, sum(strlen(line) + 1) OVER (ORDER BY seq_id ROWS UNBOUNDED PRECEDING) - 1 AS o "
     "FROM v_lines) WHERE o >= 1048576 AND o < 2097152", "v_lines"))
 def q_byte_slice(spark, sf):
-    lines = fx.v_lines(spark, sf)
+    lines = fx.v_lines(spark, sf).select("seq_id", "line")
     return readers.byte_slice(lines, "seq_id", F.octet_length("line") + 1, skip_mb=1, target_mb=1).select(
-        "seq_id", F.col("newline_offset").alias("o"))
+        "seq_id", F.col("newline_offset").alias("o"), "line")
 
 
 @register("preview", with_views(
@@ -341,13 +389,43 @@ def q_preview(spark, sf):
         F.size(t).cast("bigint").alias("n_moves"), "depth", "knodes")
 
 
-@register("scan_examples", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en'")
+@register("scan_examples", "SELECT doc_id, lang, n_chars FROM documents")
 def q_scan_examples(spark, sf):
-    """Load a built example table; the projection and the filter reach the parquet scan."""
-    return readers.scan_examples(spark, f"{sf}/documents.parquet", ["doc_id", "lang", "n_chars"],
-                                 F.col("lang") == "en")
+    """Load a built example table; the projection reaches the parquet scan."""
+    return readers.scan_examples(spark, f"{sf}/documents.parquet", ["doc_id", "lang", "n_chars"])
+
+
+_SIDECAR = ("total bigint, total_positions bigint, successful bigint, failed bigint, themes map<string,bigint>, "
+            "rating_buckets map<string,bigint>, move_stats struct<min:int,max:int,mean:double>, move_count_histogram map<string,bigint>")
+
+
+@register("stats_sidecar", _puzzle_sql("""
+SELECT * FROM (WITH ok AS (SELECT * FROM checked WHERE ok), n AS (SELECT len(moves) AS n FROM ok)
+SELECT part, key, round(CAST(value AS DOUBLE), 6) AS value FROM (
+SELECT 'total' AS part, '' AS key, (SELECT count(*) FROM checked) AS value
+UNION ALL SELECT 'successful', '', (SELECT count(*) FROM ok)
+UNION ALL SELECT 'failed', '', (SELECT count_if(NOT ok) FROM checked)
+UNION ALL SELECT 'total_positions', '', (SELECT coalesce(sum((n + 1) // 2), 0) FROM n)
+UNION ALL SELECT 'themes', theme, count(*) FROM (SELECT unnest(themes) AS theme FROM ok) GROUP BY theme
+UNION ALL SELECT 'rating_buckets', CAST(CAST(floor(rating / 100) * 100 AS BIGINT) AS VARCHAR), count(*) FROM ok GROUP BY ALL
+UNION ALL SELECT 'move_stats', 'min', (SELECT min(n) FROM n)
+UNION ALL SELECT 'move_stats', 'max', (SELECT max(n) FROM n)
+UNION ALL SELECT 'move_stats', 'mean', (SELECT avg(n) FROM n)
+UNION ALL SELECT 'move_count_histogram', CAST(n AS VARCHAR), count(*) FROM n GROUP BY n))
+"""))
+def q_stats_sidecar(spark, sf):
+    """The JSON document of one extraction run, taken apart again: part, key, value."""
+    checked = _checked(spark, sf)
+    failed = checked.where(~F.col("ok")).agg(F.count("*")).scalar()
+    doc = profile.stats_sidecar(checked.where("ok"), failed).select(F.from_json("stats_json", _SIDECAR).alias("j")).select("j.*")
 
+    def entry(part: str, key, value):
+        return F.struct(F.lit(part).alias("part"), key.alias("key"), F.round(value.cast("double"), 6).alias("value"))
 
-@register("stats_sidecar")
-def q_stats_sidecar(spark, sf):
-    return profile.stats_sidecar(v_puz(spark, sf))
+    single = F.array(*[entry(c, F.lit(""), F.col(c)) for c in ("total", "successful", "failed", "total_positions")],
+                     *[entry("move_stats", F.lit(k), F.col(f"move_stats.{k}")) for k in ("min", "max", "mean")])
+    def entries(c: str):
+        return F.transform(F.map_entries(c), lambda e: entry(c, e["key"], e["value"]))
+
+    maps = [entries(c) for c in ("themes", "rating_buckets", "move_count_histogram")]
+    return doc.select(F.explode(F.concat(single, *maps)).alias("e")).select("e.*")

@@ -28,10 +28,10 @@ GROUP BY s.seq_id
 
 @register("valid_prefix", with_views(_VP_SQL, "v_seq_long", "v_pairs"))
 def q_valid_prefix(spark, sf):
-    return sequences.valid_prefix(fx.v_seq_long(spark, sf), fx.v_pairs(spark, sf))
+    return sequences.valid_prefix(fx.v_seq(spark, sf), fx.v_pairs(spark, sf))
 
 
-# Recursive walk in SQL: the oracle of both hidden-state plans.
+# Recursive walk in SQL: the oracle of the hidden-state queries.
 _WALK = """
 SELECT seq_id, 0 AS pos, start_state AS state FROM v_seq
 UNION ALL
@@ -54,19 +54,16 @@ def _walk_sql(sql: str) -> str:
 @register("valid_prefix_fold", _walk_sql(_WALK_RESULT_SQL))
 def q_valid_prefix_fold(spark, sf):
     f = sequences.valid_prefix_fold(fx.v_seq(spark, sf), fx.v_rules(spark, sf))
-    return f.select("seq_id", F.col("n_steps").cast("int"), "valid_len", joined("states").alias("states"))
+    return f.select("seq_id", "n_steps", "valid_len", joined("states").alias("states"))
 
 
 @register("valid_prefix_walk", _walk_sql(_WALK_RESULT_SQL))
 def q_valid_prefix_walk(spark, sf):
-    long_form = fx.v_seq_long(spark, sf).persist()    # read by the walk, its starts and the summary
-    starts = long_form.select("seq_id").distinct().select("seq_id", F.lit(0).alias("start_state"))
-    reached = sequences.valid_prefix_walk(long_form, starts, fx.v_rules(spark, sf))
-    summary = sequences.walk_summary(reached, long_form)
-    states = (reached.groupBy("seq_id")
-              .agg(F.sort_array(F.collect_list(F.struct("pos", "state"))).alias("ps"))
-              .select("seq_id", F.array_join(F.transform("ps", lambda x: x["state"].cast("string")), " ").alias("states")))
-    return summary.join(states, "seq_id")
+    """E5(b): the reached plies in long form, regrouped."""
+    checked = sequences.valid_prefix_fold(fx.v_seq(spark, sf), fx.v_rules(spark, sf))
+    reached = sequences.reached_states(checked, ("seq_id", "n_steps"))
+    g = reached.groupBy("seq_id", "n_steps").agg(F.max("pos").alias("valid_len"), F.sort_array(F.collect_list(F.struct("pos", "state"))).alias("ps"))
+    return g.select("seq_id", "n_steps", "valid_len", F.array_join(F.transform("ps", lambda x: x["state"].cast("string")), " ").alias("states"))
 
 
 @register("state_at_k", _walk_sql("""
@@ -92,10 +89,8 @@ def q_dedup_compute(spark, sf):
     rules = fx.v_rules(spark, sf)
 
     def compute(keys):
-        f = sequences.with_rules_maps(keys, rules)
-        st = sequences.fold_states(F.col("prefix"), F.col("start_state"), F.col("trans"), with_states=False)
-        return f.select("start_state", "prefix",
-                        F.when(st["valid_len"] == F.size("prefix"), st["last_state"]).alias("state"))
+        f = sequences.valid_prefix_fold(keys, rules, False, ("start_state", "prefix"), "prefix")
+        return f.select("start_state", "prefix", F.when(F.col("valid_len") == F.col("n_steps"), F.col("last_state")).alias("state"))
 
     return sequences.dedup_compute(pre, ["start_state", "prefix"], compute).select("seq_id", "k", "state")
 
@@ -113,9 +108,8 @@ SELECT s.seq_id, CASE WHEN max(w.pos) = len(s.actions) THEN 'ok' ELSE 'failed' E
 FROM v_seq s JOIN walk w ON w.seq_id = s.seq_id GROUP BY s.seq_id, s.actions
 """))
 def q_all_or_nothing(spark, sf):
-    seqs = fx.v_seq(spark, sf)
-    checked = sequences.valid_prefix_fold(seqs, fx.v_rules(spark, sf), with_states=False)
-    ok, failed = sequences.all_or_nothing(seqs, checked)
+    checked = sequences.valid_prefix_fold(fx.v_seq(spark, sf), fx.v_rules(spark, sf), with_states=False)
+    ok, failed = sequences.all_or_nothing(checked)
     return (ok.select("seq_id", F.lit("ok").alias("status"))
             .unionByName(failed.select("seq_id", F.lit("failed").alias("status"))))
 
@@ -131,9 +125,8 @@ FROM (SELECT s.seq_id, len(s.actions) AS n, max(w.pos) = len(s.actions) AS ok
 """))
 def q_extract_report(spark, sf):
     """A7 over E4: a sequence yields one position per own ply (plies 0, 2, 4, ...)."""
-    seqs = fx.v_seq(spark, sf)
-    checked = sequences.valid_prefix_fold(seqs, fx.v_rules(spark, sf), with_states=False)
-    return profile.extract_report(seqs, checked, F.floor((F.size("actions") + 1) / 2))
+    checked = sequences.valid_prefix_fold(fx.v_seq(spark, sf), fx.v_rules(spark, sf), with_states=False)
+    return profile.extract_report(checked, F.floor((F.size("actions") + 1) / 2))
 
 
 # ---- G5: game conversations ----------------------------------------------------------------
@@ -156,7 +149,7 @@ def game_rows_sql() -> str:
            || 'Position: ' || CAST(w.state AS VARCHAR) || chr(10) || 'Legal moves: '
            || coalesce((SELECT array_to_string(list_sort(list_distinct(list(r.action))), ' ') FROM v_rules r
                         WHERE r.state = w.state), '') AS user_text,
-         w.pos < v.valid_len AND w.pos % 2 = (CASE WHEN {coin} THEN 0 ELSE 1 END) AS mine
+         w.pos < v.valid_len AND w.pos % 2 = (CASE WHEN {coin} = (s.start_side = 'w') THEN 0 ELSE 1 END) AS mine
   FROM v_seq s JOIN walk w ON w.seq_id = s.seq_id
   JOIN (SELECT seq_id, max(pos) AS valid_len FROM walk GROUP BY seq_id) v ON v.seq_id = s.seq_id
   WHERE len(s.actions) >= 2
@@ -242,10 +235,10 @@ def q_sample_n(spark, sf):
 @register("sample_n_large", "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)) "
                             "LIMIT (SELECT CAST(ceil(count(*) * 0.6) AS BIGINT) FROM documents)")
 def q_sample_n_large(spark, sf):
-    """F1 with the histogram plan (the plan used above the top-N limit), here forced at 60 %."""
+    """F1 at 60 % of the table."""
     d = fx.table(spark, sf, "documents").select("doc_id", "lang")
     n = int(math.ceil(d.count() * 0.6))
-    return sampling.sample_n(d, n, "doc_id", 7, plan="histogram")
+    return sampling.sample_n(d, n, "doc_id", 7)
 
 
 @register("split_exact", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
-from seqforge.functions.text import joined
+from seqforge.functions.text import hash32, joined, let
 from seqforge.operators import chat, prompts, sequences, tokens
 from seqforge.operators.project import side_label
 from seqforge.plans import fixtures as fx
@@ -85,16 +85,30 @@ def _msgs(spark, sf):
     return chat.collect_messages(fx.table(spark, sf, "conversations"))
 
 
-def _render_query(name: str, sql: str, fn):
-    @register(name, sql)
+# Conversations that lost a turn here and there, so that some do not alternate.
+_GAPS = f"{h32('gap', 'conv_id * 1000 + turn')} % 9 <> 0"
+
+
+def _gap_msgs(spark, sf):
+    kept = hash32("gap", F.col("conv_id") * 1000 + F.col("turn")) % 9 != 0
+    return chat.collect_messages(fx.table(spark, sf, "conversations").where(kept))
+
+
+def _with_gaps(sql: str) -> str:
+    return sql.replace("FROM conversations", f"FROM (SELECT * FROM conversations WHERE {_GAPS})")
+
+
+def _render_query(name: str, sql: str, fn, gaps: bool = False):
+    @register(name, _with_gaps(sql) if gaps else sql)
     def q(spark, sf):
-        return _msgs(spark, sf).select("conv_id", fn(F.col("messages")).alias("text"))
+        m = _gap_msgs(spark, sf) if gaps else _msgs(spark, sf)
+        return m.select("conv_id", fn(F.col("messages")).alias("text"))
     return q
 
 
 _render_query("chat_chatml", _render_sql(chatml_sql(False)), lambda m: chat.render_chatml(m))
 _render_query("chat_genprompt", _render_sql(chatml_sql(True)), lambda m: chat.render_chatml(m, True))
-_render_query("chat_turns", _render_sql(gemma_sql(False)), lambda m: chat.render_gemma(m))
+_render_query("chat_turns", _render_sql(gemma_sql(False)), lambda m: chat.render_gemma(m), gaps=True)
 _render_query("chat_turns_genprompt", _render_sql(gemma_sql(True)), lambda m: chat.render_gemma(m, True))
 _render_query("chat_header", _render_sql(llama_sql(False)), lambda m: chat.render_llama(m))
 _render_query("chat_header_genprompt", _render_sql(llama_sql(True)), lambda m: chat.render_llama(m, True))
@@ -111,9 +125,10 @@ def q_messages_text(spark, sf):
     return _msgs(spark, sf).select("conv_id", chat.messages_text("messages").alias("text"))
 
 
-@register("alternation_violations", f"SELECT conv_id, turn FROM ({_BASE}) WHERE is_loop AND (role = 'user') <> (idx % 2 = 0)")
+@register("alternation_violations",
+          _with_gaps(f"SELECT conv_id, turn FROM ({_BASE}) WHERE is_loop AND (role = 'user') <> (idx % 2 = 0)"))
 def q_alternation_violations(spark, sf):
-    return chat.alternation_violations(_msgs(spark, sf))
+    return chat.alternation_violations(_gap_msgs(spark, sf))
 
 
 # FIXED VALUES: model descriptors assigned to conversations for the template-choice query
@@ -171,12 +186,16 @@ def q_template_choice(spark, sf):
 
 def _line_prompt_rows(spark, sf):
     lines = fx.v_lines(spark, sf)
-    t = F.split("line", " ")
-    i = sequences.split_point("seq_id", F.size(t), 42, 0)
-    c = sequences.continuation(t, i, 6)
-    side = side_label(F.get(F.split("fen", " "), 1), i)
-    return lines.select("seq_id", "fen", side.alias("side"), c["target"].alias("target"),
-                        c["window"].alias("window"), F.array_sort(F.array_distinct(c["window"])).alias("candidates"))
+
+    def parts(t):   # the split text is bound once
+        i = sequences.split_point("seq_id", F.size(t), 42, 0)
+        c = sequences.continuation(t, i, 6)
+        return F.struct(i.alias("i"), c["target"].alias("target"), c["window"].alias("window"))
+
+    p = lines.select("seq_id", "fen", let(F.split("line", " "), parts).alias("p"))
+    side = side_label(F.get(F.split("fen", " "), 1), F.col("p.i"))
+    return p.select("seq_id", "fen", side.alias("side"), "p.target", "p.window",
+                    F.array_sort(F.array_distinct("p.window")).alias("candidates"))
 
 
 _LP_SQL = f"""
@@ -237,11 +256,13 @@ def q_chat_single(spark, sf):
 
 
 @register("drop_null_prompt", with_views(
-    f"SELECT seq_id FROM ({_LP_SQL}) WHERE {_prompt_sql(fixed.PROMPT_BEST_MOVE)} IS NOT NULL AND target IS NOT NULL",
-    "v_lines"))
+    f"SELECT seq_id FROM ({_LP_SQL}) WHERE {_prompt_sql(fixed.PROMPT_BEST_MOVE)} IS NOT NULL AND target IS NOT NULL "
+    f"AND {h32('np', 'seq_id')} % 9 <> 0", "v_lines"))
 def q_drop_null_prompt(spark, sf):
+    """P7 where some positions are missing (every ninth or so), so their render fails."""
     r = _line_prompt_rows(spark, sf)
-    p = F.when(F.col("target").isNotNull(), prompts.render_prompt("fen", "side", "candidates"))
+    fen = F.when(hash32("np", F.col("seq_id")) % 9 != 0, F.col("fen"))
+    p = F.when(F.col("target").isNotNull(), prompts.render_prompt(fen, "side", "candidates"))
     return prompts.drop_null_prompt(r.select("seq_id", p.alias("prompt"))).select("seq_id")
 
 
@@ -271,15 +292,18 @@ def _vocab(spark, sf):
     return tokens.build_vocab(_corpus(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-_VOCAB_SQL = f"""
+def vocab_sql(texts: str) -> str:
+    return f"""
 SELECT token, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 3 AS INTEGER) AS id
 FROM (SELECT token, count(*) AS cnt FROM (
-        SELECT unnest(regexp_extract_all(text, '{TOK_RE_SQL}')) AS token
-        FROM (SELECT text FROM documents UNION ALL SELECT completion AS text FROM v_comp))
+        SELECT unnest(regexp_extract_all(text, '{TOK_RE_SQL}')) AS token FROM ({texts}))
       GROUP BY token)
 """
 
 
+_VOCAB_SQL = vocab_sql("SELECT text FROM documents UNION ALL SELECT completion AS text FROM v_comp")
+
+
 @register("build_vocab", with_views(_VOCAB_SQL, "v_comp"))
 def q_build_vocab(spark, sf):
     return tokens.build_vocab(_corpus(spark, sf))   # the operator itself, not the cached copy

@@ -20,6 +20,8 @@ def test_csv_zst_typing_and_errors(spark, scratch):
            "p1,x w - -,e2e4 e7e5,1500,fork short,u1,Sicilian Najdorf\n"
            "p2,x b - -,a1a2  a2a3,,mate,u2,\n"
            "p3,x w - -,b1b2,abc,,u3,\n"
+           "p5,x w - -,a1a2\n"                                            # no rating, no themes: an error row
+           "p6,x w - -,,1200,,u6,\n"                                      # empty moves and themes are no error
            "p4,x w - -,c1c2 c2c3,2600,crushing,u4")                       # no final newline
     p = os.path.join(scratch, "puzzles.csv.zst")
     _zst(p, csv)
@@ -30,8 +32,10 @@ def test_csv_zst_typing_and_errors(spark, scratch):
     assert t["p3"]["parse_error"] and t["p3"]["rating"] is None
     assert t["p4"]["rating"] == 2600
     good = project.good_rows(project.type_puzzles(raw))
-    assert good.count() == 3
-    assert project.rating_filter(good, 1000, 2500, enabled=True).count() == 1
+    assert t["p5"]["parse_error"] and not t["p6"]["parse_error"] and t["p6"]["moves"] == []
+    assert project.bad_rows(project.type_puzzles(raw)).count() == 2
+    assert good.count() == 4
+    assert project.rating_filter(good, 1000, 2500, enabled=True).count() == 2
 
 
 def test_jsonl_zst_bad_blank_last_line(spark, scratch):

@@ -20,7 +20,16 @@ def test_no_pairwise_join(spark, name):
 
 
 def test_scan_pushdown_and_pruning(spark):
-    df = catalog.queries()["scan_examples"](spark, SF)
+    from pyspark.sql import functions as F
+
+    from seqforge.sources import readers
+    df = readers.scan_examples(spark, f"{SF}/documents.parquet", ["doc_id", "lang", "n_chars"], F.col("lang") == "en")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,lang:string,n_chars:bigint>" in plan
+
+
+def test_completions_are_read_once(spark):
+    plan = catalog.queries()["r_quality"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [conv_id") <= 3   # completions once; the value fixture is built from them too
+    assert "Union" not in plan

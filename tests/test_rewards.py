@@ -96,6 +96,15 @@ def test_quality_reward_gate_and_missing(spark):
     assert got == {1: py_curve(100, 150), 2: -3.0, 3: -4.0, 4: -1.0}
 
 
+def test_lookup_key_given_twice_raises(spark):
+    comp = spark.createDataFrame([(1, "s", "a", "b")], "completion_id int, fen string, move string, correct_move string")
+    ev = spark.createDataFrame([("s", "a", 3, 1, None), ("s", "a", 3, 2, None)], "state string, action string, depth int, cp int, mate int")
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY|duplicate"):
+        scoring.lookup_values(comp, ev).collect()
+    with pytest.raises(Exception, match="aligned columns"):
+        scoring.align_columns(comp, comp.select("completion_id", F.lit(1).alias("x")).unionByName(comp.select("completion_id", F.lit(2).alias("x")))).collect()
+
+
 def test_group_advantage_single_row_group(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 5.0)], "prompt_id int, total_reward double")
     got = {(r["prompt_id"], r["total_reward"]): r["advantage"] for r in scoring.group_advantage(df).collect()}

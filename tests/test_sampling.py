@@ -1,15 +1,28 @@
-"""F1-F3 properties: exact size, stable under repartitioning, both sample plans equal, splits disjoint."""
+"""F1-F3 properties: exact size, stable under repartitioning, splits disjoint."""
 from pyspark.sql import functions as F
 
 from seqforge.operators import sampling
 
 
-def test_sample_plans_agree_and_are_stable(spark):
+def test_sample_is_exact_and_stable(spark):
+    import hashlib
     df = spark.range(3000).select(F.col("id").alias("k"))
-    a = {r["k"] for r in sampling.sample_n(df, 700, "k", 5, plan="topn").collect()}
-    b = {r["k"] for r in sampling.sample_n(df.repartition(17), 700, "k", 5, plan="histogram").collect()}
-    assert a == b and len(a) == 700
-    assert len(sampling.sample_n(df, 5000, "k", 5, plan="histogram").collect()) == 3000
+    order = sorted(range(3000), key=lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest())
+    for n in (0, 1, 3, 700, 2999):
+        for d in (df, df.repartition(17)):
+            assert {r["k"] for r in sampling.sample_n(d, n, "k", 5).collect()} == set(order[:n])
+    assert sampling.sample_n(df, 5000, "k", 5).count() == 3000 and sampling.sample_n(df.limit(0), 5, "k", 5).count() == 0
+    train, test = sampling.split_exact(df, 0.2, "k", 5)
+    assert {r["k"] for r in test.collect()} == set(order[:600]) and train.count() == 2400
+
+
+def test_equal_ids_have_an_order(spark):
+    df = spark.range(400).select(F.lit(7).alias("k"), F.col("id").alias("v"))
+    a = {r["v"] for r in sampling.sample_n(df, 150, "k", 5).collect()}
+    b = {r["v"] for r in sampling.sample_n(df.repartition(9), 150, "k", 5).collect()}
+    assert a == b and len(a) == 150
+    train, test = sampling.split_exact(df, 0.25, "k", 5)
+    assert test.count() == 100 and train.count() == 300
 
 
 def test_splits_disjoint_complete(spark):
