@@ -113,6 +113,11 @@ def quality_gate(completion: Column | str, legal_moves: Column | str) -> Column:
             .when(~F.coalesce(F.array_contains(col_of(legal_moves), m), F.lit(False)), _d(-4.0)))
 
 
+def r_quality(completion: Column | str, legal_moves: Column | str, cp_pred: Column | str, cp_ref: Column | str, **_) -> Column:
+    """W11 as one expression, where the looked-up values are columns."""
+    return F.coalesce(quality_gate(completion, legal_moves), quality_curve(cp_pred, cp_ref))
+
+
 def metric_name(name: str, weight: float) -> str:
     """The logged metric name of a weighted reward, e.g. ``stockfish_eval_x3``."""
     return f"{name}_x{weight:g}"
@@ -137,4 +142,5 @@ REGISTRY: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
     "rationale_length": ((), r_conciseness),
     "legality": (("legal_moves",), r_legality),
     "correctness": (("correct_move",), r_correct),
+    "stockfish_eval": (("legal_moves", "cp_pred", "cp_ref"), r_quality),
 }

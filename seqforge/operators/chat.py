@@ -122,13 +122,16 @@ def messages_text(messages: Column | str) -> Column:
 
 
 def template_family(model_name: Column | str, special_tokens: Column | str,
-                    current_template: Column | None = None) -> Column:
-    """G15: 'keep' when a template is already set; else the family from marker tokens or the name
-    (first name hit in the fixed order); 'generic' otherwise ('mistral' ends generic)."""
+                    current_template: Column | None = None, model_type: Column | None = None) -> Column:
+    """G15: 'keep' when a template is already set; else the family from marker tokens or the model's type;
+    where no type is given, the name tells it (first name hit in the fixed order); 'generic' otherwise
+    ('mistral' and unknown types end generic)."""
     name, toks = F.lower(col_of(model_name)), col_of(special_tokens)
     by_name = F.lit(None).cast("string")
     for fam in reversed(fixed.FAMILY_NAME_ORDER):
         by_name = F.when(name.contains(fam), F.lit(fam)).otherwise(by_name)
+    if model_type is not None:
+        by_name = F.coalesce(F.lower(model_type), by_name)
     out = F.lit("generic")
     for fam, marker, name_hit in reversed(fixed.FAMILY_TOKEN_CHECKS):
         has = F.coalesce(F.array_contains(toks, marker), F.lit(False)) | F.coalesce(by_name == name_hit, F.lit(False))

@@ -7,6 +7,7 @@ through ``encode_with`` (an Arrow-batched pandas UDF). T2-T8 are array expressio
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +70,7 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str, out: str =
 
 def encode_with(text: Column | str, tokenizer_fn) -> Column:
     """Plug-in tokenizer: ``tokenizer_fn(list[str]) -> list[list[int]]`` run on Arrow batches."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<int>")
+    @F.pandas_udf("array<int>")
     def _enc(s: pd.Series) -> pd.Series:
         return pd.Series(tokenizer_fn(s.fillna("").tolist()))
 

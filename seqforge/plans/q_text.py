@@ -12,6 +12,7 @@ from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import register
 from seqforge.plans.fixtures_sql import h32, lit, with_views
 from seqforge.plans.q_scoring import MOVE_SQL
+from seqforge.session import stored
 
 NL = "chr(10)"
 
@@ -132,23 +133,25 @@ def q_alternation_violations(spark, sf):
 
 
 # FIXED VALUES: model descriptors assigned to conversations for the template-choice query
-# (name, special tokens): one per family by name and token, one by name only, one by token only,
-# one mistral, one unknown.
+# (name, special tokens, model type or None): one per family by name and token, one by name only, one by
+# token only, one mistral, one unknown, two whose type differs from the name.
 MODELS = [
-    ("Qwen/Qwen2.5-0.5B-Instruct", ["<|im_start|>", "<|im_end|>"]),
-    ("google/gemma-2-2b-it", ["<bos>", "<start_of_turn>"]),
-    ("meta-llama/Llama-3.2-1B-Instruct", ["<|begin_of_text|>", "<|start_header_id|>"]),
-    ("ibm-granite/granite-3.1-2b-instruct", ["<|start_of_role|>"]),
-    ("acme/qwen-distilled", []),
-    ("acme/chat-small", ["<|im_start|>"]),
-    ("mistralai/Mistral-7B-Instruct-v0.3", ["<s>", "</s>"]),
-    ("acme/base-model", ["<s>", "</s>"]),
+    ("Qwen/Qwen2.5-0.5B-Instruct", ["<|im_start|>", "<|im_end|>"], None),
+    ("google/gemma-2-2b-it", ["<bos>", "<start_of_turn>"], None),
+    ("meta-llama/Llama-3.2-1B-Instruct", ["<|begin_of_text|>", "<|start_header_id|>"], None),
+    ("ibm-granite/granite-3.1-2b-instruct", ["<|start_of_role|>"], None),
+    ("acme/qwen-distilled", [], None),
+    ("acme/chat-small", ["<|im_start|>"], None),
+    ("mistralai/Mistral-7B-Instruct-v0.3", ["<s>", "</s>"], None),
+    ("acme/base-model", ["<s>", "</s>"], None),
+    ("acme/llama-copy", [], "Gemma"),
+    ("acme/qwen-next", [], "qwen2"),
 ]
 
 
-def _family_py(name: str, toks: list[str]) -> str:
+def _family_py(name: str, toks: list[str], kind: str | None) -> str:
     n = name.lower()
-    by_name = next((f for f in fixed.FAMILY_NAME_ORDER if f in n), None)
+    by_name = kind.lower() if kind else next((f for f in fixed.FAMILY_NAME_ORDER if f in n), None)
     for fam, marker, hit in fixed.FAMILY_TOKEN_CHECKS:
         if marker in toks or by_name == hit:
             return fam
@@ -157,8 +160,8 @@ def _family_py(name: str, toks: list[str]) -> str:
 
 def _template_choice_sql() -> str:
     pick = f"{h32('model', 'conv_id')} % {len(MODELS)}"
-    name_case = "CASE " + " ".join(f"WHEN {pick} = {i} THEN {lit(m)}" for i, (m, _) in enumerate(MODELS)) + " END"
-    fam_case = "CASE " + " ".join(f"WHEN {pick} = {i} THEN '{_family_py(m, t)}'" for i, (m, t) in enumerate(MODELS)) + " END"
+    name_case = "CASE " + " ".join(f"WHEN {pick} = {i} THEN {lit(m)}" for i, (m, _, _) in enumerate(MODELS)) + " END"
+    fam_case = "CASE " + " ".join(f"WHEN {pick} = {i} THEN '{_family_py(m, t, k)}'" for i, (m, t, k) in enumerate(MODELS)) + " END"
     render = (f"CASE fam WHEN 'chatml' THEN {chatml_sql(False)} WHEN 'gemma' THEN {gemma_sql(False)} "
               f"WHEN 'llama' THEN {llama_sql(False)} WHEN 'granite' THEN {granite_sql(False)} "
               f"ELSE {generic_sql(False)} END")
@@ -173,11 +176,12 @@ def q_template_choice(spark, sf):
     m = _msgs(spark, sf)
     idx = (F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("model:"), F.col("conv_id").cast("string"))), 1, 8), 16, 10)
                   .cast("bigint"), F.lit(len(MODELS))) + 1).cast("int")
-    names = F.array(*[F.lit(n) for n, _ in MODELS])
-    toks = F.array(*[F.array(*[F.lit(t) for t in ts]).cast("array<string>") for _, ts in MODELS])
+    names = F.array(*[F.lit(n) for n, _, _ in MODELS])
+    toks = F.array(*[F.array(*[F.lit(t) for t in ts]).cast("array<string>") for _, ts, _ in MODELS])
+    kinds = F.array(*[F.lit(k).cast("string") for _, _, k in MODELS])
     m = m.select("conv_id", "messages", F.element_at(names, idx).alias("model"),
-                 F.element_at(toks, idx).alias("special_tokens"))
-    fam = chat.template_family("model", "special_tokens")
+                 F.element_at(toks, idx).alias("special_tokens"), F.element_at(kinds, idx).alias("model_type"))
+    fam = chat.template_family("model", "special_tokens", model_type=F.col("model_type"))
     return m.select("conv_id", "model", fam.alias("family"),
                     chat.render_family(fam, "messages").alias("text"))
 
@@ -286,10 +290,8 @@ def _corpus(spark, sf):
 
 
 def _vocab(spark, sf):
-    """The corpus vocabulary, persisted: every token query of a session reads the same one (an
-    equivalent plan hits the cache) instead of recounting the corpus, including inside subqueries."""
-    from pyspark import StorageLevel
-    return tokens.build_vocab(_corpus(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    """The corpus vocabulary, written once for the query: it is read several times."""
+    return stored(tokens.build_vocab(_corpus(spark, sf)), "vocabulary")
 
 
 def vocab_sql(texts: str) -> str:
@@ -306,7 +308,7 @@ _VOCAB_SQL = vocab_sql("SELECT text FROM documents UNION ALL SELECT completion A
 
 @register("build_vocab", with_views(_VOCAB_SQL, "v_comp"))
 def q_build_vocab(spark, sf):
-    return tokens.build_vocab(_corpus(spark, sf))   # the operator itself, not the cached copy
+    return tokens.build_vocab(_corpus(spark, sf))
 
 
 def _encode_sql(src: str, key: str, text: str) -> str:

@@ -89,3 +89,17 @@ def test_dense_index_many_partitions(spark):
     df = spark.range(0, 5000, 1, 13).select((F.col("id") * 7 % 5000).alias("v"))
     out = T.dense_index(df, [F.col("v").desc()], start=0, out="rk").collect()
     assert sorted((r["rk"], r["v"]) for r in out) == [(i, 4999 - i) for i in range(5000)]
+
+
+def test_plug_in_tokenizer(spark):
+    df = spark.createDataFrame([(1, "ab c"), (2, ""), (3, None)], "id int, text string")
+    got = {r["id"]: r["ids"] for r in df.select("id", T.encode_with("text", lambda xs: [[len(w) for w in x.split()] for x in xs]).alias("ids")).collect()}
+    assert got == {1: [2, 1], 2: [], 3: []}
+
+
+def test_reward_registry_and_weights(spark):
+    from seqforge.functions import rewards as R
+    df = spark.createDataFrame([("<rationale>Go. </rationale><uci_move>a</uci_move>", ["a"], "a", 50, 50)],
+                               "completion string, legal_moves array<string>, correct_move string, cp_pred int, cp_ref int")
+    made = df.select(*[fn("completion", *cols).alias(name) for name, (cols, fn) in R.REGISTRY.items()], R.scaled(F.lit(2), 1.5, "legality")).first()
+    assert made["legality"] == 1.0 and made["correctness"] == 3.0 and made["legality_x1_5"] == 3.0 and made["stockfish_eval"] == 3.0
