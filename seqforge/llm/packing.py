@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, texts, with_row_id
+from seqforge.llm.common import chunks, with_row_id
 from seqforge.llm.tokens import encoder
 from seqforge.operators.ordering import bucket_prefix
 
@@ -42,10 +42,10 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced)
-        for b in chunks(batches):
+        for b in chunks(batches, 2048):
             out: list[tuple] = []
-            for name, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                ids = enc.encode(text) + end
+            for name, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, sequence):
                     part = ids[4 * at:4 * (at + sequence)]

@@ -2,8 +2,8 @@
 
 ``write`` sorts documents by id over range partitions, encodes them, and compresses shards of about
 ``SHARD`` ids: again and again frequent pairs of neighbouring ids are replaced by new symbols
-(nonterminals), the most frequent first: each round takes the pairs that occur at least half as often as
-the most frequent one, left to right and without overlap, until no pair occurs ``MIN_PAIR`` times. A pair
+(nonterminals), the most frequent first: each round takes the pairs down to 1 / ``STEP`` of the most
+frequent one's count, left to right and without overlap, until no pair occurs ``MIN_PAIR`` times. A pair
 never crosses the end of a document, so each document starts at a symbol.
 
 A shard is one binary record (kept as a row of a Parquet table, so that any store Spark reaches can hold
@@ -30,61 +30,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, offsets, stored, texts
+from seqforge.llm.common import chunks, offsets, stored
 from seqforge.llm.tokens import encoder
 
 SHARD = 1 << 19       # ids of a shard; a longer document makes a longer shard
-MIN_PAIR = 8          # a pair is replaced if it occurs so often in the shard
+MIN_PAIR = 24         # a pair is replaced if it occurs so often in the shard
+STEP = 64             # a round takes pairs down to this part of the most frequent one
+SLOT_BITS = 18
 FIRST_RULE = 1 << 24  # symbols from here on are nonterminals
 MAGIC, VERSION = b"RPID", 1
 NULL_ID = -(1 << 63)
 
 
-def _alternate(hit: np.ndarray) -> np.ndarray:
-    """Of each run of overlapping hits the first, third, fifth and so on."""
-    at = np.nonzero(hit)[0]
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Indices into ``at`` (ascending): of each run of adjoining positions the first, third, fifth and so on."""
     start = np.ones(len(at), bool)
     start[1:] = np.diff(at) > 1
-    first = np.nonzero(start)[0][np.cumsum(start) - 1]
-    return at[(np.arange(len(at)) - first) % 2 == 0]
+    begin = np.maximum.accumulate(np.where(start, at, 0))
+    return np.nonzero((at - begin) & 1 == 0)[0]
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, min_pair: int = MIN_PAIR):
     """Re-Pair of ``ids``; documents begin at ``starts``. Returns symbols, their document starts, the
-    rules and the expansion lengths of the rules."""
-    seq, starts = ids.astype(np.int64), starts.astype(np.int64)
+    rules and the expansion lengths of the rules.
+
+    Pairs are counted in hash slots, for the pair that each slot stands for; pairs that share a slot with
+    another wait for a later round, whose hash differs. When no slot has a frequent pair any more, an exact
+    count decides whether one is left."""
+    seq, starts = ids.astype(np.int32), starts.astype(np.int64)
+    last = np.zeros(len(seq), bool)          # symbols that end a document: no pair begins there
+    last[starts[starts > 0] - 1] = True
+    last[-1:] = True
     rules: list[np.ndarray] = []
-    made = 0
+    made = rounds = 0
     while len(seq) > 1:
-        code = seq[:-1] << 32 | seq[1:]
-        inner = np.ones(len(code), bool)
-        cuts = starts[(starts > 0) & (starts < len(seq))] - 1
-        inner[cuts] = False
-        # A hashed count finds the few positions whose pair can be frequent; those are counted exactly.
-        slot = ((code * -7046029254386353131) >> 46) & ((1 << 18) - 1)
-        rough = np.bincount(slot[inner], minlength=1 << 18)
-        likely = np.nonzero(inner & (rough[slot] >= min_pair))[0]
+        rounds += 1
+        left, right = seq[:-1].view(np.uint32), seq[1:].view(np.uint32)
+        slot = (left * np.uint32(0x9E3779B1 + 2 * rounds) ^ right * np.uint32(0x85EBCA6B + 4 * rounds)) >> np.uint32(32 - SLOT_BITS)
+        slot[last[:-1]] = 0                  # slot 0 takes the ends of documents, and no pair
+        rough = np.bincount(slot, minlength=1 << SLOT_BITS)
+        rough[0] = 0
+        likely = np.nonzero((rough >= min_pair)[slot])[0]
         if not len(likely):
             break
-        pairs, index, n = np.unique(code[likely], return_inverse=True, return_counts=True)
+        slot, code = slot[likely], seq[likely].astype(np.int64) << 32 | seq[likely + 1]
+        stands = np.empty(1 << SLOT_BITS, np.int64)
+        stands[slot] = code
+        every, same = likely, np.nonzero(stands[slot] == code)[0]
+        slot, likely = slot[same], likely[same]
+        n = np.bincount(slot, minlength=1 << SLOT_BITS)
         best = int(n.max())
-        if best < min_pair:
-            break
-        chosen = n >= max(min_pair, best // 2)
-        symbol = np.full(len(pairs), -1, np.int64)
-        symbol[chosen] = FIRST_RULE + made + np.arange(int(chosen.sum()))
-        new = np.full(len(code), -1, np.int64)
-        new[likely] = symbol[index]
-        at = _alternate(new >= 0)
-        rules.append(np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], axis=1))
-        made += int(chosen.sum())
+        if best < min_pair:                  # only pairs that share a slot look frequent: count them exactly
+            stands, slot, n = np.unique(code, return_inverse=True, return_counts=True)
+            likely, best = every, int(n.max())
+            if best < min_pair:
+                break
+        chosen = np.nonzero(n >= max(min_pair, best // STEP))[0]
+        symbol = np.full(len(n), -1, np.int32)
+        symbol[chosen] = FIRST_RULE + made + np.arange(len(chosen), dtype=np.int32)
+        new = symbol[slot]
+        hit = np.nonzero(new >= 0)[0]
+        first = _alternate(likely[hit])
+        at = likely[hit][first]
+        taken = stands[chosen]
+        rules.append(np.stack([taken >> 32, taken & 0xFFFFFFFF], axis=1))
+        made += len(taken)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq[at] = new[at]
-        starts = offsets(keep)[starts]
-        seq = seq[keep]
+        seq[at] = new[hit][first]
+        last[at] = last[at + 1]
+        seq, last = seq[keep], last[keep]
+    ends = np.nonzero(last)[0]
+    filled = np.diff(np.append(starts, len(ids))) > 0      # an empty document has no symbol
+    sizes = np.zeros(len(starts), np.int64)
+    sizes[filled] = np.diff(np.append(-1, ends))
+    first = offsets(sizes)[:-1]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq.astype(np.uint32), starts, table.astype(np.uint32), _rule_lengths(table)
+    return seq.astype(np.uint32), first, table.astype(np.uint32), _rule_lengths(table)
 
 
 def _rule_lengths(table: np.ndarray) -> np.ndarray:
@@ -186,10 +208,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = False
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held // 4], pa.int64()),
                  pa.array([pack(names, ids, min_pair)], pa.binary())], ["part", "seq", "n_ids", "blob"])
 
-        for b in chunks(batches):
+        for b in chunks(batches, 2048):
             part = b.column("part")[0].as_py() if b.num_rows else part
-            for name, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                got = enc.encode(text) + end
+            for name, got in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
+                got += end
                 if held and held + len(got) > 4 * shard:
                     yield flush()
                     names, ids, held, seq = [], [], 0, seq + 1

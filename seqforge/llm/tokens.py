@@ -1,50 +1,126 @@
 """Whole-text encoding with a given tokenizer file, for the operators on token ids.
 
-A text is cut where the tokenizer certainly cuts, so that each piece need be encoded once for each worker
-and is then looked up; the ids of the pieces, joined, are the ids of the text. Where the cut is not
-certain (rare control characters), the text is encoded as a whole.
+Texts are cut where the tokenizer certainly cuts (between words, and between a letter and a full stop or
+comma after it). The distinct pieces of many texts are found with Arrow, those that the worker has not met
+are encoded with the tokenizer, and the ids of the pieces, in order, are the ids of the texts. Where the
+cuts are not certain (control characters, rare white space, adjoining white space for tokenizers that keep
+it, anything like a special token), a text is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO = 300_000   # pieces kept by a worker; beyond it the memo starts anew
-#: White space as the tokenizers' patterns see it.
-_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_SPACED = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")   # white space goes with what follows it
-_UNSURE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
+from seqforge.llm.common import offsets
+
+MEMO = 600_000   # pieces kept by a worker; beyond it those met once are dropped
+TOGETHER = 200   # pieces encoded as one text
+_RARE = r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<\||\x{85}|\x{a0}|\x{1680}|\x{180e}|[\x{2000}-\x{200f}]|[\x{2028}-\x{202f}]|[\x{205f}-\x{206f}]|\x{3000}|\x{feff}"
+_RARE_SPACED = _RARE + r"|[\t\r]|[ \n][ \n]|^[ \n]|[ \n]$"
+_CUT = "\x01"
 
 
 class Encoder:
-    """ids of whole texts. ``spaced``: white space matters (byte-level BPE); else it only separates."""
+    """ids of whole texts. ``spaced``: white space matters (byte-level BPE with a leading space as part of
+    the word); else it only separates, and case does not matter."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.spaced, self.memo = Tokenizer.from_file(path), spaced, {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if _UNSURE.search(text):
-            return self._whole(text)
-        pieces = _SPACED.findall(text) if self.spaced else text.encode("utf-8", "surrogatepass").split()
-        memo = self.memo
-        if missing := [*set(pieces).difference(memo)]:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = [*set(pieces)]
-            plain = missing if self.spaced else [m.decode("utf-8", "surrogatepass") for m in missing]
-            for m, e in zip(missing, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                memo[m] = np.array(e.ids, np.uint32).tobytes()
-        return b"".join(map(memo.__getitem__, pieces))
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        # Byte-level vocabularies spell each byte as one character; a word's end is not a byte.
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token.removesuffix("</w>")) or len(token)
+        self.memo: dict[str, int] = {}
+        self.pool, self.used = np.empty(1 << 20, np.uint32), 0       # ids of the pieces, end to end
+        self.first, self.count, self.met = (np.zeros(1 << 18, np.int64) for _ in range(3))
+
+    def _pieces(self, texts: pa.Array) -> pa.Array:
+        if not self.spaced:
+            return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2"))
+        t = pc.replace_substring_regex(texts, r"([a-zA-Z])([.,])", rf"\1{_CUT}\2")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(t, " ", f"{_CUT} "), "\n", f"{_CUT}\n"), _CUT)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Add new pieces to the memo. They are encoded many to a text; a token's bytes tell which piece it
+        is of. Where the bytes do not add up (the tokenizer changes some letters), one by one."""
+        between = "" if self.spaced else " "
+        parts = [pieces[i:i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        joined = self.tokenizer.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)
+        lengths = pc.binary_length(pa.array(pieces, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, n = [], []
+        for k, (part, e) in enumerate(zip(parts, joined, strict=True)):
+            got = np.array(e.ids, np.uint32)
+            ends, upto = np.cumsum(lengths[k * TOGETHER:k * TOGETHER + len(part)]), np.cumsum(self.bytes_of[got])
+            cut = np.searchsorted(upto, ends)
+            if not len(upto) or cut[-1] >= len(upto) or (upto[cut] != ends).any():
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                got, cut = np.array([t for e in each for t in e], np.uint32), np.cumsum([len(e) for e in each]) - 1
+            ids.append(got)
+            n.append(np.diff(cut + 1, prepend=0))
+        ids, n = np.concatenate(ids), np.concatenate(n)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        at, upto = len(self.memo), len(self.memo) + len(pieces)
+        while upto > len(self.first):
+            self.first, self.count, self.met = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.count, self.met))
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.first[at:upto], self.count[at:upto], self.met[at:upto] = self.used + offsets(n)[:-1], n, 0
+        self.used += len(ids)
+        self.memo.update(zip(pieces, range(at, upto), strict=True))
+
+    def _drop(self) -> None:
+        """Keep the pieces met in more than one batch, if that makes room, else none."""
+        kept = np.nonzero(self.met[:len(self.memo)] > 1)[0]
+        kept = kept if len(kept) < MEMO // 2 else kept[:0]
+        names = list(self.memo)          # in the order of their numbers
+        ids = self._ids(kept)
+        n = self.count[kept]
+        self.memo = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.pool[:len(ids)], self.used = ids, len(ids)
+        self.first[:len(kept)], self.count[:len(kept)], self.met[:len(kept)] = offsets(n)[:-1], n, 1
+
+    def _ids(self, slots: np.ndarray) -> np.ndarray:
+        n = self.count[slots]
+        at = offsets(n)
+        return self.pool[np.arange(at[-1]) + np.repeat(self.first[slots] - at[:-1], n)]
+
+    def _sure(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of texts that can be cut, end to end, and where each text begins."""
+        words = self._pieces(texts)
+        cut = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slots = list(map(self.memo.get, pieces))
+        if missing := [p for p, s in zip(pieces, slots, strict=True) if s is None]:
+            if len(self.memo) + len(missing) > MEMO:
+                self._drop()
+                missing = [p for p in pieces if p not in self.memo]
+            if missing:
+                self._learn(missing)
+            slots = list(map(self.memo.__getitem__, pieces))
+        slots = np.array(slots, np.int64)
+        self.met[slots] += 1
+        slots = slots[coded.indices.to_numpy()]
+        return self._ids(slots), offsets(self.count[slots])[cut - cut[0]]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        unsure = pc.match_substring_regex(texts, _RARE_SPACED if self.spaced else _RARE).to_numpy(zero_copy_only=False)
+        ids, at = self._sure(texts.filter(pa.array(~unsure)))
+        raw = ids.astype("<u4", copy=False).tobytes()
+        sure = iter([raw[4 * a:4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        whole = iter([np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(
+            texts.filter(pa.array(unsure)).to_pylist(), add_special_tokens=False)] if unsure.any() else [])
+        return [next(whole if u else sure) for u in unsure.tolist()]
 
 
 @lru_cache(4)
