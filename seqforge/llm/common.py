@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqforge.session import stored
 
-__all__ = ["ASCII_UPPER", "ASCII_LOWER", "WORD", "chunks", "held_out", "offsets", "stored", "texts", "word_count"]
+__all__ = ["ASCII_UPPER", "ASCII_LOWER", "WORD", "chunks", "held_out", "offsets", "small_batches", "stored", "texts", "word_count"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -27,6 +27,16 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """``df``; whole texts go to Python at most ``rows`` at a time from now on (a setting of the session), so
+    that neither side of the pipe holds many long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, held_out, texts
+from seqforge.llm.common import chunks, held_out, small_batches, texts
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANG = 2000
@@ -85,7 +85,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = small_batches(docs.select("text")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS + 1, np.int64)
     got = rows.toPandas()   # at most BUCKETS + 1 rows
     out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
@@ -195,7 +195,7 @@ def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int =
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, ``lang_pred`` and ``score`` of every row; only the column text is looked at."""
-    src = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
+    src = small_batches(docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text")))
     schema = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, with_row_id
+from seqforge.llm.common import chunks, small_batches, with_row_id
 from seqforge.llm.tokens import encoder
 from seqforge.operators.ordering import bucket_prefix
 
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, spaced)
-        for b in chunks(batches, 2048):
+        for b in chunks(batches, 1024):
             out: list[tuple] = []
             for name, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
                 ids += end
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)][:5 + with_ids], names[:5 + with_ids])
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def _best_pattern(prices: np.ndarray, widths: np.ndarray, size: int) -> tuple[float, dict[int, int]]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, offsets, stored
+from seqforge.llm.common import chunks, offsets, small_batches, stored
 from seqforge.llm.tokens import encoder
 
 SHARD = 1 << 19       # ids of a shard; a longer document makes a longer shard
@@ -208,7 +208,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = False
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held // 4], pa.int64()),
                  pa.array([pack(names, ids, min_pair)], pa.binary())], ["part", "seq", "n_ids", "blob"])
 
-        for b in chunks(batches, 2048):
+        for b in chunks(batches, 1024):
             part = b.column("part")[0].as_py() if b.num_rows else part
             for name, got in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
                 got += end
@@ -221,7 +221,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = False
         if names:
             yield flush()
 
-    return stored(dealt.mapInArrow(run, "part int, seq int, n_ids bigint, blob binary"), "token-shards")
+    return stored(small_batches(dealt).mapInArrow(run, "part int, seq int, n_ids bigint, blob binary"), "token-shards")
 
 
 def read(shards: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, offsets, stored, texts
+from seqforge.llm.common import chunks, offsets, small_batches, stored, texts
 
 SEED = 42
 TILE = 2048          # rows of a key compared with one another in one piece of work
@@ -61,7 +61,7 @@ def simhash(text: str, shingle: int = 3, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``fp`` (the fingerprint's 64 bits as a signed long)."""
-    src = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
+    src = small_batches(docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text")))
     schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("bigint")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

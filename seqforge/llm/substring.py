@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, offsets, stored, texts
+from seqforge.llm.common import chunks, offsets, small_batches, stored, texts
 
 RUN, RUN_WORDS, PAIR_WORDS = 3, 10, 30
 _END = re.compile("[.!?][\\x20\\x09-\\x0d]+|\\n")
@@ -88,7 +88,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 [b.column("doc_id"), b.column("text_hash"), pa.array(count, pa.int64()), pa.array(hashes, longs), pa.array(places, longs), pa.array(again, longs)],
                 ["doc_id", "text_hash", "n_sentences", "hashes", "places", "again"])
 
-    src = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    src = small_batches(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
     return src.mapInArrow(run, "doc_id bigint, text_hash bigint, n_sentences bigint, hashes array<bigint>, places array<bigint>, again array<bigint>")
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from seqforge.llm.common import offsets
 
-MEMO = 600_000   # pieces kept by a worker; beyond it those met once are dropped
+MEMO = 300_000   # pieces kept by a worker; beyond it those met once are dropped
 TOGETHER = 200   # pieces encoded as one text
 _RARE = r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<\||\x{85}|\x{a0}|\x{1680}|\x{180e}|[\x{2000}-\x{200f}]|[\x{2028}-\x{202f}]|[\x{205f}-\x{206f}]|\x{3000}|\x{feff}"
 _RARE_SPACED = _RARE + r"|[\t\r]|[ \n][ \n]|^[ \n]|[ \n]$"
@@ -88,9 +88,12 @@ class Encoder:
         self.first[:len(kept)], self.count[:len(kept)], self.met[:len(kept)] = offsets(n)[:-1], n, 1
 
     def _ids(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of pieces, end to end."""
         n = self.count[slots]
-        at = offsets(n)
-        return self.pool[np.arange(at[-1]) + np.repeat(self.first[slots] - at[:-1], n)]
+        at = offsets(n).astype(np.int32)
+        where = np.repeat(self.first[slots].astype(np.int32) - at[:-1], n)
+        where += np.arange(at[-1], dtype=np.int32)
+        return self.pool[where]
 
     def _sure(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of texts that can be cut, end to end, and where each text begins."""
@@ -120,7 +123,10 @@ class Encoder:
         sure = iter([raw[4 * a:4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
         whole = iter([np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(
             texts.filter(pa.array(unsure)).to_pylist(), add_special_tokens=False)] if unsure.any() else [])
-        return [next(whole if u else sure) for u in unsure.tolist()]
+        out = [next(whole if u else sure) for u in unsure.tolist()]
+        del ids, raw
+        pa.default_memory_pool().release_unused()
+        return out
 
 
 @lru_cache(4)
