@@ -32,7 +32,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2
 SEED = "mix-42"
 PHI = 0.6180339887498949            # 1 / golden ratio
-PHI_HIGH = 0.8617776095867157       # frac(2**26 * PHI)
+PHI_HIGH = 0.8983942233824622       # frac(2**26 * PHI)
 BLOCK_WORDS = 1024                  # a block is no longer than that
 SLOTS_AT_LEAST = 131072             # blocks get shorter on small tables, for about as many slots
 BLOCKS_AT_LEAST = 256               # of a source, if it has as many words
