@@ -5,11 +5,14 @@
   $ s, and ! within a word i); l and | to i, since 1 stands for both. Lexicon and texts are folded alike.
 * Lexicon: beginnings of words (``PREFIX`` letters) and whole words, learned from labelled documents. Their
   weight is the lower confidence bound of the log odds of being in a toxic document; nested beginnings are
-  reduced to the telling one.
-* Exception phrases: the word of a hit, alone or with the word before or after it, if clean documents show
-  it and toxic ones do not. A hit inside an exception phrase does not count.
+  reduced to the telling one. Near copies would count as many witnesses for the same words, so of documents
+  that agree in one of ``SIGNATURES`` min-hashes of five-word shingles one teaches.
+* Exception phrases: the word of a hit, alone or with the word before or after it, if several clean
+  documents show it and no toxic one does. A word inside an exception phrase does not count, neither when a
+  text is scored nor when the weights are learned: entries that lean towards toxic documents at all give the
+  phrases, then all entries are counted again without them.
 * Matching: an Aho-Corasick automaton over the folded text; a hit must begin a word; of the hits that begin
-  at one place the heaviest counts.
+  at one place the heaviest counts, and the same word counts once.
 * Score: a logistic curve over the logarithms of the summed weight and of the summed weight by length
   (per 1,000 words), fitted on labelled documents that the lexicon has not seen.
 
@@ -32,16 +35,19 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, held_out, texts
+from seqforge.llm.common import chunks, held_out, small_batches, stored, texts
 
 SAMPLE = 8000           # labelled documents of either label, about
 CANDIDATES = 20_000     # most frequent beginnings and words of toxic documents that are weighed
 EXCEPTIONS = 5_000      # exception phrases kept
 PREFIX = range(3, 9)
-LEAST_WEIGHT, LEAST_DOCS = 2.0, 3
+LEAST_WEIGHT, LEAST_DOCS = 2.5, 3
+SIGNATURES, SHINGLE = 3, 5
+LEANING, EXCEPTION_DOCS = 0.5, 5
 THRESHOLD = 0.7
 
 # Look-alikes and substitutions.
@@ -52,7 +58,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 _ALIKE = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 _COMPATIBLE = re.compile("[ª²³¹ºʰ-ʸᴀ-ᶿ⁰-ₜ℀-⅏①-⓿ﬀ-ﬆ！-～\U0001d400-\U0001d7ff\U0001f130-\U0001f189]")
-_HIDDEN = re.compile("[­​-‏⁠﻿]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _WITHIN = re.compile(r"(?<=\w)!(?=\w)")
 _WORD = re.compile(r"\w+")
 END = "\n"              # marks the end of a whole-word entry
@@ -74,14 +80,19 @@ def fold(text: str) -> str:
     return text
 
 
-def entries(text: str) -> set[str]:
-    """Beginnings of the folded text's words, and the words themselves with ``END``."""
-    words = set(_WORD.findall(text))
+def entries(text: str, spared: list[tuple[int, int]] = ()) -> set[str]:
+    """Beginnings of the folded text's words, and the words themselves with ``END``; words inside the places
+    ``spared`` are left out."""
+    words = {m[0] for m in _WORD.finditer(text) if not _inside(m.start(), spared)} if spared else set(_WORD.findall(text))
     out = {w[:k] for w in words for k in PREFIX if len(w) >= k}
     out.update(w + END for w in words if len(w) >= PREFIX[0])
     return out
 
 
+def _inside(place: int, spans: list[tuple[int, int]]) -> bool:
+    return any(a <= place <= b for a, b in spans)
+
+
 class Lexicon:
     """Weights of entries, exception phrases, and the logistic curve's three numbers."""
 
@@ -110,10 +121,11 @@ class Lexicon:
             self._automaton = a
         return self._automaton.iter(text)
 
-    def hits(self, text: str) -> list[tuple[int, float]]:
-        """Places and weights of the hits in a folded text."""
-        if not self.weights:
-            return []
+    def found(self, text: str) -> tuple[dict[int, float], list[tuple[int, int]]]:
+        """In a folded text: the heaviest weight at each place where entries begin, and the (first, last)
+        places of exception phrases."""
+        if not self.weights and not self.exceptions:
+            return {}, []
         inside = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
@@ -128,14 +140,17 @@ class Lexicon:
                     spared.append((start, last))
                 else:
                     best[start] = max(w, best.get(start, 0.0))
-        if spared:
-            best = {s: w for s, w in best.items() if not any(a <= s <= b for a, b in spared)}
-        return sorted(best.items())
+        return best, spared
+
+    def hits(self, text: str) -> list[tuple[int, float]]:
+        """Places and weights of the hits in a folded text."""
+        best, spared = self.found(text)
+        return sorted((s, w) for s, w in best.items() if not _inside(s, spared))
 
     def measures(self, text: str) -> tuple[float, float]:
         """Logarithms of the summed weight, and of the summed weight for 1,000 words, of a raw text."""
         text = fold(text)
-        total = sum(w for _, w in self.hits(text))
+        total = sum({_WORD.match(text, at)[0]: w for at, w in self.hits(text)}.values())
         if not total:
             return 0.0, 0.0
         return float(np.log1p(total)), float(np.log1p(1000 * total / max(len(text.split()), 1)))
@@ -163,6 +178,28 @@ def _phrases(text: str, place: int) -> list[str]:
     return out
 
 
+def signatures(text: str) -> list[int]:
+    """Min-hashes of the text's shingles of words (fewer words: the whole text)."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    parts = [b" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
+    return [min(xxhash.xxh64_intdigest(p, seed) for p in parts) >> 1 for seed in range(SIGNATURES)]
+
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """(text, toxic) of ``rows``: one of the documents of a label that share a signature."""
+    names = [f"s{i}" for i in range(SIGNATURES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            got = [signatures(t) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([g[i] for g in got], pa.int64()) for i in range(SIGNATURES)]], [*b.schema.names, *names])
+
+    signed = rows.mapInArrow(run, "text string, toxic int, " + ", ".join(f"{n} bigint" for n in names))
+    for n in names:
+        signed = signed.dropDuplicates(["toxic", n])
+    return signed.select("text", "toxic")
+
+
 def _counted(rows: DataFrame, of) -> DataFrame:
     """How many documents of each label have each key that ``of`` gives for a folded text; counted in the
     task first."""
@@ -203,13 +240,13 @@ def _telling(weights: dict[str, float], toxic: dict[str, int]) -> dict[str, floa
     return kept
 
 
-def _weights(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+def _weights(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float = LEAST_WEIGHT) -> dict[str, float]:
     out = {}
     for e, t in toxic.items():
         c = clean.get(e, 0)
         odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
         w = odds - np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if w >= LEAST_WEIGHT:
+        if t >= LEAST_DOCS and w >= least:
             out[e] = float(w)
     return _telling(out, toxic)
 
@@ -231,7 +268,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """A lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): about ``sample`` labelled ids of
     either label; three quarters teach the entries, the rest the curve."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     named = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     n = {r["toxic"]: r["n"] for r in named.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -240,19 +277,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(10)), 11) / F.lit(float(1 << 53))
     share = F.when(F.col("toxic") == 1, F.lit(sample / n.get(1, 1))).otherwise(F.lit(sample / n.get(0, 1)))
     few = named.where(unit < share).select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) > 0).alias("teaches"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")    # about 2 * sample ids, whatever the size
-    teach, rest = rows.where("teaches"), rows.where(~F.col("teaches"))
-    found = _counted(teach.where("toxic = 1"), entries).where(F.col("n") >= LEAST_DOCS)
-    toxic = {r["key"]: r["n"] for r in found.orderBy(F.col("n").desc(), "key").limit(CANDIDATES).collect()}
+    # About 2 * sample ids, whatever the table's size; their documents are written once.
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic", "teaches"), "labelled")
+    teach, rest = stored(_one_of_each(rows.where("teaches").select("text", "toxic")), "teaching"), rows.where(~F.col("teaches"))
+    size = {r["toxic"]: r["n"] for r in teach.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    size = size.get(1, 0), size.get(0, 0)
+    often = _counted(teach.where("toxic = 1"), entries).where(F.col("n") >= LEAST_DOCS)
+    toxic = {r["key"]: r["n"] for r in often.orderBy(F.col("n").desc(), "key").limit(CANDIDATES).collect()}
     asked = spark.sparkContext.broadcast(set(toxic))
     clean = {r["key"]: r["n"] for r in _counted(teach.where("toxic = 0"), lambda t: entries(t) & asked.value).collect()}
-    counts = {r["toxic"]: r["n"] for r in few.where("teaches").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    weights = _weights(toxic, clean, counts.get(1, 0), counts.get(0, 0))
-    plain = spark.sparkContext.broadcast(Lexicon(weights, set(), None))
-    around = _counted(teach, lambda t: {p for at, _ in plain.value.hits(t) for p in _phrases(t, at)})
+    leaning = spark.sparkContext.broadcast(Lexicon(_weights(toxic, clean, *size, LEANING), set(), None))
+    around = _counted(teach, lambda t: {p for at, _ in leaning.value.hits(t) for p in _phrases(t, at)})
     around = around.groupBy("key").pivot("toxic", [0, 1]).agg(F.sum("n"))
-    spared = (around.where((F.col("0") >= 2) & (F.coalesce("1", F.lit(0)) == 0)).orderBy(F.col("0").desc(), "key").limit(EXCEPTIONS).collect())
-    lexicon = Lexicon(weights, {r["key"] for r in spared}, None)
+    spared = around.where((F.col("0") >= EXCEPTION_DOCS) & F.col("1").isNull()).orderBy(F.col("0").desc(), "key").limit(EXCEPTIONS)
+    exceptions = {r["key"] for r in spared.collect()}
+    if exceptions:
+        plain = spark.sparkContext.broadcast(Lexicon({}, exceptions, None))
+        again = _counted(teach, lambda t: entries(t, plain.value.found(t)[1]) & asked.value).collect()
+        toxic = {r["key"]: r["n"] for r in again if r["toxic"] == 1}
+        clean = {r["key"]: r["n"] for r in again if r["toxic"] == 0}
+    lexicon = Lexicon(_weights(toxic, clean, *size), exceptions, None)
     sent = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, and the score of every whole text."""
-    src = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
+    src = small_batches(docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text")))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
