@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqforge.session import stored
@@ -27,9 +31,29 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def reach(spark: SparkSession) -> None:
+    """Let the Python workers import this package, wherever the driver was started: by the search path on one
+    machine, by shipping the package's files on a cluster (unless PYTHONPATH names its folder already)."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    if re.fullmatch(r"local(\[.*\])?", sc.master):
+        paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*paths, str(root)]))
+    elif not getattr(sc, "_package_sent", False):
+        with tempfile.TemporaryDirectory() as folder:    # only until Spark has taken the file over
+            name = f"{folder}/{__name__.split('.')[0]}.zip"
+            with zipfile.ZipFile(name, "w") as z:
+                for f in (root / __name__.split(".")[0]).rglob("*.py"):
+                    z.write(f, f.relative_to(root))
+            sc.addPyFile(name)
+        sc._package_sent = True
+
+
 def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     """``df``; whole texts go to Python at most ``rows`` at a time from now on (a setting of the session), so
     that neither side of the pipe holds many long texts."""
+    reach(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key, "10000")) <= rows:
@@ -59,10 +83,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def plain_name(name: str) -> str:
-    return re.sub(r"\W", "_", name)
-
-
 def with_row_id(df: DataFrame, label: str) -> DataFrame:
     """``df`` written with a unique ``row_id`` (fixed by the writing)."""
     return stored(df.withColumn("row_id", F.monotonically_increasing_id()), label)

@@ -6,7 +6,7 @@ n-grams, trained by follow-the-regularised-leader with elastic-net penalties, th
   (1 + ln tf) * idf, each text scaled to length one.
 * Document frequencies come from all training documents (one pass; a row per bucket and task, summed).
 * The regression is fitted on a bounded sample of labelled rows: about ``sample_per_lang`` texts of each
-  language, by hash of the row. A fifth of the sample is kept for the temperature.
+  language, and ``SAMPLE`` of all, by hash of the row. A fifth of the sample is kept for the temperature.
 * Prediction reads whole texts and needs no shuffle.
 
 Defined results: ``und`` with score 0 for a text that is null, empty or has no letter; a table without a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from seqforge.llm.common import chunks, held_out, small_batches, texts
 
 BUCKETS = 1 << 16
-SAMPLE_PER_LANG = 2000
+SAMPLE_PER_LANG, SAMPLE = 2000, 16_000
 UND = "und"
 
 
@@ -154,7 +154,8 @@ class Model:
 
 def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int = 2) -> Model:
     """Fit on ``train`` (text, lang). All its rows give the document frequencies; the regression takes a
-    sample of about ``sample_per_lang`` rows of each language, by hash of text and lang."""
+    sample of about ``sample_per_lang`` rows of each language (fewer if there are so many languages that it
+    would pass ``SAMPLE``), by hash of text and lang."""
     train = train.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_lang = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     df, n = document_frequencies(train)
@@ -162,10 +163,11 @@ def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int =
     langs = sorted(per_lang)
     if not langs or not n:
         return Model([], idf, np.zeros((BUCKETS, 1)), 1.0)
+    most = min(sample_per_lang, max(1, SAMPLE // len(langs)))
     unit = F.shiftrightunsigned(F.xxhash64("text", "lang"), 11) / F.lit(float(1 << 53))
     share = F.lit(0.0)
     for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_per_lang / per_lang[lang]))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / per_lang[lang]))).otherwise(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):

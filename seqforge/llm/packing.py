@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, small_batches, with_row_id
+from seqforge.llm.common import chunks, reach, small_batches, with_row_id
 from seqforge.llm.tokens import encoder
 from seqforge.operators.ordering import bucket_prefix
 
@@ -168,6 +168,7 @@ class Layout:
 def pack(parts: DataFrame, sequence: int = SEQUENCE, width: int = WIDTH) -> DataFrame:
     """``parts`` (any columns, among them ``length`` of 1 to ``sequence``) with sequence_id and offset. They
     are written to the shared folder first, with a row id."""
+    reach(parts.sparkSession)
     rows = with_row_id(parts, "pieces").withColumn("_class", F.ceil(F.col("length") / width).cast("int"))
     demand = {r["_class"]: r["n"] for r in rows.groupBy("_class").agg(F.count("*").alias("n")).collect()}
     layout = Layout(plan(demand, sequence // width))

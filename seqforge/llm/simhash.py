@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, offsets, small_batches, stored, texts
+from seqforge.llm.common import chunks, offsets, reach, small_batches, stored, texts
 
 SEED = 42
 TILE = 2048          # rows of a key compared with one another in one piece of work
@@ -167,6 +167,7 @@ def links(reps: DataFrame, max_bits: int = 3, tile: int = TILE) -> DataFrame:
     """Links (a, b), a > b, between the distinct fingerprints ``reps.fp``: for every key a spanning forest
     of the pairs within ``max_bits`` bits, so that their transitive closure is that of all such pairs."""
     cut, pairs = _keys(max_bits)
+    reach(reps.sparkSession)
 
     def block(i: int):
         width = cut[i + 1] - cut[i]

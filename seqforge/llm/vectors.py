@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqforge.llm.common import reach
+
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
     """Rows with an id and a vector that is not empty and has only finite components."""
+    reach(df.sparkSession)
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return df.where(F.col("vec_id").isNotNull() & (F.size(vector) > 0) & ~bad)
 
