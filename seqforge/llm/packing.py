@@ -30,7 +30,7 @@ from seqforge.llm.tokens import encoder
 from seqforge.operators.ordering import bucket_prefix
 
 SEQUENCE, WIDTH, END_ID = 2048, 8, 1
-BUCKETS = 4096
+BUCKETS = 1024
 TOLERANCE = 1e-3
 Pattern = tuple[tuple[int, int], ...]   # (class, pieces of it), largest class first
 
