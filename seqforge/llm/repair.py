@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqforge.llm.common import chunks, offsets, small_batches, stored
+from seqforge.llm.common import chunks, offsets, reach, small_batches, stored
 from seqforge.llm.tokens import encoder
 
 SHARD = 1 << 19       # ids of a shard; a longer document makes a longer shard
-MIN_PAIR = 24         # a pair is replaced if it occurs so often in the shard
+MIN_PAIR = 32         # a pair is replaced if it occurs so often in the shard
 STEP = 64             # a round takes pairs down to this part of the most frequent one
 SLOT_BITS = 18
+TEXTS, MEMO = 2048, 600_000   # texts encoded at once, pieces a worker keeps
 FIRST_RULE = 1 << 24  # symbols from here on are nonterminals
 MAGIC, VERSION = b"RPID", 1
 NULL_ID = -(1 << 63)
@@ -164,9 +165,11 @@ class Shard:
         index = np.where(rule, symbols - FIRST_RULE, 0)
         n = np.where(rule, self.lengths[index], 1) if len(self.lengths) else np.ones(len(symbols), np.int64)
         begin = np.where(rule, start[index], len(pool) + np.arange(len(symbols)))
-        both = np.concatenate([pool, symbols])   # plain ids are taken from the symbols themselves
-        at = np.arange(int(n.sum())) - np.repeat(offsets(n)[:-1], n) + np.repeat(begin, n)
-        return both[at].astype("<u4")
+        both = np.concatenate([pool, symbols]).astype("<u4")   # plain ids are taken from the symbols themselves
+        to = offsets(n)
+        at = np.repeat((begin - to[:-1]).astype(np.int32), n)
+        at += np.arange(to[-1], dtype=np.int32)
+        return both[at]
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document."""
@@ -200,7 +203,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = False
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, spaced)
+        enc = encoder(tokenizer, spaced, MEMO)
         names, ids, held, seq, part = [], [], 0, 0, 0
 
         def flush():
@@ -208,7 +211,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = False
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held // 4], pa.int64()),
                  pa.array([pack(names, ids, min_pair)], pa.binary())], ["part", "seq", "n_ids", "blob"])
 
-        for b in chunks(batches, 1024):
+        for b in chunks(batches, TEXTS):
             part = b.column("part")[0].as_py() if b.num_rows else part
             for name, got in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
                 got += end
@@ -221,12 +224,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = False
         if names:
             yield flush()
 
-    return stored(small_batches(dealt).mapInArrow(run, "part int, seq int, n_ids bigint, blob binary"), "token-shards")
+    return stored(small_batches(dealt, TEXTS).mapInArrow(run, "part int, seq int, n_ids bigint, blob binary"), "token-shards")
 
 
 def read(shards: DataFrame) -> DataFrame:
     """From written shards, per document: doc_id, start (ids of all documents before it), n_tokens and
     ids_crc32."""
+    reach(shards.sparkSession)
     # Two small tables: a row per part, then a row per shard.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (shards.groupBy("part").agg(F.sum("n_ids").alias("n"))

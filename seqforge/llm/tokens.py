@@ -1,7 +1,7 @@
 """Whole-text encoding with a given tokenizer file, for the operators on token ids.
 
-Texts are cut where the tokenizer certainly cuts (between words, and between a letter and a full stop or
-comma after it). The distinct pieces of many texts are found with Arrow, those that the worker has not met
+Texts are cut where the tokenizer certainly cuts (between words, and between a letter and a sign after
+it). The distinct pieces of many texts are found with Arrow, those that the worker has not met
 are encoded with the tokenizer, and the ids of the pieces, in order, are the ids of the texts. Where the
 cuts are not certain (control characters, rare white space, adjoining white space for tokenizers that keep
 it, anything like a special token), a text is encoded as a whole.
@@ -22,6 +22,7 @@ MEMO = 300_000   # pieces kept by a worker; beyond it those met once are dropped
 TOGETHER = 200   # pieces encoded as one text
 _RARE = r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<\||\x{85}|\x{a0}|\x{1680}|\x{180e}|[\x{2000}-\x{200f}]|[\x{2028}-\x{202f}]|[\x{205f}-\x{206f}]|\x{3000}|\x{feff}"
 _RARE_SPACED = _RARE + r"|[\t\r]|[ \n][ \n]|^[ \n]|[ \n]$"
+_LETTER_SIGN = r"([a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-`{-~])"
 _CUT = "\x01"
 
 
@@ -29,10 +30,10 @@ class Encoder:
     """ids of whole texts. ``spaced``: white space matters (byte-level BPE with a leading space as part of
     the word); else it only separates, and case does not matter."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer, self.spaced, self.most = Tokenizer.from_file(path), spaced, most or MEMO
         # Byte-level vocabularies spell each byte as one character; a word's end is not a byte.
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -44,8 +45,8 @@ class Encoder:
 
     def _pieces(self, texts: pa.Array) -> pa.Array:
         if not self.spaced:
-            return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2"))
-        t = pc.replace_substring_regex(texts, r"([a-zA-Z])([.,])", rf"\1{_CUT}\2")
+            return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_SIGN, r"\1 \2"))
+        t = pc.replace_substring_regex(texts, _LETTER_SIGN, rf"\1{_CUT}\2")
         return pc.split_pattern(pc.replace_substring(pc.replace_substring(t, " ", f"{_CUT} "), "\n", f"{_CUT}\n"), _CUT)
 
     def _learn(self, pieces: list[str]) -> None:
@@ -79,7 +80,7 @@ class Encoder:
     def _drop(self) -> None:
         """Keep the pieces met in more than one batch, if that makes room, else none."""
         kept = np.nonzero(self.met[:len(self.memo)] > 1)[0]
-        kept = kept if len(kept) < MEMO // 2 else kept[:0]
+        kept = kept if len(kept) < self.most // 2 else kept[:0]
         names = list(self.memo)          # in the order of their numbers
         ids = self._ids(kept)
         n = self.count[kept]
@@ -103,7 +104,7 @@ class Encoder:
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         slots = list(map(self.memo.get, pieces))
         if missing := [p for p, s in zip(pieces, slots, strict=True) if s is None]:
-            if len(self.memo) + len(missing) > MEMO:
+            if len(self.memo) + len(missing) > self.most:
                 self._drop()
                 missing = [p for p in pieces if p not in self.memo]
             if missing:
@@ -130,6 +131,6 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, most: int | None = None) -> Encoder:
     """One encoder for each worker process, file and kind."""
-    return Encoder(path, spaced)
+    return Encoder(path, spaced, most)
