@@ -34,8 +34,8 @@ from seqforge.llm.common import chunks, offsets, reach, small_batches, stored
 from seqforge.llm.tokens import encoder
 
 SHARD = 1 << 19       # ids of a shard; a longer document makes a longer shard
-MIN_PAIR = 32         # a pair is replaced if it occurs so often in the shard
-STEP = 64             # a round takes pairs down to this part of the most frequent one
+MIN_PAIR = 48         # a pair is replaced if it occurs so often in the shard
+STEP = 256            # a round takes pairs down to this part of the most frequent one
 SLOT_BITS = 18
 TEXTS, MEMO = 2048, 600_000   # texts encoded at once, pieces a worker keeps
 FIRST_RULE = 1 << 24  # symbols from here on are nonterminals
