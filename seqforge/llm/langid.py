@@ -95,7 +95,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 class Ftrl:
     """Follow the regularised leader (proximal) for a multinomial logistic regression."""
 
-    def __init__(self, classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01):
+    def __init__(self, classes: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1):
         self.z, self.n = np.zeros((BUCKETS, classes)), np.zeros((BUCKETS, classes))
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -152,7 +152,7 @@ class Model:
         return self.langs[k], float(p[k])
 
 
-def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int = 2) -> Model:
+def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int = 4) -> Model:
     """Fit on ``train`` (text, lang). All its rows give the document frequencies; the regression takes a
     sample of about ``sample_per_lang`` rows of each language (fewer if there are so many languages that it
     would pass ``SAMPLE``), by hash of text and lang."""
