@@ -41,12 +41,12 @@ def reach(spark: SparkSession) -> None:
         paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
         sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*paths, str(root)]))
     elif not getattr(sc, "_package_sent", False):
-        with tempfile.TemporaryDirectory() as folder:    # only until Spark has taken the file over
-            name = f"{folder}/{__name__.split('.')[0]}.zip"
-            with zipfile.ZipFile(name, "w") as z:
-                for f in (root / __name__.split(".")[0]).rglob("*.py"):
-                    z.write(f, f.relative_to(root))
-            sc.addPyFile(name)
+        package = __name__.split(".")[0]
+        name = f"{tempfile.mkdtemp()}/{package}.zip"     # read by the driver alone, which serves it to the executors
+        with zipfile.ZipFile(name, "w") as z:
+            for f in (root / package).rglob("*.py"):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(name)
         sc._package_sent = True
 
 
