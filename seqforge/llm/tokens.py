@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from seqforge.llm.common import offsets
 
 MEMO = 300_000   # pieces kept by a worker; beyond it those met once are dropped
-TOGETHER = 200   # pieces encoded as one text
+TOGETHER = 200   # pieces encoded as one text, where their cuts are certain
 _RARE = r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<\||\x{85}|\x{a0}|\x{1680}|\x{180e}|[\x{2000}-\x{200f}]|[\x{2028}-\x{202f}]|[\x{205f}-\x{206f}]|\x{3000}|\x{feff}"
 _RARE_SPACED = _RARE + r"|[\t\r]|[ \n][ \n]|^[ \n]|[ \n]$"
 _LETTER_SIGN = r"([a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-`{-~])"
@@ -50,22 +50,31 @@ class Encoder:
         return pc.split_pattern(pc.replace_substring(pc.replace_substring(t, " ", f"{_CUT} "), "\n", f"{_CUT}\n"), _CUT)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Add new pieces to the memo. They are encoded many to a text; a token's bytes tell which piece it
-        is of. Where the bytes do not add up (the tokenizer changes some letters), one by one."""
-        between = "" if self.spaced else " "
-        parts = [pieces[i:i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
-        joined = self.tokenizer.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)
-        lengths = pc.binary_length(pa.array(pieces, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+        """Add new pieces to the memo. Pieces that are certainly cut from whatever comes before them are
+        encoded many to a text; a token's bytes tell which piece it is of. Where the bytes do not add up (the
+        tokenizer changes some letters), and where white space matters and a piece does not begin with it
+        (after a sign "'s" is no contraction), one by one."""
+        alone = [p for p in pieces if not p.startswith((" ", "\n"))] if self.spaced else []
+        many = [p for p in pieces if p.startswith((" ", "\n"))] if self.spaced else pieces
+        pieces = many + alone
+        parts = [many[i:i + TOGETHER] for i in range(0, len(many), TOGETHER)]
+        joined = self.tokenizer.encode_batch_fast([("" if self.spaced else " ").join(p) for p in parts], add_special_tokens=False)
+        lengths = pc.binary_length(pa.array(many, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
         ids, n = [], []
         for k, (part, e) in enumerate(zip(parts, joined, strict=True)):
             got = np.array(e.ids, np.uint32)
             ends, upto = np.cumsum(lengths[k * TOGETHER:k * TOGETHER + len(part)]), np.cumsum(self.bytes_of[got])
             cut = np.searchsorted(upto, ends)
             if not len(upto) or cut[-1] >= len(upto) or (upto[cut] != ends).any():
-                each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                got, cut = np.array([t for e in each for t in e], np.uint32), np.cumsum([len(e) for e in each]) - 1
+                got, sizes = self._each(part)
+            else:
+                sizes = np.diff(cut + 1, prepend=0)
             ids.append(got)
-            n.append(np.diff(cut + 1, prepend=0))
+            n.append(sizes)
+        if alone:
+            got, sizes = self._each(alone)
+            ids.append(got)
+            n.append(sizes)
         ids, n = np.concatenate(ids), np.concatenate(n)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
@@ -77,6 +86,11 @@ class Encoder:
         self.used += len(ids)
         self.memo.update(zip(pieces, range(at, upto), strict=True))
 
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces encoded one by one, end to end, and how many each has."""
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([t for e in each for t in e], np.uint32), np.array([len(e) for e in each], np.int64)
+
     def _drop(self) -> None:
         """Keep the pieces met in more than one batch, if that makes room, else none."""
         kept = np.nonzero(self.met[:len(self.memo)] > 1)[0]
