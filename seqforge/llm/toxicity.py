@@ -42,8 +42,6 @@ from pyspark.sql import functions as F
 from seqforge.llm.common import chunks, held_out, small_batches, stored, texts
 
 SAMPLE = 8000           # labelled documents of either label, about
-CANDIDATES = 20_000     # most frequent beginnings and words of toxic documents that are weighed
-EXCEPTIONS = 5_000      # exception phrases kept
 PREFIX = range(3, 9)
 LEAST_WEIGHT, LEAST_DOCS = 2.5, 3
 SIGNATURES, SHINGLE = 3, 5
@@ -240,6 +238,17 @@ def _telling(weights: dict[str, float], toxic: dict[str, int]) -> dict[str, floa
     return kept
 
 
+def _passing(counted: DataFrame, n_toxic: int, n_clean: int, least: float) -> tuple[dict[str, int], dict[str, int]]:
+    """Toxic and clean documents of every entry of ``counted`` that reaches the weight ``least``; all entries
+    are weighed in Spark, and those that pass are bounded by the labelled sample."""
+    t, c = (F.coalesce(F.sum(F.when(F.col("toxic") == y, F.col("n"))), F.lit(0)) for y in (1, 0))
+    both = counted.groupBy("key").agg(t.alias("t"), c.alias("c")).where(F.col("t") >= LEAST_DOCS)
+    t, c = F.col("t") + 0.5, F.col("c") + 0.5
+    weight = F.log(t / F.lit(n_toxic + 1)) - F.log(c / F.lit(n_clean + 1)) - F.sqrt(1 / t + 1 / c)
+    got = both.where(weight >= least - 1e-6).collect()     # _weights decides at the border
+    return {r["key"]: r["t"] for r in got}, {r["key"]: r["c"] for r in got}
+
+
 def _weights(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float = LEAST_WEIGHT) -> dict[str, float]:
     out = {}
     for e, t in toxic.items():
@@ -282,20 +291,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     teach, rest = stored(_one_of_each(rows.where("teaches").select("text", "toxic")), "teaching"), rows.where(~F.col("teaches"))
     size = {r["toxic"]: r["n"] for r in teach.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     size = size.get(1, 0), size.get(0, 0)
-    often = _counted(teach.where("toxic = 1"), entries).where(F.col("n") >= LEAST_DOCS)
-    toxic = {r["key"]: r["n"] for r in often.orderBy(F.col("n").desc(), "key").limit(CANDIDATES).collect()}
-    asked = spark.sparkContext.broadcast(set(toxic))
-    clean = {r["key"]: r["n"] for r in _counted(teach.where("toxic = 0"), lambda t: entries(t) & asked.value).collect()}
+    toxic, clean = _passing(_counted(teach, entries), *size, LEANING)
     leaning = spark.sparkContext.broadcast(Lexicon(_weights(toxic, clean, *size, LEANING), set(), None))
     around = _counted(teach, lambda t: {p for at, _ in leaning.value.hits(t) for p in _phrases(t, at)})
     around = around.groupBy("key").pivot("toxic", [0, 1]).agg(F.sum("n"))
-    spared = around.where((F.col("0") >= EXCEPTION_DOCS) & F.col("1").isNull()).orderBy(F.col("0").desc(), "key").limit(EXCEPTIONS)
-    exceptions = {r["key"] for r in spared.collect()}
+    exceptions = {r["key"] for r in around.where((F.col("0") >= EXCEPTION_DOCS) & F.col("1").isNull()).select("key").collect()}
     if exceptions:
         plain = spark.sparkContext.broadcast(Lexicon({}, exceptions, None))
-        again = _counted(teach, lambda t: entries(t, plain.value.found(t)[1]) & asked.value).collect()
-        toxic = {r["key"]: r["n"] for r in again if r["toxic"] == 1}
-        clean = {r["key"]: r["n"] for r in again if r["toxic"] == 0}
+        toxic, clean = _passing(_counted(teach, lambda t: entries(t, plain.value.found(t)[1])), *size, LEAST_WEIGHT)
     lexicon = Lexicon(_weights(toxic, clean, *size), exceptions, None)
     sent = spark.sparkContext.broadcast(lexicon)
 

@@ -75,3 +75,23 @@ def test_hits_begin_words_and_heaviest_counts():
 def test_longer_texts_need_more():
     lexicon = toxicity.Lexicon({"bad": 2.0}, set(), (-8.0, 0.0, 1.5))
     assert lexicon.score("bad text") > lexicon.score("bad text " + "word " * 500) > lexicon.score("text")
+
+
+def test_rare_entries_are_weighed_behind_many_ordinary_ones(spark):
+    rng = random.Random(13)
+    ordinary = list({"".join(rng.choice("abcdeghnopruvwy") for _ in range(9)) for _ in range(6000)})
+    data, labels = [], []
+    for i in range(500):
+        toxic = int(i < 40)
+        words = rng.sample(ordinary, 2000 if toxic else 300)
+        data.append((i, " ".join(words + ["zmqfjk"] * (i < 7)), "en", "s"))
+        labels.append((i, 0, toxic))
+    frame = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = toxicity.learn(docs(spark, data), frame)
+    taught = [i for i in range(7) if spark.sql(f"SELECT pmod(xxhash64({i}L, 11), 4) > 0 AS t").first()["t"]]
+    assert len(taught) >= toxicity.LEAST_DOCS and any("zmqfjk".startswith(e.strip()) for e in got.weights)
+    by_rank = {}
+    for i, t, *_ in data[:40]:
+        for e in toxicity.entries(toxicity.fold(t)):
+            by_rank[e] = by_rank.get(e, 0) + 1
+    assert sum(n > 7 for n in by_rank.values()) > 20_000
