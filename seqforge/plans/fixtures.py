@@ -120,7 +120,7 @@ def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered action sequences (seq_id, start_state=0, start_side, actions[]): user x week of events,
-    ordered by (ts, event_id); one shuffle. A user's events of one week are a bounded sequence."""
+    ordered by (ts, event_id); one shuffle. Nothing bounds a user's events of one week: all are one row."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("bigint")
     g = (e.groupBy((F.col("user_id") * 10 + week).alias("seq_id"))
