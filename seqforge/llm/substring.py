@@ -2,9 +2,10 @@
 
 A sentence ends after a full stop, exclamation or question mark followed by white space, or at a line end.
 Spans are the runs of ``RUN`` consecutive sentences with ``RUN_WORDS`` or more words, and of two sentences
-with ``PAIR_WORDS`` or more: long enough that two documents hardly share one by chance, short enough that
-any repeated passage of more than 50 words holds several. Spans are compared as words joined by single
-spaces, by their 64-bit hash.
+with ``PAIR_WORDS`` or more: long enough that two documents hardly share one by chance. A repeated passage of
+which only one whole sentence is left, or two with fewer words, or whose sentences are so short that no
+``RUN`` of them has the words, holds no span and stays in every document, however long it is; ``OP4_SQL``
+defines the same spans. Spans are compared as words joined by single spaces, by their 64-bit hash.
 
 Every run is hashed in one pass; spans that a document repeats itself are settled there. All hashes then
 meet in one aggregation (smallest doc_id and count; a hash that a third of all documents share is reduced
