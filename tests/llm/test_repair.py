@@ -68,6 +68,14 @@ def test_frequent_pairs_are_replaced_until_none_is_left():
     assert n.max() < repair.MIN_PAIR
 
 
+def test_pairs_of_forty_occurrences_are_replaced_after_more_frequent_ones():
+    rng = np.random.default_rng(4)
+    filler = iter(rng.permutation(np.arange(100, 30_000)).tolist())
+    ids = np.array([x for n, pair in ((3000, (7, 8)), (40, (9, 10))) for _ in range(n) for x in (*pair, next(filler))], "<u4")
+    symbols, _, rules, _ = repair.compress(ids, np.array([0]))
+    assert rules.tolist() == [[7, 8], [9, 10]] and len(symbols) == len(ids) - 3040
+
+
 def test_query_equals_plain_encoding(spark, scratch):
     data = rows()
     got = collected(repair.op3_token_ids(spark, table_dir(scratch, documents=docs(spark, data))), "start", "doc_id", "n_tokens", "ids_crc32")
