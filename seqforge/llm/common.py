@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,21 @@ ASCII_LOWER = ASCII_UPPER.lower()
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to a few rows, so that the Python objects made from them stay small."""
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 22, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to a few rows, so that the Python objects made from them stay small; where there is a
+    column ``name`` of strings, also to about ``size`` bytes of it (or one row)."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+            part = batch.slice(i, rows)
+            if name not in part.schema.names or not pa.types.is_string(part.schema.field(name).type):
+                yield part
+                continue
+            n = offsets(pc.fill_null(pc.binary_length(part.column(name)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < part.num_rows:
+                upto = max(int(np.searchsorted(n, n[at] + size, "right")) - 1, at + 1)
+                yield part.slice(at, upto - at)
+                at = upto
 
 
 def reach(spark: SparkSession) -> None:

@@ -1,15 +1,20 @@
 """Whole-text encoding with a given tokenizer file, for the operators on token ids.
 
 Texts are cut where the tokenizer certainly cuts (between words, and between a letter and a sign after
-it). The distinct pieces of many texts are found with Arrow, those that the worker has not met
-are encoded with the tokenizer, and the ids of the pieces, in order, are the ids of the texts. Where the
-cuts are not certain (control characters, rare white space, adjoining white space for tokenizers that keep
-it, anything like a special token), a text is encoded as a whole.
+it; where white space matters, before a run of blanks and before its last blank, if a word follows). The
+distinct pieces of many texts are found with Arrow, those that the worker has not met
+are encoded with the tokenizer, and the ids of the pieces, in order, are the ids of the texts. Where these
+cuts are not certain (control characters, rare white space, anything like a special token), a text is cut only at
+single spaces between two letters, which no tokenizer of these kinds joins, into parts of about ``PART`` letters;
+the parts that hold such a letter go to the tokenizer ``CALL`` letters at a time, so a call's memory does not grow
+with the rows.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +26,12 @@ from seqforge.llm.common import offsets
 MEMO = 300_000   # pieces kept by a worker; beyond it those met once are dropped
 TOGETHER = 200   # pieces encoded as one text, where their cuts are certain
 _RARE = r"[\x00-\x08\x0b\x0c\x0e-\x1f]|<\||\x{85}|\x{a0}|\x{1680}|\x{180e}|[\x{2000}-\x{200f}]|[\x{2028}-\x{202f}]|[\x{205f}-\x{206f}]|\x{3000}|\x{feff}"
-_RARE_SPACED = _RARE + r"|[\t\r]|[ \n][ \n]|^[ \n]|[ \n]$"
+PART, CALL = 1 << 9, 1 << 18   # letters of a part of a text with rare letters, and of the parts of one call
+_BLANK, _NO_BLANK = r"[ \t\r\n]", r"[^ \t\r\n]"
+_BLANKS = rf"[\t\r]|{_BLANK}{_BLANK}|^{_BLANK}|{_BLANK}$"
 _LETTER_SIGN = r"([a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-/:-@\[-`{-~])"
 _CUT = "\x01"
+_BETWEEN = re.compile("(?<=[a-zA-Z]) (?=[a-zA-Z])")
 
 
 class Encoder:
@@ -47,15 +55,19 @@ class Encoder:
         if not self.spaced:
             return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_SIGN, r"\1 \2"))
         t = pc.replace_substring_regex(texts, _LETTER_SIGN, rf"\1{_CUT}\2")
-        return pc.split_pattern(pc.replace_substring(pc.replace_substring(t, " ", f"{_CUT} "), "\n", f"{_CUT}\n"), _CUT)
+        if not (pc.any(pc.match_substring_regex(texts, _BLANKS)).as_py() or False):   # every blank is before a word
+            return pc.split_pattern(pc.replace_substring(pc.replace_substring(t, " ", f"{_CUT} "), "\n", f"{_CUT}\n"), _CUT)
+        t = pc.replace_substring_regex(t, rf"({_BLANK}+)({_BLANK})({_NO_BLANK})", rf"{_CUT}\1{_CUT}\2\3")
+        return pc.split_pattern(pc.replace_substring_regex(t, rf"([^ \t\r\n{_CUT}])({_BLANK})", rf"\1{_CUT}\2"), _CUT)
 
     def _learn(self, pieces: list[str]) -> None:
         """Add new pieces to the memo. Pieces that are certainly cut from whatever comes before them are
         encoded many to a text; a token's bytes tell which piece it is of. Where the bytes do not add up (the
         tokenizer changes some letters), and where white space matters and a piece does not begin with it
-        (after a sign "'s" is no contraction), one by one."""
-        alone = [p for p in pieces if not p.startswith((" ", "\n"))] if self.spaced else []
-        many = [p for p in pieces if p.startswith((" ", "\n"))] if self.spaced else pieces
+        (after a sign "'s" is no contraction) or is nothing else, one by one."""
+        blank = (" ", "\n", "\t", "\r")
+        alone = [p for p in pieces if not p.startswith(blank) or p.endswith(blank)] if self.spaced else []
+        many = [p for p in pieces if p.startswith(blank) and not p.endswith(blank)] if self.spaced else pieces
         pieces = many + alone
         parts = [many[i:i + TOGETHER] for i in range(0, len(many), TOGETHER)]
         joined = self.tokenizer.encode_batch_fast([("" if self.spaced else " ").join(p) for p in parts], add_special_tokens=False)
@@ -129,20 +141,55 @@ class Encoder:
         slots = slots[coded.indices.to_numpy()]
         return self._ids(slots), offsets(self.count[slots])[cut - cut[0]]
 
+    def _whole(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of parts without certain cuts, ``CALL`` letters (or one part) at a time."""
+        i = 0
+        while i < len(parts):
+            j, size = i + 1, len(parts[i])
+            while j < len(parts) and size + len(parts[j]) <= CALL:
+                size += len(parts[j])
+                j += 1
+            for e in self.tokenizer.encode_batch_fast(parts[i:j], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+            i = j
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        unsure = pc.match_substring_regex(texts, _RARE_SPACED if self.spaced else _RARE).to_numpy(zero_copy_only=False)
-        ids, at = self._sure(texts.filter(pa.array(~unsure)))
-        raw = ids.astype("<u4", copy=False).tobytes()
-        sure = iter([raw[4 * a:4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-        whole = iter([np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(
-            texts.filter(pa.array(unsure)).to_pylist(), add_special_tokens=False)] if unsure.any() else [])
-        out = [next(whole if u else sure) for u in unsure.tolist()]
-        del ids, raw
+        unsure = pc.match_substring_regex(texts, _RARE).to_numpy(zero_copy_only=False)
+        if unsure.any():
+            parts = [at_letters(t) if u else [t] for t, u in zip(texts.to_pylist(), unsure.tolist(), strict=True)]
+            ids = iter(self._encode(pa.array([p for each in parts for p in each], pa.string())))
+            out = [b"".join(next(ids) for _ in each) for each in parts]
+        else:
+            out = self._encode(texts)
         pa.default_memory_pool().release_unused()
         return out
 
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        unsure = pc.match_substring_regex(texts, _RARE).to_numpy(zero_copy_only=False)
+        blanks = pc.match_substring_regex(texts, _BLANKS).to_numpy(zero_copy_only=False) & ~unsure if self.spaced else np.zeros(len(unsure), bool)
+        kinds = [self._cut_up(texts, at) for at in (~unsure & ~blanks, blanks)]
+        whole = self._whole(texts.filter(pa.array(unsure)).to_pylist())
+        return [next(whole) if u else next(kinds[int(b)]) for u, b in zip(unsure.tolist(), blanks.tolist(), strict=True)]
+
+    def _cut_up(self, texts: pa.Array, at: np.ndarray) -> Iterator[bytes]:
+        """The ids of those texts ``at`` which the cuts are certain."""
+        if not at.any():
+            return iter(())
+        ids, cut = self._sure(texts.filter(pa.array(at)))
+        raw = ids.astype("<u4", copy=False).tobytes()
+        return iter([raw[4 * a:4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+
+
+def at_letters(text: str) -> list[str]:
+    """The text in parts of ``PART`` letters or a little more, cut before single spaces between letters."""
+    out, done = [], 0
+    while len(text) - done > PART and (m := _BETWEEN.search(text, done + PART)):
+        out.append(text[done:m.start()])
+        done = m.start()
+    return [*out, text[done:]]
+
 
 @lru_cache(4)
 def encoder(path: str, spaced: bool, most: int | None = None) -> Encoder:
