@@ -36,17 +36,21 @@ _BETWEEN = re.compile("(?<=[a-zA-Z]) (?=[a-zA-Z])")
 
 class Encoder:
     """ids of whole texts. ``spaced``: white space matters (byte-level BPE with a leading space as part of
-    the word); else it only separates, and case does not matter."""
+    the word); else it only separates, and case does not matter. ``plain``: special tokens' texts are plain text."""
 
-    def __init__(self, path: str, spaced: bool, most: int | None = None):
+    def __init__(self, path: str, spaced: bool, most: int | None = None, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.spaced, self.most = Tokenizer.from_file(path), spaced, most or MEMO
+        self.tokenizer.encode_special_tokens = plain
         # Byte-level vocabularies spell each byte as one character; a word's end is not a byte.
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.bytes_of[i] = len(token.removesuffix("</w>")) or len(token)
+        self._empty()
+
+    def _empty(self) -> None:
         self.memo: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 20, np.uint32), 0       # ids of the pieces, end to end
         self.first, self.count, self.met = (np.zeros(1 << 18, np.int64) for _ in range(3))
@@ -60,8 +64,8 @@ class Encoder:
         t = pc.replace_substring_regex(t, rf"({_BLANK}+)({_BLANK})({_NO_BLANK})", rf"{_CUT}\1{_CUT}\2\3")
         return pc.split_pattern(pc.replace_substring_regex(t, rf"([^ \t\r\n{_CUT}])({_BLANK})", rf"\1{_CUT}\2"), _CUT)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Add new pieces to the memo. Pieces that are certainly cut from whatever comes before them are
+    def _new(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """New pieces in another order, their ids end to end, and how many each has. Pieces that are certainly cut from whatever comes before them are
         encoded many to a text; a token's bytes tell which piece it is of. Where the bytes do not add up (the
         tokenizer changes some letters), and where white space matters and a piece does not begin with it
         (after a sign "'s" is no contraction) or is nothing else, one by one."""
@@ -87,7 +91,11 @@ class Encoder:
             got, sizes = self._each(alone)
             ids.append(got)
             n.append(sizes)
-        ids, n = np.concatenate(ids), np.concatenate(n)
+        return pieces, np.concatenate(ids), np.concatenate(n)
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Add new pieces to the memo."""
+        pieces, ids, n = self._new(pieces)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         at, upto = len(self.memo), len(self.memo) + len(pieces)
@@ -182,16 +190,16 @@ class Encoder:
         return iter([raw[4 * a:4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
 
 
-def at_letters(text: str) -> list[str]:
-    """The text in parts of ``PART`` letters or a little more, cut before single spaces between letters."""
+def at_letters(text: str, part: int = PART) -> list[str]:
+    """The text in parts of ``part`` letters or a little more, cut before single spaces between letters."""
     out, done = [], 0
-    while len(text) - done > PART and (m := _BETWEEN.search(text, done + PART)):
+    while len(text) - done > part and (m := _BETWEEN.search(text, done + part)):
         out.append(text[done:m.start()])
         done = m.start()
     return [*out, text[done:]]
 
 
 @lru_cache(4)
-def encoder(path: str, spaced: bool, most: int | None = None) -> Encoder:
+def encoder(path: str, spaced: bool, most: int | None = None, plain: bool = False) -> Encoder:
     """One encoder for each worker process, file and kind."""
-    return Encoder(path, spaced, most)
+    return Encoder(path, spaced, most, plain)

@@ -5,6 +5,6 @@ import corpus_pipeline
 
 def test_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([k for k in names if k.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and [k for k, _ in corpus_pipeline.STAGES][0] == "language_id"
