@@ -5,8 +5,9 @@ that gets joined, never a per-row library. A sequence is one row with its action
 
 * ``valid_prefix`` (observable state = previous action): the steps as (previous action, action) pairs,
   one left join and a ``min``;
-* ``valid_prefix_fold`` (hidden state, rules of any size): each sequence gets the rules of its own
-  actions as a small map (one join on the action), then ``aggregate`` folds its array of actions.
+* ``valid_prefix_fold`` (hidden state, rules of any size): by the measured size of the rules, one map of all of them
+  (a scalar subquery, no join), a map of the sequence's own actions (one join on the action), or the frontier walk
+  of ``walk.py``. The maps are folded over a sequence's array of actions; the walk needs no map and no array of states.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions.text import col_of, hash32, ws_split
+from seqforge.operators import walk
 
 
 # ---- E1/E2: explodes -------------------------------------------------------------------------
@@ -112,18 +114,35 @@ def valid_prefix(seqs: DataFrame, pairs: DataFrame, start: str = "") -> DataFram
                       F.coalesce(F.col("first_bad") - 1, F.col("n_steps")).cast("int").alias("valid_len"))
 
 
+SMALL = 2048     # rules that may be one map, given to every row
+NARROW = 64      # states of one action that may be a map in a sequence's row
+
+
+def rule_sizes(rules: DataFrame) -> tuple[int, int]:
+    """(all rules, most rules of one action), from one pass."""
+    per = rules.groupBy("action").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    return int(per[0]), int(per[1])
+
+
+def _per_action(rules: DataFrame) -> DataFrame:
+    return rules.groupBy("action").agg(F.map_from_entries(F.collect_list(F.struct("state", "next_state"))).alias("m"))
+
+
+def with_all_transitions(seqs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``trans``, all rules as one map action -> (state -> next state), for at most ``SMALL`` rules: computed once."""
+    return seqs.withColumn("trans", _per_action(rules).agg(F.map_from_entries(F.collect_list(F.struct("action", "m")))).scalar())
+
+
 def with_transitions(seqs: DataFrame, rules: DataFrame, key: Sequence[str] = ("seq_id",),
                      actions: str = "actions") -> DataFrame:
     """Adds ``trans``, the rules of the sequence's own actions as a map action -> (state -> next state);
-    NULL when it has none. ``key`` must be unique. A (state, action) that occurs twice in ``rules``
-    raises, as a map cannot hold it twice, so no row is ever doubled.
+    NULL when it has none; for rules with at most ``NARROW`` states an action. ``key`` must be unique.
+    A (state, action) that occurs twice in ``rules`` raises, as a map cannot hold it twice, so no row is ever doubled.
 
     The rules are grouped per action once and joined with each sequence's distinct actions; nothing is
-    collected or broadcast, whatever the size of ``rules``."""
-    per_action = rules.groupBy("action").agg(
-        F.map_from_entries(F.collect_list(F.struct("state", "next_state"))).alias("m"))
+    collected or broadcast, however many actions there are."""
     own = seqs.select(*key, F.explode(F.array_distinct(actions)).alias("action"))
-    maps = (own.join(per_action, "action").groupBy(*key)
+    maps = (own.join(_per_action(rules), "action").groupBy(*key)
             .agg(F.map_from_entries(F.collect_list(F.struct("action", "m"))).alias("trans")))
     return seqs.join(maps, list(key), "left")
 
@@ -178,18 +197,24 @@ def fold_states(actions: Column, start: Column, trans: Column, with_states: bool
 
 def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, with_states: bool = True,
                       key: Sequence[str] = ("seq_id",), actions: str = "actions") -> DataFrame:
-    """E5(c): the sequences' columns, n_steps, valid_len and states[] (or last_state)."""
-    j = with_transitions(seqs, rules, key, actions)
+    """E5(c): the sequences' columns, n_steps, valid_len and states[] (or last_state), for rules of any size."""
+    total, widest = rule_sizes(rules)
+    if total > SMALL and widest > NARROW:
+        return from_walk(seqs, walk.walk(seqs, rules, key, actions), with_states, key, actions)
+    j = with_all_transitions(seqs, rules) if total <= SMALL else with_transitions(seqs, rules, key, actions)
     f = fold_states(F.col(actions), F.col("start_state"), F.col("trans"), with_states)
     last = "states" if with_states else "last_state"
     return (j.select(*seqs.columns, F.size(actions).alias("n_steps"), f.alias("_f"))
             .select(*seqs.columns, "n_steps", F.col("_f.valid_len").alias("valid_len"), F.col(f"_f.{last}").alias(last)))
 
 
-def reached_states(checked: DataFrame, key: Sequence[str] = ("seq_id",)) -> DataFrame:
-    """E5(b): (key, pos, state) of every ply that a sequence reaches (pos 0 = start), from
-    :func:`valid_prefix_fold`."""
-    return checked.select(*key, F.posexplode("states").alias("pos", "state"))
+def from_walk(seqs: DataFrame, reached: DataFrame, with_states: bool = True, key: Sequence[str] = ("seq_id",),
+              actions: str = "actions") -> DataFrame:
+    """The columns of :func:`valid_prefix_fold` from the plies (key, pos, state) that the sequences reach."""
+    per = (F.transform(F.sort_array(F.collect_list(F.struct("pos", "state"))), lambda x: x["state"]).alias("states") if with_states
+           else F.max_by("state", "pos").alias("last_state"))
+    g = reached.groupBy(*key).agg(F.max("pos").alias("valid_len"), per)
+    return seqs.join(g, list(key)).select(*seqs.columns, F.size(actions).alias("n_steps"), "valid_len", "states" if with_states else "last_state")
 
 
 def state_at(states: Column, k: Column | int) -> Column:
@@ -224,6 +249,11 @@ def candidate_actions(rules: DataFrame) -> DataFrame:
     return rules.groupBy("state").agg(F.sort_array(F.collect_set("action")).alias("candidates"))
 
 
+def prefix_states(df: DataFrame, rules: DataFrame, key: Sequence[str] = ("seq_id",), prefix: str = "prefix") -> DataFrame:
+    """E10 for prefixes: (key, state) after each row's whole ``prefix``, every shared beginning stepped through once."""
+    return walk.state_memo(df, rules, key, prefix)
+
+
 def dedup_compute(df: DataFrame, keys: list[str], compute) -> DataFrame:
     """Compute once per distinct key tuple, then join the result back (the memo as a plan)."""
     distinct = df.select(*keys).distinct()

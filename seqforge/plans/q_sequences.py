@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
 from seqforge.functions.text import joined
-from seqforge.operators import chat, profile, sampling, sequences
+from seqforge.operators import chat, profile, sampling, sequences, walk
 from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import register
 from seqforge.plans.fixtures_sql import h32, lit, with_views
@@ -59,11 +59,10 @@ def q_valid_prefix_fold(spark, sf):
 
 @register("valid_prefix_walk", _walk_sql(_WALK_RESULT_SQL))
 def q_valid_prefix_walk(spark, sf):
-    """E5(b): the reached plies in long form, regrouped."""
-    checked = sequences.valid_prefix_fold(fx.v_seq(spark, sf), fx.v_rules(spark, sf))
-    reached = sequences.reached_states(checked, ("seq_id", "n_steps"))
-    g = reached.groupBy("seq_id", "n_steps").agg(F.max("pos").alias("valid_len"), F.sort_array(F.collect_list(F.struct("pos", "state"))).alias("ps"))
-    return g.select("seq_id", "n_steps", "valid_len", F.array_join(F.transform("ps", lambda x: x["state"].cast("string")), " ").alias("states"))
+    """E5(b): the frontier walk over the trie of prefixes; its plies in long form, regrouped."""
+    seqs = fx.v_seq(spark, sf)
+    f = sequences.from_walk(seqs, walk.walk(seqs, fx.v_rules(spark, sf)))
+    return f.select("seq_id", "n_steps", "valid_len", joined("states").alias("states"))
 
 
 @register("state_at_k", _walk_sql("""
@@ -81,18 +80,11 @@ SELECT s.seq_id, CAST(len(s.actions) // 2 AS INTEGER) AS k, w.state
 FROM v_seq s LEFT JOIN walk w ON w.seq_id = s.seq_id AND w.pos = len(s.actions) // 2
 """))
 def q_dedup_compute(spark, sf):
-    """The state after the first half of each sequence, computed once per distinct
-    (start, prefix) and joined back (the memo as a plan)."""
+    """The state after the first half of each sequence, each shared beginning walked once."""
     seqs = fx.v_seq(spark, sf)
     k = F.floor(F.size("actions") / 2).cast("int")
-    pre = seqs.select("seq_id", "start_state", k.alias("k"), F.slice("actions", 1, k).alias("prefix"))
-    rules = fx.v_rules(spark, sf)
-
-    def compute(keys):
-        f = sequences.valid_prefix_fold(keys, rules, False, ("start_state", "prefix"), "prefix")
-        return f.select("start_state", "prefix", F.when(F.col("valid_len") == F.col("n_steps"), F.col("last_state")).alias("state"))
-
-    return sequences.dedup_compute(pre, ["start_state", "prefix"], compute).select("seq_id", "k", "state")
+    pre = seqs.select("seq_id", "start_state", k.alias("k"), F.slice("actions", F.lit(1), k).alias("prefix"))
+    return sequences.prefix_states(pre, fx.v_rules(spark, sf), ("seq_id", "k"))
 
 
 @register("candidate_actions", with_views(

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqforge.operators import chat, sequences
+from seqforge.operators import chat, sequences, walk
 
 RULES = [(0, "a", 1), (1, "b", 0), (1, "c", 2), (2, "a", 0)]
 SEQS = {1: ["a", "b", "a", "c", "a"],   # all valid
@@ -36,7 +36,7 @@ def test_fold_equals_python(spark):
     checked = sequences.valid_prefix_fold(seqs, rules)
     fold = {r["seq_id"]: (r["valid_len"], r["states"]) for r in checked.collect()}
     reached = {}
-    for r in sequences.reached_states(checked).orderBy("seq_id", "pos").collect():
+    for r in walk.walk(seqs, rules).orderBy("seq_id", "pos").collect():
         reached.setdefault(r["seq_id"], []).append(r["state"])
     for k, v in SEQS.items():
         assert fold[k] == py_walk(v) and reached[k] == py_walk(v)[1]
