@@ -65,10 +65,11 @@ def rating_histogram(df: DataFrame, col: str = "rating", width: int = 100) -> Da
     return df.groupBy(b.alias("bucket")).agg(F.count("*").alias("cnt")).orderBy("bucket")
 
 
-def extract_report(checked: DataFrame, positions_per_seq: Column) -> DataFrame:
+def extract_report(checked: DataFrame, positions_per_seq: Column, n_steps: Column | None = None) -> DataFrame:
     """Total, successful, failed, positions, success % and positions per success
-    (denominator ``max(successful, 1)``). ``checked`` is the sequences with their ``valid_len``."""
-    ok = F.col("valid_len") == F.size("actions")
+    (denominator ``max(successful, 1)``). ``checked`` is the sequences with their ``valid_len``, and their number of
+    steps ``n_steps`` (that of ``actions``, if not given)."""
+    ok = F.col("valid_len") == (F.size("actions") if n_steps is None else n_steps)
     r = checked.agg(F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"),
               F.sum(F.when(ok, positions_per_seq).otherwise(0)).cast("bigint").alias("total_positions"))
     return r.select("total", "successful", "failed", "total_positions",

@@ -129,6 +129,13 @@ def v_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.transform("a", lambda x: x["event_type"]).alias("actions"))
 
 
+def v_user_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Steps (seq_id, ts, event_id, action) of each user's whole history, of any length, and its start state 0, in long form."""
+    e = table(spark, sf_dir, "events")
+    steps = e.select(F.col("user_id").alias("seq_id"), "ts", "event_id", F.col("event_type").alias("action"))
+    return steps, steps.select("seq_id").distinct().withColumn("start_state", F.lit(0))
+
+
 def v_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transition relation rules(state, action, next_state): states 0-6 for each action of the
     events' vocabulary; next = (3*state + length(action)) % 7; pairs with

@@ -103,6 +103,11 @@ SELECT seq_id, 0 AS start_state, """ + side('ss', 'seq_id') + """ AS start_side,
 FROM v_seq_long GROUP BY seq_id
 """)
 
+VIEWS["v_user_steps"] = ((), """
+SELECT user_id AS seq_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos, event_type AS action
+FROM events
+""")
+
 VIEWS["v_rules"] = ((), """
 SELECT CAST(s.state AS INTEGER) AS state, a.action,
        CAST((s.state * 3 + length(a.action)) % 7 AS INTEGER) AS next_state

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
 from seqforge.functions.text import joined
-from seqforge.operators import chat, profile, sampling, sequences, walk
+from seqforge.operators import chat, compose, profile, sampling, sequences, walk
 from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import register
 from seqforge.plans.fixtures_sql import h32, lit, with_views
@@ -121,6 +121,58 @@ def q_extract_report(spark, sf):
     return profile.extract_report(checked, F.floor((F.size("actions") + 1) / 2))
 
 
+# ---- E5(c)/E6/A7 over whole user histories, of any length -----------------------------------------
+
+_USER_WALK = """
+SELECT DISTINCT seq_id, CAST(0 AS BIGINT) AS pos, 0 AS state FROM v_user_steps
+UNION ALL
+SELECT w.seq_id, w.pos + 1, r.next_state
+FROM walk w JOIN v_user_steps l ON l.seq_id = w.seq_id AND l.pos = w.pos + 1
+JOIN v_rules r ON r.state = w.state AND r.action = l.action
+"""
+
+
+def _user_sql(sql: str) -> str:
+    return with_views(sql, "v_user_steps", "v_rules", extra={"walk": _USER_WALK}, recursive=True)
+
+
+_USER_SQL = """
+SELECT s.seq_id, s.n_steps, w.pos AS valid_len, w.state AS last_state
+FROM (SELECT seq_id, count(*) AS n_steps FROM v_user_steps GROUP BY seq_id) s
+JOIN (SELECT seq_id, max(pos) AS pos, arg_max(state, pos) AS state FROM walk GROUP BY seq_id) w ON w.seq_id = s.seq_id
+"""
+
+
+def _user_prefix(spark, sf):
+    steps, starts = fx.v_user_steps(spark, sf)
+    return compose.composed_prefix(steps, starts, fx.v_rules(spark, sf), order=("ts", "event_id"))
+
+
+@register("user_prefix", _user_sql(_USER_SQL))
+def q_user_prefix(spark, sf):
+    """E5(c) by composed transition functions: no sequence is collected."""
+    return _user_prefix(spark, sf)
+
+
+@register("user_states", _user_sql("SELECT seq_id, pos, state FROM walk WHERE pos > 0"))
+def q_user_states(spark, sf):
+    """E6 in long form: the state after every step of the prefix."""
+    steps, starts = fx.v_user_steps(spark, sf)
+    return compose.composed_states(steps, starts, fx.v_rules(spark, sf), order=("ts", "event_id"))
+
+
+@register("user_report", _user_sql(f"""
+SELECT count(*) AS total, count_if(ok) AS successful, count_if(NOT ok) AS failed,
+       CAST(coalesce(sum(CASE WHEN ok THEN (n_steps + 1) // 2 ELSE 0 END), 0) AS BIGINT) AS total_positions,
+       round(count_if(ok) * 100.0 / count(*), 1) AS success_pct,
+       round(CAST(coalesce(sum(CASE WHEN ok THEN (n_steps + 1) // 2 ELSE 0 END), 0) AS BIGINT) / greatest(count_if(ok), 1), 1) AS positions_per_success
+FROM (SELECT n_steps, valid_len = n_steps AS ok FROM ({_USER_SQL}))
+"""))
+def q_user_report(spark, sf):
+    """A7 over sequences of any length."""
+    return profile.extract_report(_user_prefix(spark, sf), F.floor((F.col("n_steps") + 1) / 2), F.col("n_steps"))
+
+
 # ---- G5: game conversations ----------------------------------------------------------------
 
 def game_rows_sql() -> str:
