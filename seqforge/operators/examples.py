@@ -31,17 +31,12 @@ from seqforge.operators import chat, project, prompts, sampling, sequences, toke
 def check_puzzles(puzzles: DataFrame, rules: DataFrame) -> DataFrame:
     """The puzzles (puzzle_id, start_state, moves, ...) with n_steps, valid_len, states, cands and ``ok``:
     every move is allowed (E4)."""
-    c = sequences.valid_prefix_fold(puzzles, rules, key=("puzzle_id",), actions="moves")
-    c = c.withColumn("ok", F.col("valid_len") == F.col("n_steps"))
-    return sequences.with_candidates(c, rules, ("puzzle_id",))
+    return sequences.replayed(puzzles, rules, ("puzzle_id",), "moves").withColumn("ok", F.col("valid_len") == F.col("n_steps"))
 
 
 def puzzle_examples(checked: DataFrame, solver_offset: int = 0) -> DataFrame:
     """Nested examples (input, output, metadata) of the puzzles that are ``ok``."""
-    plies = sequences.ply_expand(checked.where("ok"), solver_offset, keep=("states", "cands"))
-    state = sequences.state_at(F.col("states"), F.col("idx"))
-    plies = plies.withColumn("fen", state.cast("string")).withColumn("legal_moves", sequences.candidates_of(state))
-    return project.position_examples(plies)
+    return project.position_examples(sequences.ply_expand(checked.where("ok"), solver_offset, "states", "cands"))
 
 
 def puzzle_report(checked: DataFrame, min_rating: int | None = None, max_rating: int | None = None) -> DataFrame:
@@ -62,9 +57,8 @@ def puzzle_report(checked: DataFrame, min_rating: int | None = None, max_rating:
 def valid_lines(seqs: DataFrame, rules: DataFrame, least: int = 2) -> DataFrame:
     """The sequences cut to their valid prefix, with states and cands; those with fewer than ``least``
     valid steps are dropped."""
-    c = sequences.valid_prefix_fold(seqs, rules).where(F.col("valid_len") >= least)
-    c = c.withColumn("actions", F.slice("actions", F.lit(1), F.col("valid_len")))
-    return sequences.with_candidates(c, rules)
+    c = sequences.replayed(seqs, rules).where(F.col("valid_len") >= least)
+    return c.withColumn("actions", F.slice("actions", F.lit(1), F.col("valid_len")))
 
 
 def sample_and_split(rows: DataFrame, n: int | None, test_fraction: float, id_col: str = "seq_id",
@@ -116,7 +110,7 @@ def single_move_rows(examples: DataFrame, vocab: DataFrame, max_length: int = 51
 
 def all_conversations(seqs: DataFrame, rules: DataFrame, seed: int = 42) -> DataFrame:
     """(seq_id, messages or NULL, num_moves) for every sequence."""
-    j = sequences.with_candidates(sequences.valid_prefix_fold(seqs, rules), rules)
+    j = sequences.replayed(seqs, rules)
     white = sampling.fair_coin("seq_id", seed) == 0
     msgs = chat.game_conversation(F.col("actions"), F.col("states"), F.col("valid_len"), white, sequences.candidates_of,
                                   F.col("start_state").cast("string"), F.col("start_side") == "w")

@@ -92,9 +92,10 @@ def line_report(lines: DataFrame, valid: Column) -> DataFrame:
                     .alias("success_pct"), "len_min", "len_max", "len_avg", "depth_min", "depth_max", "depth_avg")
 
 
-def stats_sidecar(puzzles: DataFrame, failed: int | Column = 0, top_k: int = 50) -> DataFrame:
+def stats_sidecar(puzzles: DataFrame, ok: Column | None = None, top_k: int = 50) -> DataFrame:
     """One JSON row: counters, top themes, sorted rating buckets, move-count stats and a
-    move-count histogram (instead of the raw per-puzzle list, which grows with the data).
+    move-count histogram (instead of the raw per-puzzle list, which grows with the data). Puzzles that are not
+    ``ok`` (all are, if it is not given) are counted as failed, in the same pass.
 
     One pass: themes, rating buckets and move counts are tagged rows of a single grouped count
     (partial aggregation); totals, positions (one per solver ply, ceil(n/2)) and min/max/mean come
@@ -105,16 +106,18 @@ def stats_sidecar(puzzles: DataFrame, failed: int | Column = 0, top_k: int = 50)
     tagged = F.concat(F.transform("themes", lambda t: F.struct(F.lit("t").alias("kind"), t.alias("key"))),
                       F.array(F.struct(F.lit("b").alias("kind"), bucket.alias("key")),
                               F.struct(F.lit("n").alias("kind"), n.cast("string").alias("key"))))
+    if ok is not None:
+        tagged = F.when(F.coalesce(ok, F.lit(False)), tagged).otherwise(F.array(F.struct(F.lit("f").alias("kind"), F.lit("").alias("key"))))
     grouped = (puzzles.select(F.explode(tagged).alias("x"))
                .groupBy(F.col("x.kind").alias("kind"), F.col("x.key").alias("key")).agg(F.count("*").alias("cnt")))
     top = grouped.where(F.col("kind") == "t").orderBy(F.col("cnt").desc(), F.col("key")).limit(top_k)
     parts = top.unionByName(grouped.where(F.col("kind") != "t"))
     one = parts.agg(F.collect_list(F.struct("kind", "key", "cnt")).alias("p"))
-    failed_c = F.lit(failed) if isinstance(failed, int) else failed
 
     def of(kind: str) -> Column:
         return F.filter("p", lambda x: x["kind"] == F.lit(kind))
 
+    failed_c = F.aggregate(of("f"), F.lit(0).cast("bigint"), lambda a, x: a + x["cnt"])
     lens = F.transform(of("n"), lambda x: F.struct(x["key"].cast("int").alias("n"), x["cnt"].alias("c")))
     total_ok = F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
     positions = F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, x: a + F.floor((x["n"] + 1) / 2) * x["c"])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqforge.functions.text import col_of, hash32
+from seqforge.session import stored
 
 _BUCKET_HEX = 4   # 65,536 histogram buckets
 
@@ -51,18 +52,35 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
 
 
 def split_exact(df: DataFrame, test_fraction: float, id_col: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """F2 exact: test = the first ceil(p * rows) rows in md5 order; train = the rest. Disjoint and complete:
-    both are filters on the key against the last test row (rows equal in every column go together)."""
+    """F2 exact: test = the first ceil(p * rows) rows in md5 order; train = the rest. Disjoint and complete: both are
+    filters on the key against the last test row. Where that row occurs several times, its copies are numbered
+    (and written) and the first ones that are needed go to test, so the size is exact whatever repeats."""
     keyed = _keyed(df, id_col, seed)
     cut = _cut(keyed, F.ceil(F.lit(float(test_fraction)) * F.col("rows")))
     if cut is None:
         return df.limit(0), df
     b, take = cut
-    last = keyed.where(F.col("_b") == b).select("_k", "_t").orderBy("_k", "_t").limit(take).agg(F.max(F.struct("_k", "_t")).alias("x")).first()["x"]
-    first = F.col("_b") < b
-    if last is not None:
-        first = first | ((F.col("_b") == b) & ((F.col("_k") < last["_k"]) | ((F.col("_k") == last["_k"]) & (F.col("_t") <= last["_t"]))))
-    return keyed.where(~first).select(*df.columns), keyed.where(first).select(*df.columns)
+    edge = keyed.where(F.col("_b") == b)
+    last = edge.select("_k", "_t").orderBy("_k", "_t").limit(take).agg(F.max(F.struct("_k", "_t")).alias("x")).first()["x"]
+    if last is None:
+        return keyed.where(F.col("_b") >= b).select(*df.columns), keyed.where(F.col("_b") < b).select(*df.columns)
+    at = (F.col("_b") == b) & (F.col("_k") == last["_k"]) & (F.col("_t") == last["_t"])
+    before = (F.col("_b") < b) | ((F.col("_b") == b) & ((F.col("_k") < last["_k"]) | ((F.col("_k") == last["_k"]) & (F.col("_t") < last["_t"]))))
+    n = edge.agg(F.count_if(at).alias("same"), F.count_if(before).alias("before")).first()
+    if n["same"] == take - n["before"]:
+        return keyed.where(~(before | at)).select(*df.columns), keyed.where(before | at).select(*df.columns)
+    copies = stored(keyed.where(at).withColumn("_n", F.monotonically_increasing_id()), "equal-rows")
+    limit = _first_ids(copies, "_n", take - n["before"])
+    return (keyed.where(~(before | at)).unionByName(copies.where(F.col("_n") >= limit).drop("_n")).select(*df.columns),
+            keyed.where(before).unionByName(copies.where(F.col("_n") < limit).drop("_n")).select(*df.columns))
+
+
+def _first_ids(df: DataFrame, col: str, n: int) -> int:
+    """A bound that ``n`` rows' ids (made by monotonically_increasing_id: partition and place) are below."""
+    per = df.groupBy(F.shiftright(col, 33).alias("p")).agg(F.count("*").alias("c"))      # a row for each partition
+    upto = per.withColumn("cum", F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    r = upto.where(F.col("cum") >= n).orderBy("p").select("p", (F.lit(n) - F.col("cum") + F.col("c")).alias("i")).first()
+    return (r["p"] << 33) + r["i"]
 
 
 def split_hash(df: DataFrame, test_fraction: float, id_col: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:

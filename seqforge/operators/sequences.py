@@ -17,8 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqforge.functions.text import col_of, hash32, ws_split
+from seqforge.functions.text import col_of, hash32, let, ws_split
 from seqforge.operators import walk
+from seqforge.session import stored
 
 
 # ---- E1/E2: explodes -------------------------------------------------------------------------
@@ -65,21 +66,36 @@ def min_len(df: DataFrame, n: int = 2, col: str = "line") -> DataFrame:
 
 # ---- E3/E4: per-ply expansion -------------------------------------------------------------------
 
-def ply_expand(puzzles: DataFrame, solver_offset: int = 0, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per ply where the solving side moves (plies offset, offset+2, ...), with the columns
-    ``keep`` too.
+def ply_expand(puzzles: DataFrame, solver_offset: int = 0, states: str | None = None, cands: str | None = None) -> DataFrame:
+    """One row per ply where the solving side moves (plies offset, offset+2, ...).
 
-    move_number = idx+1, total_moves = n, solution = moves[idx:], side_to_move from the position text.
-    """
+    move_number = idx+1, total_moves = n, solution = moves[idx:], side_to_move from the position text. With the array
+    ``states`` of the states before each move, and ``cands`` as of :func:`with_candidates`, fen is that state's text and
+    legal_moves its candidates. Everything of a ply is put into its element before the explode, so a ply carries its own
+    state and candidates, not the puzzle's arrays."""
     side0 = F.get(F.split(F.col("fen"), " "), 1)
     from seqforge.operators.project import side_label
-    return (puzzles.select("*", F.posexplode("moves").alias("idx", "move"))
-            .where(F.pmod(F.col("idx") - solver_offset, F.lit(2)) == 0)
-            .select("puzzle_id", "fen", "rating", "themes", "game_url", "opening_tags", "move",
-                    side_label(side0, F.col("idx")).alias("side_to_move"),
-                    (F.col("idx") + 1).alias("move_number"), F.size("moves").alias("total_moves"),
-                    F.slice("moves", F.col("idx") + 1, F.size("moves") - F.col("idx")).alias("solution"),
-                    "idx", *keep))
+    given = {"moves": F.col("moves")} | ({"states": F.col(states), "cands": F.col(cands)} if states else {})
+
+    def plies(v: Column) -> Column:
+        n = F.size(v["moves"])
+        idx = F.when(n > solver_offset, F.sequence(F.lit(solver_offset), n - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+
+        def one(i: Column) -> Column:
+            own = [i.alias("idx"), F.element_at(v["moves"], i + 1).alias("move"), F.slice(v["moves"], i + 1, n - i).alias("solution")]
+            if states:
+                state = F.element_at(v["states"], i + 1)
+                own += [state.cast("string").alias("fen"), candidates_of(state, v["cands"]).alias("legal_moves")]
+            return F.struct(*own)
+
+        return F.transform(idx, one)
+
+    kept = ["puzzle_id", "rating", "themes", "game_url", "opening_tags"]
+    out = puzzles.select(*kept, *([] if states else ["fen"]), side0.alias("_side"), F.size("moves").alias("total_moves"),
+                         F.explode(let(F.struct(*[c.alias(k) for k, c in given.items()]), plies)).alias("p"))
+    return out.select("puzzle_id", *(["p.fen", "p.legal_moves"] if states else ["fen"]), *kept[1:], "p.move",
+                      side_label(F.col("_side"), F.col("p.idx")).alias("side_to_move"), (F.col("p.idx") + 1).alias("move_number"),
+                      "total_moves", "p.solution", "p.idx")
 
 
 def all_or_nothing(checked: DataFrame, actions: str = "actions") -> tuple[DataFrame, DataFrame]:
@@ -156,9 +172,24 @@ def with_candidates(df: DataFrame, rules: DataFrame, key: Sequence[str] = ("seq_
     return df.join(maps, list(key), "left")
 
 
-def candidates_of(state: Column) -> Column:
+def with_all_candidates(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``cands`` of all states as one map, for at most ``SMALL`` rules: computed once, no join."""
+    one = candidate_actions(rules).agg(F.map_from_entries(F.collect_list(F.struct(F.col("state").cast("string"), "candidates"))))
+    return df.withColumn("cands", one.scalar())
+
+
+def replayed(seqs: DataFrame, rules: DataFrame, key: Sequence[str] = ("seq_id",), actions: str = "actions") -> DataFrame:
+    """:func:`valid_prefix_fold` with ``states``, and the candidates of the states visited as ``cands``. The rules are written
+    once and measured once."""
+    rules = stored(rules.select("state", "action", "next_state"), "rules")
+    sizes = rule_sizes(rules)
+    checked = valid_prefix_fold(seqs, rules, True, key, actions, sizes)
+    return with_all_candidates(checked, rules) if sizes[0] <= SMALL else with_candidates(checked, rules, key)
+
+
+def candidates_of(state: Column, cands: Column | None = None) -> Column:
     """The ``cands`` entry of a state; [] when it has none."""
-    return F.coalesce(F.try_element_at(F.col("cands"), state.cast("string")), F.array().cast("array<string>"))
+    return F.coalesce(F.try_element_at(F.col("cands") if cands is None else cands, state.cast("string")), F.array().cast("array<string>"))
 
 
 def fold_states(actions: Column, start: Column, trans: Column, with_states: bool = True) -> Column:
@@ -196,9 +227,10 @@ def fold_states(actions: Column, start: Column, trans: Column, with_states: bool
 
 
 def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, with_states: bool = True,
-                      key: Sequence[str] = ("seq_id",), actions: str = "actions") -> DataFrame:
-    """E5(c): the sequences' columns, n_steps, valid_len and states[] (or last_state), for rules of any size."""
-    total, widest = rule_sizes(rules)
+                      key: Sequence[str] = ("seq_id",), actions: str = "actions", sizes: tuple[int, int] | None = None) -> DataFrame:
+    """E5(c): the sequences' columns, n_steps, valid_len and states[] (or last_state), for rules of any size (``sizes``, if
+    known, as of :func:`rule_sizes`)."""
+    total, widest = sizes or rule_sizes(rules)
     if total > SMALL and widest > NARROW:
         return from_walk(seqs, walk.walk(seqs, rules, key, actions), with_states, key, actions)
     j = with_all_transitions(seqs, rules) if total <= SMALL else with_transitions(seqs, rules, key, actions)

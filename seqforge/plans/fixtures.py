@@ -154,10 +154,11 @@ def v_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where((F.length("prev") + F.ascii("action") * 2) % 9 != 0)
 
 
-def v_puz_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_puz_rules(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """Transition relation over the puzzles' moves: states 0-6; with d, e the codes of a move's second and
     fourth character, next = (3*state + 2*d + e) % 7; (state + d + e) % 13 = 0 is not allowed."""
-    acts = v_raw(spark, sf_dir).select(F.explode(F.split("Moves", " ")).alias("action")).where("action <> ''").distinct()
+    raw = v_raw(spark, sf_dir) if raw is None else raw
+    acts = raw.select(F.explode(F.split("Moves", " ")).alias("action")).where("action <> ''").distinct()
     d, e = F.ascii(F.substring("action", 2, 1)), F.ascii(F.substring("action", 4, 1))
     r = acts.select("action", d.alias("d"), e.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("state"))
     return (r.where((F.col("state") + F.col("d") + F.col("e")) % 13 != 0)

@@ -11,6 +11,7 @@ from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import register
 from seqforge.plans.fixtures_sql import with_views
 from seqforge.plans.views import v_best, v_puz
+from seqforge.session import stored
 from seqforge.sources import readers
 
 WS = "list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')"
@@ -275,10 +276,12 @@ def _puzzle_sql(sql: str) -> str:
                       recursive=True)
 
 
-def _checked(spark, sf, puzzles=None):
-    p = v_puz(spark, sf) if puzzles is None else puzzles
-    p = p.withColumn("start_state", (F.col("puzzle_id").cast("bigint") % 7).cast("int"))
-    return examples.check_puzzles(p, fx.v_puz_rules(spark, sf))
+def _checked(spark, sf, errors=False):
+    """The checked puzzles, error rows among them if wanted. The raw rows are made once, for the puzzles and the rules."""
+    raw = stored(fx.v_raw(spark, sf), "raw-puzzles")
+    p = project.type_puzzles(raw)
+    p = (p if errors else project.good_rows(p)).withColumn("start_state", (F.col("puzzle_id").cast("bigint") % 7).cast("int"))
+    return examples.check_puzzles(p, fx.v_puz_rules(spark, sf, raw))
 
 
 @register("puzzle_examples", _puzzle_sql(
@@ -299,8 +302,7 @@ FROM (SELECT *, rating BETWEEN 1000 AND 2500 AS used FROM checked)
 """))
 def q_puzzle_report(spark, sf):
     """A7/S11 counters of one extraction run: error rows, rows outside the ratings, failed and successful."""
-    typed = project.type_puzzles(fx.v_raw(spark, sf))
-    return examples.puzzle_report(_checked(spark, sf, typed), 1000, 2500)
+    return examples.puzzle_report(_checked(spark, sf, True), 1000, 2500)
 
 
 @register("position_examples", _puzzle_sql(
@@ -415,9 +417,7 @@ UNION ALL SELECT 'move_count_histogram', CAST(n AS VARCHAR), count(*) FROM n GRO
 """))
 def q_stats_sidecar(spark, sf):
     """The JSON document of one extraction run, taken apart again: part, key, value."""
-    checked = _checked(spark, sf)
-    failed = checked.where(~F.col("ok")).agg(F.count("*")).scalar()
-    doc = profile.stats_sidecar(checked.where("ok"), failed).select(F.from_json("stats_json", _SIDECAR).alias("j")).select("j.*")
+    doc = profile.stats_sidecar(_checked(spark, sf), F.col("ok")).select(F.from_json("stats_json", _SIDECAR).alias("j")).select("j.*")
 
     def entry(part: str, key, value):
         return F.struct(F.lit(part).alias("part"), key.alias("key"), F.round(value.cast("double"), 6).alias("value"))

@@ -90,10 +90,15 @@ def head_n(df: DataFrame, n: int, order: Column) -> DataFrame:
 def byte_slice(df: DataFrame, order_col: str, record_bytes: Column, skip_mb: float = 0,
                target_mb: float = 500) -> DataFrame:
     """Records whose newline offset o (0-based, decompressed stream) is in [S, S+T), with S and T
-    rounded up to whole 1 MiB reads, as a chunked reader sees them."""
+    rounded up to whole 1 MiB reads, as a chunked reader sees them. ``order_col`` must be unique.
+
+    Offsets come from (key, size) alone. The slice is a range of keys, so the records are fetched by a filter on
+    the scan; only those of the slice meet their offsets."""
     import math
     s = math.ceil(skip_mb * MIB / MIB) * MIB
     t = math.ceil(target_mb * MIB / MIB) * MIB
-    r = running_total(df, order_col, record_bytes, "_end")
-    return (r.withColumn("newline_offset", F.col("_end") - 1).drop("_end")
-            .where((F.col("newline_offset") >= s) & (F.col("newline_offset") < s + t)))
+    sizes = running_total(df.select(order_col, record_bytes.cast("bigint").alias("_size")), order_col, F.col("_size"), "_end")
+    part = sizes.select(order_col, (F.col("_end") - 1).alias("newline_offset")).where((F.col("newline_offset") >= s) & (F.col("newline_offset") < s + t))
+    ends = part.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))
+    inside = F.col(order_col).between(ends.select("lo").scalar(), ends.select("hi").scalar())
+    return df.where(inside).join(part, order_col)

@@ -25,6 +25,18 @@ def test_equal_ids_have_an_order(spark):
     assert test.count() == 100 and train.count() == 300
 
 
+def test_equal_rows_are_cut_exactly(spark):
+    """Half of the rows repeat; every fraction gives exactly ceil(p * rows) test rows and loses none."""
+    import math
+    from collections import Counter
+    df = spark.range(600).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 40).alias("k")).repartition(5)
+    want = Counter(r["k"] for r in df.collect())
+    for p in (0.05, 0.3, 0.5, 0.77):
+        train, test = sampling.split_exact(df, p, "k", 5)
+        a, b = (Counter(r["k"] for r in d.collect()) for d in (train, test))
+        assert b.total() == math.ceil(p * 600) and a + b == want
+
+
 def test_splits_disjoint_complete(spark):
     df = spark.range(1234).select(F.col("id").alias("k"))
     for fn in (sampling.split_exact, sampling.split_hash):
