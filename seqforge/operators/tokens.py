@@ -8,17 +8,19 @@ through ``encode_with`` (an Arrow-batched pandas UDF). T2-T8 are array expressio
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqforge.functions.fixed import IGNORE_INDEX
 from seqforge.functions.text import col_of, let
 from seqforge.operators.ordering import dense_index
+from seqforge.session import stored
 
 # Word pieces: runs of ASCII word characters, or one other non-space character.
 TOKEN_RE = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r]"
 SPECIALS = ("<pad>", "<unk>", "<bos>", "<eos>")
 PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
+SENT = 500_000   # tokens of a vocabulary that is sent to every task
 
 
 def pieces(text: Column | str) -> Column:
@@ -31,22 +33,22 @@ def build_vocab(texts: DataFrame, text_col: str = "text", min_count: int = 1) ->
               .groupBy("token").agg(F.count("*").alias("cnt")))
     if min_count > 1:
         counts = counts.where(F.col("cnt") >= min_count)
+    counts = stored(counts, "token-counts")
+    if counts.count() <= SENT:      # told by the written files: one task ranks them
+        place = F.row_number().over(Window.orderBy(F.col("cnt").desc(), "token"))
+        return counts.withColumn("id", (place - 1 + len(SPECIALS)).cast("int"))
     return dense_index(counts, [F.col("cnt").desc(), F.col("token")], start=len(SPECIALS))
 
 
 def encode_many(df: DataFrame, key: str, texts: dict[str, str], vocab: DataFrame) -> DataFrame:
     """T1 for several text columns at once: (key, <out>: ids[] per text column). Unknown pieces map
-    to UNK; a text without pieces gives [].
-
-    One explode of all texts (tagged by column), one equi-join with the vocabulary (AQE broadcasts a
-    small vocabulary, else sort-merge with skew splitting for frequent pieces), one grouping per key
-    that puts the ids back in order. ``posexplode_outer`` keeps rows that have no piece, so no join
-    back to the input is needed."""
+    to UNK; a text without pieces gives []. One explode of all texts (tagged by column), as in :func:`encode`."""
     names = list(texts)
     tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).alias("x")) for i, c in enumerate(texts.values())]))
+    df, v = _dealt(df, key, vocab)
     p = (df.select(key, tagged.alias("_s"))
          .select(key, F.col("_s.t").alias("_t"), F.posexplode_outer(pieces(F.col("_s.x"))).alias("_pos", "token")))
-    j = p.join(vocab.select("token", "id"), "token", "left")
+    j = p.join(v, "token", "left")
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct("_t", "_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     g = j.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_p"))
@@ -57,12 +59,22 @@ def encode_many(df: DataFrame, key: str, texts: dict[str, str], vocab: DataFrame
     return g.select(key, *[of_text(i).alias(n) for i, n in enumerate(names)])
 
 
+def _dealt(df: DataFrame, key: str, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, token and id): with a vocabulary of at most ``SENT`` tokens (counted), it goes to every task and the texts are
+    dealt by key once, so their pieces meet their ids and are put together again without a shuffle; with a larger one the
+    pieces meet it by hash (frequent pieces split by AQE) and are shuffled back to their key."""
+    v = vocab.select("token", "id")
+    return (df.repartition(key), F.broadcast(v)) if vocab.count() <= SENT else (df, v)
+
+
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, key: str, out: str = "ids",
            keep: tuple[str, ...] = ()) -> DataFrame:
     """Token ids of ``text_col`` (unknown pieces -> UNK), in order; rows keep their key and the
-    ``keep`` columns (which must be functions of the key). A NULL or empty text gives []."""
+    ``keep`` columns (which must be functions of the key). A NULL or empty text gives [].
+    ``posexplode_outer`` keeps rows that have no piece, so no join back to the input is needed."""
+    df, v = _dealt(df, key, vocab)
     p = df.select(key, *keep, F.posexplode_outer(pieces(text_col)).alias("_pos", "token"))
-    j = p.join(vocab.select("token", "id"), "token", "left")
+    j = p.join(v, "token", "left")
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     g = j.groupBy(key, *keep).agg(F.sort_array(F.collect_list(item)).alias("_p"))
     return g.select(key, *keep, F.transform("_p", lambda x: x["id"]).alias(out))

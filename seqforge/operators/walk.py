@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from seqforge.session import stored
 
 
+SENT = 100_000   # nodes of a frontier (16 bytes and a state each) that are sent to every task
+
+
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -61,9 +64,11 @@ def _once(rules: DataFrame) -> DataFrame:
             .select("state", "action", F.when(F.col("_n") > 1, twice).otherwise(F.col("next_state")).alias("next_state")))
 
 
-def asked(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, state, action): the ``edges`` (parent, node, action) out of ``frontier`` (node, state)."""
-    return edges.join(frontier.select(F.col("node").alias("parent"), "state"), "parent").select("node", "state", "action")
+def asked(frontier: DataFrame, edges: DataFrame, nodes: int) -> DataFrame:
+    """(node, state, action): the ``edges`` (parent, node, action) out of ``frontier`` (node, state), which has so many
+    ``nodes``: a small one goes to the edges, for a large one both sides meet by hash."""
+    at = frontier.select(F.col("node").alias("parent"), "state")
+    return edges.join(F.broadcast(at) if nodes <= SENT else at, "parent").select("node", "state", "action")
 
 
 def allowed(steps: DataFrame, rules: DataFrame) -> DataFrame:
@@ -80,10 +85,10 @@ def frontier_walk(roots: DataFrame, edges: DataFrame, rules: DataFrame) -> DataF
         deepest = edges.agg(F.max("level")).first()[0] or 0
         levels = [stored(roots.select(F.lit(0).alias("level"), "node", "state"), "walk")]
         for k in range(1, deepest + 1):
-            steps = asked(levels[-1], edges.where(F.col("level") == k))
-            levels.append(stored(allowed(steps, held).select(F.lit(k).alias("level"), "node", "state"), "walk"))
-            if levels[-1].isEmpty():
+            if not (nodes := levels[-1].count()):        # told by the written files
                 break
+            steps = asked(levels[-1], edges.where(F.col("level") == k), nodes)
+            levels.append(stored(allowed(steps, held).select(F.lit(k).alias("level"), "node", "state"), "walk"))
         return reduce(DataFrame.unionByName, levels)
     finally:
         held.unpersist()
