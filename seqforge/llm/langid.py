@@ -155,7 +155,7 @@ class Model:
 def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int = 4) -> Model:
     """Fit on ``train`` (text, lang). All its rows give the document frequencies; the regression takes a
     sample of about ``sample_per_lang`` rows of each language (fewer if there are so many languages that it
-    would pass ``SAMPLE``), by hash of text and lang."""
+    would pass ``SAMPLE``), by hash of text and lang; equal ones are one row of it, so the bound holds whatever repeats."""
     train = train.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_lang = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     df, n = document_frequencies(train)
@@ -176,7 +176,7 @@ def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int =
                 [b.column("unit"), b.column("lang"), pa.array([a.tolist() for a, _ in got], pa.list_(pa.int32())),
                  pa.array([x.tolist() for _, x in got], pa.list_(pa.float32()))], ["unit", "lang", "at", "x"])
 
-    rows = (train.withColumn("unit", unit).where(F.col("unit") < share).select("unit", "lang", "text")
+    rows = (train.withColumn("unit", unit).where(F.col("unit") < share).select("unit", "lang", "text").dropDuplicates(["unit", "lang"])
             .mapInArrow(run, "unit double, lang string, at array<int>, x array<float>").toArrow())
     order = np.argsort(rows["unit"].to_numpy() * len(langs) % 1.0, kind="stable")   # mixed, the same every time
     at = rows["at"].combine_chunks()

@@ -1,11 +1,12 @@
 """Substring dedup over sliding sentence spans (operator 4).
 
-A sentence ends after a full stop, exclamation or question mark followed by white space, or at a line end.
-Spans are the runs of ``RUN`` consecutive sentences with ``RUN_WORDS`` or more words, and of two sentences
-with ``PAIR_WORDS`` or more: long enough that two documents hardly share one by chance. A repeated passage of
-which only one whole sentence is left, or two with fewer words, or whose sentences are so short that no
-``RUN`` of them has the words, holds no span and stays in every document, however long it is; ``OP4_SQL``
-defines the same spans. Spans are compared as words joined by single spaces, by their 64-bit hash.
+A sentence ends after a full stop, exclamation or question mark followed by white space, or at a line end. As a
+sentence may be of any length, and its ends may be joined to other text, it is cut further at points that its
+content alone defines: after every word of exactly ``CUT`` letters. What lies between two cuts is a unit. The spans
+are the runs of consecutive units, one from every unit on: the shortest with ``WORDS`` words or more, which may be a single
+long unit. So a passage that two documents share holds a span wherever ``WORDS`` words of it lie between two common cuts, be
+it one long sentence, a list of short lines, or sentences of which only the middle is whole; ``OP4_SQL`` defines the same
+spans. Spans are compared as words joined by single spaces, by their 64-bit hash.
 
 Every run is hashed in one pass; spans that a document repeats itself are settled there. All hashes then
 meet in one aggregation (smallest doc_id and count; a hash that a third of all documents share is reduced
@@ -30,14 +31,14 @@ from pyspark.sql import functions as F
 
 from seqforge.llm.common import chunks, offsets, small_batches, stored, texts
 
-RUN, RUN_WORDS, PAIR_WORDS = 3, 10, 30
-_END = re.compile("[.!?][\\x20\\x09-\\x0d]+|\\n")
+WORDS, CUT = 20, 7
+_END = re.compile(f"[.!?][\\x20\\x09-\\x0d]+|\\n|(?<![^\\x20\\x09-\\x0d])[^\\x20\\x09-\\x0d]{{{CUT}}}[\\x20\\x09\\x0b-\\x0d]+")
 _SPACE = re.compile("[\\x20\\x09-\\x0d]+")
 
 
 def sentences(text: str) -> tuple[list[tuple[int, int]], list[str]]:
-    """(start, end) of each sentence in the text, with the white space after it, and its words joined by
-    single spaces. Sentences without a word are left out."""
+    """(start, end) of each unit in the text, with the white space after it, and its words joined by
+    single spaces. Units without a word are left out."""
     cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
     at, plain = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -49,14 +50,15 @@ def sentences(text: str) -> tuple[list[tuple[int, int]], list[str]]:
 
 
 def runs(plain: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, number of sentences) of every span."""
-    n = [p.count(" ") + 1 for p in plain]
-    total = offsets(n).tolist()
-    for i in range(len(plain) - 1):
-        if total[i + 2] - total[i] >= PAIR_WORDS:
-            yield _hash(plain[i:i + 2]), i, 2
-        if i + RUN <= len(plain) and total[i + RUN] - total[i] >= RUN_WORDS:
-            yield _hash(plain[i:i + RUN]), i, RUN
+    """(hash, first unit, number of units) of every span."""
+    total = offsets([p.count(" ") + 1 for p in plain]).tolist()
+    upto, n = 0, len(plain)
+    for i in range(n):
+        while upto <= n and total[min(upto, n)] - total[i] < WORDS:
+            upto += 1
+        if upto > n:
+            return
+        yield _hash(plain[i:upto]), i, upto - i
 
 
 def _hash(parts: list[str]) -> int:
@@ -66,7 +68,7 @@ def _hash(parts: list[str]) -> int:
 
 def spans(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, text_hash, n_sentences, the hashes of its distinct spans with their
-    places (first sentence * 4 + number of sentences), and the places of spans it repeats itself."""
+    places (first unit * 64 + number of units, which is at most ``WORDS``), and the places of spans it repeats itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -77,9 +79,9 @@ def spans(docs: DataFrame) -> DataFrame:
                 own = []
                 for h, i, n in runs(plain):
                     if h in first:
-                        own.append(4 * i + n)
+                        own.append(64 * i + n)
                     else:
-                        first[h] = 4 * i + n
+                        first[h] = 64 * i + n
                 count.append(len(plain))
                 hashes.append(list(first))
                 places.append(list(first.values()))
@@ -103,7 +105,7 @@ def repeated(found: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_removed and the remaining text of every document."""
+    """doc_id, n_sentences, n_removed (both count units) and the remaining text of every document."""
     found = stored(spans(docs), "sentence-spans")
     cut = (repeated(found).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("cut"))
            .withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}))
@@ -117,7 +119,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 at, _ = sentences(t)
                 gone = np.zeros(len(at), bool)
                 for p in places or ():
-                    gone[p // 4:p // 4 + p % 4] = True
+                    gone[p // 64:p // 64 + p % 64] = True
                 parts, pos = [], 0
                 for i in np.nonzero(gone)[0].tolist():
                     parts.append(t[pos:at[i][0]])
@@ -135,16 +137,21 @@ def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+# A word of CUT letters with the blanks after it; run twice, as two such words share the blank between them.
+_WORD_CUT = f"(^|[\\x20\\x09-\\x0d\\x01])([^\\x20\\x09-\\x0d\\x01]{{{CUT}}}[\\x20\\x09\\x0b-\\x0d]+)"
 OP4_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-p AS (SELECT r, doc_id, unnest(string_split(regexp_replace(text, '([.!?][\\x20\\x09-\\x0d]+|\\n)', '\\1' || chr(1), 'g'), chr(1))) AS piece,
-        generate_subscripts(string_split(regexp_replace(text, '([.!?][\\x20\\x09-\\x0d]+|\\n)', '\\1' || chr(1), 'g'), chr(1)), 1) AS k FROM d),
+m1 AS (SELECT r, doc_id, regexp_replace(text, '([.!?][\\x20\\x09-\\x0d]+|\\n)', '\\1' || chr(1), 'g') AS t FROM d),
+m2 AS (SELECT r, doc_id, regexp_replace(t, '{_WORD_CUT}', '\\1\\2' || chr(1), 'g') AS t FROM m1),
+m3 AS (SELECT r, doc_id, regexp_replace(t, '{_WORD_CUT}', '\\1\\2' || chr(1), 'g') AS t FROM m2),
+p AS (SELECT r, doc_id, unnest(string_split(t, chr(1))) AS piece, generate_subscripts(string_split(t, chr(1)), 1) AS k FROM m3),
 q AS (SELECT *, trim(regexp_replace(piece, '[\\x20\\x09-\\x0d]+', ' ', 'g'), ' ') AS plain FROM p),
 s AS (SELECT r, doc_id, k, plain, len(string_split(plain, ' ')) AS n, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM q WHERE plain <> ''),
-w AS (SELECT *, plain || chr(10) || lead(plain) OVER o AS two, plain || chr(10) || lead(plain) OVER o || chr(10) || lead(plain, 2) OVER o AS three,
-        n + lead(n) OVER o AS n2, n + lead(n) OVER o + lead(n, 2) OVER o AS n3 FROM s WINDOW o AS (PARTITION BY r ORDER BY i)),
-x AS (SELECT r, doc_id, i, 2 AS len, two AS span FROM w WHERE n2 >= {PAIR_WORDS}
-      UNION ALL SELECT r, doc_id, i, {RUN}, three FROM w WHERE n3 >= {RUN_WORDS}),
+w AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY i) AS upto FROM s),
+l AS (SELECT r, list(plain ORDER BY i) AS units FROM s GROUP BY r),
+x AS (SELECT a.r, a.doc_id, a.i, b.i - a.i + 1 AS len, array_to_string(list_slice(l.units, a.i, b.i), chr(10)) AS span
+      FROM w a JOIN w b ON b.r = a.r AND b.i BETWEEN a.i AND a.i + {WORDS} - 1
+        AND b.upto - (a.upto - a.n) >= {WORDS} AND b.upto - b.n - (a.upto - a.n) < {WORDS} JOIN l ON l.r = a.r),
 y AS (SELECT *, min(doc_id) OVER (PARTITION BY span) AS first, row_number() OVER (PARTITION BY r, span ORDER BY i) AS nth FROM x),
 gone AS (SELECT DISTINCT r, unnest(range(i, i + len)) AS i FROM y WHERE doc_id IS DISTINCT FROM first OR nth > 1),
 kept AS (SELECT q.r, string_agg(q.piece, '' ORDER BY q.k) AS text FROM q LEFT JOIN s USING (r, k) LEFT JOIN gone ON gone.r = q.r AND gone.i = s.i

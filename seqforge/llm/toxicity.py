@@ -286,9 +286,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(10)), 11) / F.lit(float(1 << 53))
     share = F.when(F.col("toxic") == 1, F.lit(sample / n.get(1, 1))).otherwise(F.lit(sample / n.get(0, 1)))
     few = named.where(unit < share).select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) > 0).alias("teaches"))
-    # About 2 * sample ids, whatever the table's size; their documents are written once.
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic", "teaches"), "labelled")
-    teach, rest = stored(_one_of_each(rows.where("teaches").select("text", "toxic")), "teaching"), rows.where(~F.col("teaches"))
+    # About 2 * sample ids, whatever the table's size, and one text of each (the least hash), written once.
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic", "teaches")
+                  .agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic", "teaches"), "labelled")
+    teach, rest = stored(_one_of_each(rows.where("teaches").select("text", "toxic")), "teaching"), _one_of_each(rows.where(~F.col("teaches")).select("text", "toxic"))
     size = {r["toxic"]: r["n"] for r in teach.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     size = size.get(1, 0), size.get(0, 0)
     toxic, clean = _passing(_counted(teach, entries), *size, LEANING)

@@ -11,23 +11,28 @@ def brute(data):
     parsed = []
     for i, t, *_ in data:
         t = t or ""
-        cuts = [0, *[m.end() for m in re.finditer(r"[.!?][ \t-\r]+|\n", t)], len(t)]
-        s = [(a, b, t[a:b].split()) for a, b in zip(cuts, cuts[1:], strict=False)]
-        s = [(a, b, [w for w in re.split("[\x20\x09-\x0d]+", t[a:b]) if w]) for a, b, _ in s]
+        s, at = [], 0
+        ends = {m.end() for m in re.finditer(r"[.!?][ \t-\r]+|\n", t)}
+        for m in re.finditer(r"[^ \t-\r]+", t):
+            blanks = re.match(r"[ \t\x0b-\r]+", t[m.end():])
+            if len(m[0]) == substring.CUT and blanks:
+                ends.add(m.end() + blanks.end())
+        for b in [*sorted(ends), len(t)]:
+            s.append((at, b, [w for w in re.split("[\x20\x09-\x0d]+", t[at:b]) if w]))
+            at = b
         parsed.append((i, t, [x for x in s if x[2]]))
     first = {}
     order = lambda i: (i is None, i or 0)
     spans = []
     for i, _, s in parsed:
         own = []
-        for k in range(len(s) - 1):
-            for n, least in ((2, substring.PAIR_WORDS), (3, substring.RUN_WORDS)):
-                part = s[k:k + n]
-                if len(part) == n and sum(len(p[2]) for p in part) >= least:
-                    key = "\n".join(" ".join(p[2]) for p in part)
-                    own.append((key, k, n))
-                    if key not in first or order(i) < order(first[key]):
-                        first[key] = i
+        for k in range(len(s)):
+            n = next((n for n in range(1, len(s) - k + 1) if sum(len(p[2]) for p in s[k:k + n]) >= substring.WORDS), None)
+            if n:
+                key = "\n".join(" ".join(p[2]) for p in s[k:k + n])
+                own.append((key, k, n))
+                if key not in first or order(i) < order(first[key]):
+                    first[key] = i
         spans.append(own)
     out = []
     for (i, t, s), own in zip(parsed, spans, strict=True):
@@ -69,5 +74,18 @@ def test_passage_stays_once_and_clean_text_is_untouched(spark):
     assert all(got[i] == t for i, t, *_ in clean) and all(f"u{i}x0" in got[i] and f"v{i}x0" in got[i] for i in range(5))
 
 
+def test_passages_of_every_shape_are_found(spark):
+    """One long sentence, a list of two-word lines and two sentences of 28 words, each between a document's own words."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    shapes = [" ".join(word() for _ in range(60)), "\n".join(f"{word()} {word()}" for _ in range(30)),
+              ". ".join(" ".join(word() for _ in range(28)) for _ in range(2))]
+    data = [(10 * k + i, f"own{i}x{k} {word()} {shape} tail{i}x{k} {word()}", "en", "s") for k, shape in enumerate(shapes) for i in range(2)]
+    got = {r["doc_id"]: r for r in substring.dedup(docs(spark, data)).collect()}
+    for k in range(len(shapes)):
+        assert got[10 * k]["text"] == data[2 * k][1]
+        assert len(got[10 * k + 1]["text"].split()) < 40 and f"own1x{k}" in got[10 * k + 1]["text"]
+
+
 def test_empty_table(spark, scratch):
     assert substring.op4_substring_dedup(spark, table_dir(scratch, documents=docs(spark, []))).count() == 0
