@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
 from seqforge.functions.text import hash32, joined, let
-from seqforge.operators import chat, prompts, sequences, tokens
+from seqforge.operators import chat, prompts, sequences, subwords, tokens
 from seqforge.operators.project import side_label
 from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import register
@@ -484,3 +484,54 @@ def q_placeholder_rows(spark, sf):
     mask = F.when(F.col("failed"), ph["attention_mask"]).otherwise(p["attention_mask"])
     return j.select("completion_id", joined(ids, ",").alias("input_ids"),
                     F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("n_attended"))
+
+
+# ---- T1 with subwords ---------------------------------------------------------------------------
+
+SUBWORD_MERGES = 12
+
+
+def _subword_ctes() -> dict[str, str]:
+    """Training one merge at a time: the words, pairs, best pair and symbols' ages of every step."""
+    inner = "string_split(substr(sym, 2, len(sym) - 2), '><')"
+    out = {"w0": f"""SELECT word, count(*) AS cnt, '<' || array_to_string(string_split(word, ''), '><') || '>' AS sym
+                     FROM (SELECT unnest(regexp_extract_all(prompt, '{TOK_RE_SQL}')) AS word FROM v_tok_pairs) GROUP BY word""",
+           "a0": "SELECT s, row_number() OVER (ORDER BY s) AS age FROM (SELECT DISTINCT unnest(string_split(word, '')) AS s FROM w0)"}
+    for i in range(SUBWORD_MERGES):
+        out[f"p{i}"] = f"""SELECT a, b, CAST(sum(cnt) AS BIGINT) AS n FROM (
+            SELECT cnt, unnest(s[1:len(s) - 1]) AS a, unnest(s[2:]) AS b FROM (SELECT cnt, {inner} AS s FROM w{i} WHERE len(sym) > 3)) GROUP BY a, b"""
+        out[f"b{i}"] = f"""SELECT p.a, p.b, p.n FROM p{i} p JOIN a{i} x ON x.s = p.a JOIN a{i} y ON y.s = p.b WHERE p.n >= 2
+            ORDER BY p.n DESC, greatest(x.age, y.age), x.age, y.age LIMIT 1"""
+        out[f"w{i + 1}"] = f"SELECT word, cnt, replace(sym, '<' || a || '><' || b || '>', '<' || a || b || '>') AS sym FROM w{i}, b{i}"
+        out[f"a{i + 1}"] = f"SELECT * FROM a{i} UNION ALL SELECT a || b, (SELECT max(age) + 1 FROM a{i}) FROM b{i} WHERE a || b NOT IN (SELECT s FROM a{i})"
+    return out
+
+
+def _subwords(spark, sf):
+    pairs = fx.v_tok_pairs(spark, sf).select("pair_id", "prompt")
+    words = subwords.distinct_words(pairs, "prompt")
+    return pairs, words, subwords.train(words, SUBWORD_MERGES)
+
+
+@register("subword_merges", with_views(" UNION ALL ".join(
+    f"SELECT {i + 1} AS rank, a AS left_symbol, b AS right_symbol, n AS cnt FROM b{i}" for i in range(SUBWORD_MERGES)), "v_tok_pairs", extra=_subword_ctes()))
+def q_subword_merges(spark, sf):
+    """The first merges of pair-merge training on the prompts' distinct words."""
+    _, _, merges = _subwords(spark, sf)
+    return spark.createDataFrame([(i + 1, a, b, n) for i, (a, b, n) in enumerate(merges)], "rank int, left_symbol string, right_symbol string, cnt bigint")
+
+
+@register("subword_encode", with_views(f"""
+SELECT t.pair_id, coalesce(string_agg(CAST(v.age + 3 AS VARCHAR), ',' ORDER BY t.i, e.j), '') AS ids
+FROM (SELECT pair_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT pair_id, regexp_extract_all(prompt, '{TOK_RE_SQL}') AS l FROM v_tok_pairs)) t
+JOIN (SELECT word, unnest(s) AS token, generate_subscripts(s, 1) AS j FROM (
+        SELECT word, CASE WHEN len(sym) = 3 THEN [word] ELSE string_split(substr(sym, 2, len(sym) - 2), '><') END AS s FROM w{SUBWORD_MERGES})) e ON e.word = t.word
+JOIN a{SUBWORD_MERGES} v ON v.s = e.token
+GROUP BY t.pair_id
+""", "v_tok_pairs", extra=_subword_ctes()))
+def q_subword_encode(spark, sf):
+    """The prompts as subword ids, each distinct word encoded once."""
+    pairs, words, merges = _subwords(spark, sf)
+    encoded = subwords.encode_words(words, merges, subwords.subword_vocab(words, merges))
+    e = subwords.encode_texts(pairs, "prompt", encoded, "pair_id")
+    return e.select("pair_id", joined("ids", ",").alias("ids"))
