@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqforge.functions import fixed
 from seqforge.functions.text import joined, ws_split
-from seqforge.operators import examples, profile, project, sequences
+from seqforge.operators import examples, frequent, increments, profile, project, sequences
 from seqforge.plans import fixtures as fx
 from seqforge.plans.catalog import register
 from seqforge.plans.fixtures_sql import with_views
@@ -204,6 +204,32 @@ def q_top_tokens(spark, sf):
     return profile.top_tokens(p.select(F.explode("themes").alias("theme")), 5, "theme", n)
 
 
+@register("top_words", with_views(f"""
+SELECT word, count(*) AS cnt FROM (SELECT unnest(string_split(line, ' ')) AS word FROM v_lines) GROUP BY word ORDER BY cnt DESC, word LIMIT 50
+""", "v_lines"))
+def q_top_words(spark, sf):
+    """A2 over the long tail of all documents' words: candidates of every task, counted exactly."""
+    words = fx.v_lines(spark, sf).select(F.explode(F.split("line", " ")).alias("word"))
+    return frequent.top_tokens_long_tail(words, 50, "word")
+
+
+@register("merged_profile", """
+SELECT * FROM (WITH v AS (SELECT 'n_chars' AS measure, n_chars::DOUBLE AS v FROM documents UNION ALL SELECT 'bytes', strlen(text)::DOUBLE FROM documents),
+h AS (SELECT measure, CAST(floor(v / 1000) * 1000 AS BIGINT) AS b, count(*) AS c FROM v WHERE v IS NOT NULL GROUP BY ALL)
+SELECT measure, count(v) AS n, count_if(v IS NULL) AS nulls, round(avg(v), 6) AS mean, min(v) AS least, max(v) AS greatest,
+       (SELECT string_agg(b || ':' || c, ' ' ORDER BY b) FROM h WHERE h.measure = v.measure) AS histogram
+FROM v GROUP BY measure)
+""")
+def q_merged_profile(spark, sf):
+    """A1/A3/A6 merged from the states of parts (the documents' sources)."""
+    d = fx.table(spark, sf, "documents")
+    measures = {"n_chars": F.col("n_chars"), "bytes": F.octet_length("text")}
+    states = stored(increments.part_state(d, F.coalesce("source", F.lit("")), measures, 1000), "states")
+    r = increments.merged_profile(states)
+    text = F.array_join(F.transform(F.sort_array(F.map_entries("histogram")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), " ")
+    return r.select("measure", "n", "nulls", F.round("mean", 6).alias("mean"), "least", "greatest", text.alias("histogram"))
+
+
 @register("length_profile", with_views(
     "SELECT CAST(min(n) AS BIGINT) AS len_min, CAST(max(n) AS BIGINT) AS len_max, round(avg(n), 6) AS len_mean "
     "FROM (SELECT len(moves) AS n FROM v_puz)", "v_puz"))
