@@ -106,6 +106,30 @@ def test_stream_equals_batch(spark, scratch):
     assert spark.read.parquet(os.path.join(scratch, "sink")).count() == len(batch)
 
 
+def test_stream_drops_lines_it_has_emitted(spark, scratch):
+    """Repeated lines and files add nothing, within a run and after a restart; the result is the batch's distinct lines."""
+    src, sink, ckpt = (os.path.join(scratch, n) for n in ("src", "sink", "ckpt"))
+    os.makedirs(src)
+
+    def put(name, ids):
+        with open(os.path.join(src, name), "w") as f:
+            for j in ids:
+                f.write(json.dumps({"fen": f"f{j}", "evals": [{"depth": j, "knodes": 1, "pvs": [{"cp": 1, "line": f"a b m{j}"}]}]}) + "\n")
+
+    def run():
+        extract.start_extract(spark, src, sink, ckpt, max_files_per_trigger=1, once=True).awaitTermination(200)
+        return sorted(tuple(r) for r in spark.read.parquet(sink).select("fen", "line", "depth", "knodes").collect())
+
+    put("a.json", [1, 2, 3, 3, 2])
+    put("b.json", [3, 4])
+    want = sorted(tuple(r) for r in extract.extract_batch(spark, src).distinct().collect())
+    assert run() == want and len(want) == 4
+    put("c.json", [1, 2, 3, 4])
+    put("d.json", [5, 5, 1])
+    want = sorted(tuple(r) for r in extract.extract_batch(spark, src).distinct().collect())
+    assert run() == want and len(want) == 5
+
+
 def test_scan_lines_default_knodes(spark, scratch):
     p = os.path.join(scratch, "lines.jsonl")
     with open(p, "w") as f:
