@@ -95,11 +95,13 @@ def single_move_texts(lines: DataFrame, line_k: int = 6, seed: int = 42, epoch:
                     prompts.render_response(c["window"], c["target"]).alias("response"))
 
 
-def single_move_rows(examples: DataFrame, vocab: DataFrame, max_length: int = 512, pad_id: int = tokens.PAD_ID) -> DataFrame:
+def single_move_rows(examples: DataFrame, vocab, max_length: int = 512, pad_id: int = tokens.PAD_ID,
+                     encode=tokens.encode_many, eos_id: int = tokens.EOS_ID) -> DataFrame:
     """L2 single move, from :func:`single_move_texts`: (seq_id, input_ids, attention_mask, labels) of width
-    ``max_length``."""
-    enc = tokens.encode_many(examples, "seq_id", {"p_ids": "ptext", "r_ids": "response"}, vocab)
-    j = enc.select("seq_id", "p_ids", F.concat("r_ids", F.array(F.lit(tokens.EOS_ID))).alias("r_ids"))
+    ``max_length``. ``encode`` (df, key, {out: text column}, vocab) gives the ids: of the corpus vocabulary, of subwords
+    (``subwords.encode_many``, vocab: the encoded words) or of a model's tokenizer (``tokens.encode_many_with``, vocab: its function)."""
+    enc = encode(examples, "seq_id", {"p_ids": "ptext", "r_ids": "response"}, vocab)
+    j = enc.select("seq_id", "p_ids", F.concat("r_ids", F.array(F.lit(eos_id))).alias("r_ids"))
     t = tokens.truncate_reserve("p_ids", "r_ids", max_length)
     j = j.select("seq_id", t["prompt_ids"].alias("p"), t["response_ids"].alias("r"))
     pm = tokens.pad_mask(F.concat("p", "r"), max_length, pad_id)
@@ -129,15 +131,18 @@ def conversation_texts(seqs: DataFrame, rules: DataFrame, seed: int = 42) -> Dat
         F.when(F.col("messages").isNotNull(), chat.render_chatml("messages")).alias("text"))
 
 
-def conversation_rows(texts: DataFrame, vocab: DataFrame, marker: Column, max_length: int = 1024,
-                      pad_id: int = tokens.PAD_ID) -> DataFrame:
+def conversation_rows(texts: DataFrame, vocab, marker: Column, max_length: int = 1024,
+                      pad_id: int = tokens.PAD_ID, encode=None) -> DataFrame:
     """L2 conversation, from :func:`conversation_texts`: every sequence gives one row; failed ones are
     placeholder rows.
 
-    ``marker`` is the id array of the move-tag name (e.g. the vocabulary ids of 'uci_move'). One pass:
+    ``encode`` as in :func:`single_move_rows` (the corpus vocabulary, if not given). ``marker`` is the id array of the move-tag name (e.g. the vocabulary ids of 'uci_move'). One pass:
     the 'has a conversation' flag rides along the encoding instead of a join back to the sequences.
     """
-    enc = tokens.encode(texts, "text", vocab, "seq_id", keep=("ok",))
+    if encode is None:
+        enc = tokens.encode(texts, "text", vocab, "seq_id", keep=("ok",))
+    else:      # a rendered conversation is never empty, a failed one has no text
+        enc = encode(texts, "seq_id", {"ids": "text"}, vocab).withColumn("ok", F.size("ids") > 0)
     packed = enc.select("seq_id", "ok", F.slice("ids", 1, max_length).alias("ids")).withColumn("marker", marker)
     pm = tokens.pad_mask("ids", max_length, pad_id)
     ph = tokens.placeholder(max_length, pad_id)

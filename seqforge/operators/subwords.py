@@ -120,3 +120,12 @@ def encode_texts(df: DataFrame, text_col: str, encoded: DataFrame, key: str, out
     ids = F.flatten(F.transform("p", lambda w: F.coalesce(F.try_element_at(F.col("d"), w), unknown)))
     done = blocks.join(dictionary, [key, "block"], "left").select(key, F.struct("block", F.when(F.size("p") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids")).alias("b"))
     return done.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["ids"])).alias(out))
+
+
+def encode_many(df: DataFrame, key: str, texts: dict[str, str], encoded: DataFrame) -> DataFrame:
+    """:func:`encode_texts` for several text columns at once: (key, <out>: ids[] per text column)."""
+    names = list(texts)
+    tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).alias("x")) for i, c in enumerate(texts.values())]))
+    rows = df.select(F.col(key), tagged.alias("s")).select(F.struct(F.col(key).alias("key"), F.col("s.t").alias("t")).alias("k"), F.col("s.x").alias("x"))
+    done = encode_texts(rows, "x", encoded, "k")
+    return done.groupBy(F.col("k.key").alias(key)).agg(*[F.max(F.when(F.col("k.t") == i, F.col("ids"))).alias(n) for i, n in enumerate(names)])

@@ -89,6 +89,11 @@ def encode_with(text: Column | str, tokenizer_fn) -> Column:
     return _enc(col_of(text))
 
 
+def encode_many_with(df: DataFrame, key: str, texts: dict[str, str], tokenizer_fn) -> DataFrame:
+    """:func:`encode_many` by a model's tokenizer: (key, <out>: ids[] per text column); nothing is shuffled."""
+    return df.select(key, *[encode_with(c, tokenizer_fn).alias(out) for out, c in texts.items()])
+
+
 def truncate_reserve(prompt_ids: Column | str, response_ids: Column | str, max_length: int) -> Column:
     """Keep the response whole when possible: if p+r > L the prompt keeps its first L-r ids;
     if r > L the response keeps its first L and the prompt is empty."""

@@ -88,3 +88,26 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id int, text string")
     words = subwords.distinct_words(df)
     assert subwords.train(words, 5) == [] and subwords.encode_texts(df, "text", subwords.encode_words(words, [], subwords.subword_vocab(words, [])), "id").isEmpty()
+
+
+def test_builders_take_any_tokenizer(spark):
+    """The row builders with subwords, and with a tokenizer function that does the same, give equal rows."""
+    from seqforge.operators import examples
+    from tests.test_sequences import _frames
+    rules, seqs = _frames(spark)
+    texts = examples.conversation_texts(seqs, rules)
+    lines = examples.valid_lines(seqs, rules)
+    single = examples.single_move_texts(lines)
+    corpus = texts.select("text").unionByName(single.select(F.col("ptext").alias("text"))).unionByName(single.select(F.col("response").alias("text")))
+    words = subwords.distinct_words(corpus)
+    merges = subwords.train(words, 30)
+    vocab = subwords.subword_vocab(words, merges)
+    encoded = subwords.encode_words(words, merges, vocab)
+    ids = {r["word"]: r["ids"] for r in encoded.collect()}
+    plain = lambda batch: [[i for w in PIECE.findall(t) for i in ids[w]] for t in batch]
+    marker = F.array(*[F.lit(i) for i in ids["uci_move"]])
+    for build, rows, extra in ((examples.conversation_rows, texts, (marker, 96)), (examples.single_move_rows, single, (64,))):
+        a = sorted(tuple(r) for r in build(rows, encoded, *extra, encode=subwords.encode_many).collect())
+        b = sorted(tuple(r) for r in build(rows, plain, *extra, encode=tokens.encode_many_with).collect())
+        assert a == b and len(a) >= 2 and all(len(r[1]) == extra[-1] for r in a)
+        assert any(x != -100 for r in a for x in r[3])
