@@ -132,6 +132,7 @@ def valid_prefix(seqs: DataFrame, pairs: DataFrame, start: str = "") -> DataFram
 
 SMALL = 2048     # rules that may be one map, given to every row
 NARROW = 64      # states of one action that may be a map in a sequence's row
+STRETCH = 64     # steps whose states are kept together while a sequence is folded
 
 
 def rule_sizes(rules: DataFrame) -> tuple[int, int]:
@@ -196,8 +197,8 @@ def fold_states(actions: Column, start: Column, trans: Column, with_states: bool
     """E5(c)/E6: struct<valid_len, states[]> where states[k] is the state before step k (and
     states[valid_len] the state after the valid prefix). Two map lookups per step, no string keys.
 
-    ``with_states=False`` keeps only the count: linear in the length (the states array is copied
-    on every step, which is quadratic; fine for game-length sequences, not for very long ones)."""
+    ``with_states=False`` keeps only the count. With states, a step appends to the states of its own stretch of ``STRETCH``
+    steps, and a stretch to the list of stretches, so a step copies at most a stretch, not all states so far."""
     def step_of(acc: Column, a: Column):
         m = F.try_element_at(trans, a)
         go = acc["alive"] & F.coalesce(F.map_contains_key(m, acc["s"]), F.lit(False))
@@ -214,16 +215,23 @@ def fold_states(actions: Column, start: Column, trans: Column, with_states: bool
         return F.aggregate(actions, init, step, lambda acc: F.struct(acc["n"].alias("valid_len"),
                                                                       acc["s"].alias("last_state")))
 
-    init = F.struct(start.alias("s"), F.lit(True).alias("alive"), F.lit(0).alias("n"),
-                    F.array(start).alias("states"))
+    def stretch(acc: Column, part: Column) -> Column:
+        """One stretch: its states, then its end."""
+        begin = F.struct(acc["s"].alias("s"), acc["alive"].alias("alive"), acc["n"].alias("n"), F.slice(F.array(acc["s"]), 1, 0).alias("states"))
 
-    def step_states(acc: Column, a: Column) -> Column:
-        go, nxt = step_of(acc, a)
-        return F.struct(nxt.alias("s"), go.alias("alive"), F.when(go, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-                        F.when(go, F.concat(acc["states"], F.array(nxt))).otherwise(acc["states"]).alias("states"))
+        def step_states(inner: Column, a: Column) -> Column:
+            go, nxt = step_of(inner, a)
+            return F.struct(nxt.alias("s"), go.alias("alive"), F.when(go, inner["n"] + 1).otherwise(inner["n"]).alias("n"),
+                            F.when(go, F.concat(inner["states"], F.array(nxt))).otherwise(inner["states"]).alias("states"))
 
-    return F.aggregate(actions, init, step_states, lambda acc: F.struct(acc["n"].alias("valid_len"),
-                                                                         acc["states"].alias("states")))
+        return F.aggregate(part, begin, step_states, lambda x: F.struct(
+            x["s"].alias("s"), x["alive"].alias("alive"), x["n"].alias("n"), F.concat(acc["parts"], F.array(x["states"])).alias("parts")))
+
+    init = F.struct(start.alias("s"), F.lit(True).alias("alive"), F.lit(0).alias("n"), F.array(F.array(start)).alias("parts"))
+    n = F.size(actions)
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(1), n, F.lit(STRETCH)), lambda i: F.slice(actions, i, STRETCH)))
+    return F.when(n > 0, F.aggregate(parts, init, stretch, lambda acc: F.struct(acc["n"].alias("valid_len"), F.flatten(acc["parts"]).alias("states")))
+                  ).otherwise(F.struct(F.lit(0).alias("valid_len"), F.array(start).alias("states")))
 
 
 def valid_prefix_fold(seqs: DataFrame, rules: DataFrame, with_states: bool = True,

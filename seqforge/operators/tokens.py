@@ -134,19 +134,37 @@ def label_response(input_ids: Column | str, n_prompt: Column, n_response: Column
 
 
 def find_subsequence(seq: Column | str, sub: list[int] | Column) -> Column:
-    """T5: all 0-based starts where ``sub`` occurs (overlaps allowed); [] when seq is shorter."""
+    """T5: all 0-based starts where ``sub`` occurs (overlaps allowed); [] when seq is shorter. Only where the first id
+    agrees is the rest compared."""
     subc = F.array(*[F.lit(v) for v in sub]) if isinstance(sub, list) else sub
 
     def body(v: Column) -> Column:
         s, q = v["s"], v["q"]
         m = F.size(q)
         starts = F.sequence(F.lit(0), F.size(s) - m)
-        return F.when(F.size(s) >= m, F.filter(starts, lambda i: F.slice(s, i + 1, m) == q)).otherwise(
-            F.array().cast("array<int>"))
+        first = F.try_element_at(q, F.lit(1))
+        here = lambda i: (first.isNull() | (F.element_at(s, i + 1) == first)) & (F.slice(s, i + 1, m) == q)
+        return F.when(F.size(s) >= m, F.filter(starts, here)).otherwise(F.array().cast("array<int>"))
 
     return let(F.struct(col_of(seq).alias("s"), subc.alias("q")), body)
 
 
+def find_many(seq: Column | str, markers: list[list[int]]) -> Column:
+    """T5 for several markers in one pass over the sequence: array<struct<marker, start>>, by start, then marker. A position is
+    looked at again only where some marker's first id stands."""
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(v) for v in m]).alias("m")) for i, m in enumerate(markers)])
+    firsts = F.array(*[F.lit(v) for v in dict.fromkeys(m[0] for m in markers)])
+
+    def body(v: Column) -> Column:
+        s, t = v["s"], v["t"]
+        hits = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.array_contains(v["f"], F.element_at(s, i + 1)))
+        at = F.transform(hits, lambda i: F.transform(F.filter(t, lambda x: F.slice(s, i + 1, F.size(x["m"])) == x["m"]),
+                                                     lambda x: F.struct(x["i"].alias("marker"), i.alias("start"))))
+        return F.when(F.size(s) > 0, F.flatten(at)).otherwise(F.array().cast("array<struct<marker:int,start:int>>"))
+
+    return let(F.struct(col_of(seq).alias("s"), table.alias("t"), firsts.alias("f")), body)
+
+
 def span_positions(seq: Column | str, marker: list[int] | Column) -> Column:
     """Spans covered by paired marker hits (0,1),(2,3)...: from one before the opener to one
     after the closer's end (end exclusive); an odd last hit is ignored."""

@@ -103,3 +103,17 @@ def test_reward_registry_and_weights(spark):
                                "completion string, legal_moves array<string>, correct_move string, cp_pred int, cp_ref int")
     made = df.select(*[fn("completion", *cols).alias(name) for name, (cols, fn) in R.REGISTRY.items()], R.scaled(F.lit(2), 1.5, "legality")).first()
     assert made["legality"] == 1.0 and made["correctness"] == 3.0 and made["legality_x1_5"] == 3.0 and made["stockfish_eval"] == 3.0
+
+
+def test_many_markers_in_one_pass(spark):
+    import random
+    rng = random.Random(3)
+    markers = [[1], [1, 2], [2, 1, 1], [9, 9], [3]]
+    seqs = [[rng.randint(1, 3) for _ in range(rng.randint(0, 40))] for _ in range(60)] + [[], [9, 9, 9]]
+    df = spark.createDataFrame(list(enumerate(seqs)), "i int, s array<int>")
+    got = {r["i"]: [tuple(x) for x in r["m"]] for r in df.select("i", T.find_many("s", markers).alias("m")).collect()}
+    one = {r["i"]: r for r in df.select("i", *[T.find_subsequence("s", m).alias(f"m{k}") for k, m in enumerate(markers)]).collect()}
+    for i, s in enumerate(seqs):
+        want = sorted((p, k) for k, m in enumerate(markers) for p in range(len(s) - len(m) + 1) if s[p:p + len(m)] == m)
+        assert got[i] == [(k, p) for p, k in want]
+        assert [(p, k) for k in range(len(markers)) for p in one[i][f"m{k}"]] == sorted(want, key=lambda x: (x[1], x[0]))
