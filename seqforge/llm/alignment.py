@@ -39,10 +39,8 @@ from seqforge.llm.counts import byte_letters
 from seqforge.llm.tokens import MEMO, Encoder, encoder
 
 BYTES = 1 << 22              # text of a block
-DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 BLOCK_SCHEMA = ("block bigint, doc_ids array<bigint>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<bigint>, "
                 "hashes array<string>, pairs array<bigint>, held array<int>, links binary")
-Columns = dict[str, pa.Array]
 
 
 class Pair:

@@ -7,10 +7,10 @@ frequent one's count, left to right and without overlap, until no pair occurs ``
 never crosses the end of a document, so each document starts at a symbol.
 
 A shard is one binary record (kept as a row of a Parquet table, so that any store Spark reaches can hold
-it): magic, version, then as little-endian arrays the rules (two symbols each), the number of ids each
-rule expands to, the documents' ids, their first symbols and first ids, and the symbols. With the
-expansion lengths any document, or any span of ids, is decoded without the rest of the shard
-(``Shard.document``, ``Shard.span``).
+it). Symbols are numbered densely, first the ids in use, then the rules, and every array is packed with as many bits as its
+largest number needs: the ids in use, the rules (two symbols each), the number of ids each rule expands to, the symbols, the
+documents' numbers of symbols and of ids, and the place of every ``SAMPLED``-th symbol among the ids. So a document
+(``Shard.document``) or a span of ids (``Shard.span``) is decoded from its own symbols and the rules they reach.
 
 ``read`` decodes the files again and numbers the ids of all documents in ascending doc_id order.
 
@@ -39,7 +39,8 @@ STEP = 64             # a round takes pairs down to this part of the most freque
 SLOT_BITS = 18
 TEXTS, MEMO = 2048, 600_000   # texts encoded at once, pieces a worker keeps
 FIRST_RULE = 1 << 24  # symbols from here on are nonterminals
-MAGIC, VERSION = b"RPID", 1
+SAMPLED = 256         # symbols from one stored place to the next
+MAGIC, VERSION = b"RPID", 2
 NULL_ID = -(1 << 63)
 
 
@@ -121,27 +122,74 @@ def _rule_lengths(table: np.ndarray) -> np.ndarray:
     return n
 
 
+def bit_pack(values: np.ndarray) -> bytes:
+    """Number of values, bits of each (at most 32), and the values."""
+    v = np.asarray(values, np.int64)
+    width = max(int(v.max(initial=0)).bit_length(), 1)
+    bits = np.unpackbits(v.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    return struct.pack("<QI", len(v), width) + np.packbits(bits, bitorder="little").tobytes()
+
+
+class Packed:
+    """An array of ``bit_pack``, read where it lies."""
+
+    def __init__(self, blob: bytes, at: int):
+        self.n, self.width = struct.unpack_from("<QI", blob, at)
+        size = -(-self.n * self.width // 8)
+        self.raw = np.frombuffer(blob, np.uint8, size, at + 12)
+        self.end = at + 12 + size
+
+    def all(self) -> np.ndarray:
+        bits = np.unpackbits(self.raw, count=self.n * self.width, bitorder="little").reshape(-1, self.width)
+        wide = np.zeros((self.n, 32), np.uint8)
+        wide[:, :self.width] = bits
+        return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        """The values at some places."""
+        first = np.asarray(at, np.int64) * self.width
+        byte, out = first >> 3, np.zeros(len(first), np.uint64)
+        for k in range(5):
+            out |= self.raw[np.minimum(byte + k, len(self.raw) - 1)].astype(np.uint64) << np.uint64(8 * k)
+        return ((out >> (first & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
+
 class Shard:
-    """A shard in memory, from ``pack``'s bytes."""
+    """A shard in memory, from ``pack``'s bytes. ``rules_read`` counts the rules looked up by random access."""
 
     def __init__(self, blob: bytes):
-        magic, version, n_rules, n_docs, n_symbols = struct.unpack_from("<4sIQQQ", blob)
+        magic, version, n_docs = struct.unpack_from("<4sIQ", blob)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of token ids")
-        at = 32
-
-        def take(n: int, kind: str) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(blob, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.rules, self.lengths = take(2 * n_rules, "<u4").reshape(-1, 2).astype(np.int64), take(n_rules, "<u4").astype(np.int64)
-        self.doc_ids, self.null_ids = take(n_docs, "<i8"), take(n_docs, "u1").astype(bool)
-        self.first_symbol, self.first_id = take(n_docs + 1, "<u8").astype(np.int64), take(n_docs + 1, "<u8").astype(np.int64)
-        self.symbols = take(n_symbols, "<u4").astype(np.int64)
+        at = 16
+        self.doc_ids = np.frombuffer(blob, "<i8", n_docs, at)
+        self.null_ids = np.frombuffer(blob, "u1", n_docs, at + 8 * n_docs).astype(bool)
+        at += 9 * n_docs
+        parts = []
+        for _ in range(7):
+            parts.append(Packed(blob, at))
+            at = parts[-1].end
+        used, self._rules, self._lengths, self._symbols, in_symbols, in_ids, sampled = parts
+        self.used, self.sampled = used.all(), sampled.all()
+        self.first_symbol, self.first_id = offsets(in_symbols.all()), offsets(in_ids.all())
+        self.rules_read = 0
+        self._whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self._pool: tuple[np.ndarray, np.ndarray] | None = None
 
+    def _names(self, dense: np.ndarray) -> np.ndarray:
+        """Ids and rules (from ``FIRST_RULE`` on) for dense numbers."""
+        rule = dense >= len(self.used)
+        return np.where(rule, dense - len(self.used) + FIRST_RULE, self.used[np.where(rule, 0, dense)] if len(self.used) else 0)
+
+    def _unpacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._whole is None:
+            self._whole = self._names(self._rules.all()).reshape(-1, 2), self._lengths.all(), self._names(self._symbols.all())
+        return self._whole
+
+    rules = property(lambda self: self._unpacked()[0])
+    lengths = property(lambda self: self._unpacked()[1])
+    symbols = property(lambda self: self._unpacked()[2])
+
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """All rules expanded, end to end, and where each begins."""
         if self._pool is None:
@@ -171,28 +219,54 @@ class Shard:
         at += np.arange(to[-1], dtype=np.int32)
         return both[at]
 
+    def _spelled(self, out: np.ndarray) -> np.ndarray:
+        """The ids of some symbols (dense numbers): the rules reached are replaced level by level."""
+        n = len(self.used)
+        while (rule := out >= n).any():
+            wide = np.where(rule, 2, 1)
+            to = offsets(wide)[:-1]
+            nxt = np.empty(int(wide.sum()), np.int64)
+            at = out[rule] - n
+            self.rules_read += len(np.unique(at))
+            nxt[to] = out
+            nxt[to[rule]], nxt[to[rule] + 1] = self._rules[2 * at], self._rules[2 * at + 1]
+            out = nxt
+        return self.used[out].astype("<u4") if len(out) else np.zeros(0, "<u4")
+
     def document(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document."""
-        return self.expand(self.symbols[self.first_symbol[k]:self.first_symbol[k + 1]])
+        return self._spelled(self._symbols[np.arange(self.first_symbol[k], self.first_symbol[k + 1])])
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """The ids at positions start to stop - 1 of the shard, from the symbols that cover them."""
-        rule = self.symbols >= FIRST_RULE
-        n = np.where(rule, self.lengths[np.where(rule, self.symbols - FIRST_RULE, 0)], 1) if len(self.lengths) else np.ones(len(self.symbols), np.int64)
-        at = offsets(n)
-        a, b = int(np.searchsorted(at, start, "right")) - 1, int(np.searchsorted(at, stop, "left"))
-        return self.expand(self.symbols[a:b])[start - at[a]:stop - at[a]]
+        a = max(int(np.searchsorted(self.sampled, start, "right")) - 1, 0)
+        b = int(np.searchsorted(self.sampled, stop, "left"))
+        some = self._symbols[np.arange(a * SAMPLED, min(b * SAMPLED, self._symbols.n))]
+        rule = some >= len(self.used)
+        n = np.ones(len(some), np.int64)
+        n[rule] = self._lengths[some[rule] - len(self.used)]
+        at = int(self.sampled[a]) + offsets(n)
+        i, j = int(np.searchsorted(at, start, "right")) - 1, int(np.searchsorted(at, stop, "left"))
+        return self._spelled(some[i:j])[start - at[i]:stop - at[i]]
 
 
 def pack(doc_ids: list[int | None], docs: list[bytes], min_pair: int = MIN_PAIR) -> bytes:
     """A shard's bytes: ``docs`` are the ids of each document as little-endian 32-bit integers."""
     first = offsets([len(d) // 4 for d in docs])
     symbols, starts, rules, lengths = compress(np.frombuffer(b"".join(docs), "<u4"), first[:-1], min_pair)
-    head = struct.pack("<4sIQQQ", MAGIC, VERSION, len(rules), len(docs), len(symbols))
+    symbols = np.asarray(symbols, np.int64)
     names = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
-    return b"".join([head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), names.tobytes(),
-                     np.array([d is None for d in doc_ids], "u1").tobytes(),
-                     np.append(starts, len(symbols)).astype("<u8").tobytes(), first.astype("<u8").tobytes(), symbols.astype("<u4").tobytes()])
+    rules, lengths = np.asarray(rules, np.int64).reshape(-1), np.asarray(lengths, np.int64)
+    every = np.concatenate([symbols, rules])
+    used = np.unique(every[every < FIRST_RULE])
+
+    def dense(x: np.ndarray) -> np.ndarray:
+        return np.where(x >= FIRST_RULE, x - FIRST_RULE + len(used), np.searchsorted(used, x))
+
+    n = np.ones(len(symbols), np.int64)
+    n[symbols >= FIRST_RULE] = lengths[symbols[symbols >= FIRST_RULE] - FIRST_RULE]
+    parts = [used, dense(rules), lengths, dense(symbols), np.diff(np.append(starts, len(symbols))), np.diff(first), offsets(n)[:-1][::SAMPLED]]
+    return b"".join([struct.pack("<4sIQ", MAGIC, VERSION, len(docs)), names.tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), *map(bit_pack, parts)])
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = False, shard: int = SHARD, min_pair: int = MIN_PAIR) -> DataFrame:

@@ -46,6 +46,21 @@ def test_memo_starts_anew(monkeypatch):
         assert enc.encode(pa.array(t)) == [np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in t]
 
 
+def test_shards_are_smaller_than_16_bit_ids_and_documents_read_their_own_rules():
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    blobs = [b + np.array([1], "<u4").tobytes() for b in Encoder(WORDS, False).encode(texts)]
+    blob = repair.pack(list(range(len(blobs))), blobs)
+    assert len(blob) <= 0.8 * sum(map(len, blobs)) / 2
+    s = repair.Shard(blob)
+    for k in (0, 17, 400):
+        before = s.rules_read
+        assert s.document(k).tobytes() == blobs[k]
+        assert s.rules_read - before <= len(blobs[k]) // 4
+    assert s._whole is None and s._pool is None       # nothing else was unpacked
+    assert s.expand(s.symbols).astype("<u4").tobytes() == b"".join(blobs)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=60), min_size=1, max_size=8))
 def test_round_trip_and_random_access(docs_):
