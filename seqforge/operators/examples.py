@@ -28,15 +28,17 @@ from seqforge.operators import chat, project, prompts, sampling, sequences, toke
 
 # ---- L1: puzzles -------------------------------------------------------------------------------
 
-def check_puzzles(puzzles: DataFrame, rules: DataFrame) -> DataFrame:
-    """The puzzles (puzzle_id, start_state, moves, ...) with n_steps, valid_len, states, cands and ``ok``:
+def check_puzzles(puzzles: DataFrame, rules: DataFrame, cands: bool = True) -> DataFrame:
+    """The puzzles (puzzle_id, start_state, moves, ...) with n_steps, valid_len, states, cands (if wanted) and ``ok``:
     every move is allowed (E4)."""
-    return sequences.replayed(puzzles, rules, ("puzzle_id",), "moves").withColumn("ok", F.col("valid_len") == F.col("n_steps"))
+    return sequences.replayed(puzzles, rules, ("puzzle_id",), "moves", cands).withColumn("ok", F.col("valid_len") == F.col("n_steps"))
 
 
-def puzzle_examples(checked: DataFrame, solver_offset: int = 0) -> DataFrame:
-    """Nested examples (input, output, metadata) of the puzzles that are ``ok``."""
-    return project.position_examples(sequences.ply_expand(checked.where("ok"), solver_offset, "states", "cands"))
+def puzzle_examples(checked: DataFrame, solver_offset: int = 0, rules: DataFrame | None = None) -> DataFrame:
+    """Nested examples (input, output, metadata) of the puzzles that are ``ok``. With ``rules``, each ply's candidates are
+    joined from them and ``checked`` needs no ``cands``: the way for many rules, as a puzzle's row stays small."""
+    cands = "cands" if rules is None else sequences.candidate_actions(rules)
+    return project.position_examples(sequences.ply_expand(checked.where("ok"), solver_offset, "states", cands))
 
 
 def puzzle_report(checked: DataFrame, min_rating: int | None = None, max_rating: int | None = None) -> DataFrame:

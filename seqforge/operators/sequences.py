@@ -66,16 +66,19 @@ def min_len(df: DataFrame, n: int = 2, col: str = "line") -> DataFrame:
 
 # ---- E3/E4: per-ply expansion -------------------------------------------------------------------
 
-def ply_expand(puzzles: DataFrame, solver_offset: int = 0, states: str | None = None, cands: str | None = None) -> DataFrame:
+def ply_expand(puzzles: DataFrame, solver_offset: int = 0, states: str | None = None,
+               cands: str | DataFrame | None = None) -> DataFrame:
     """One row per ply where the solving side moves (plies offset, offset+2, ...).
 
     move_number = idx+1, total_moves = n, solution = moves[idx:], side_to_move from the position text. With the array
-    ``states`` of the states before each move, and ``cands`` as of :func:`with_candidates`, fen is that state's text and
-    legal_moves its candidates. Everything of a ply is put into its element before the explode, so a ply carries its own
-    state and candidates, not the puzzle's arrays."""
+    ``states`` of the states before each move, fen is that state's text and legal_moves its candidates, from ``cands``: a
+    column as of :func:`with_candidates`, or the table of :func:`candidate_actions`, joined with the plies, so that no
+    puzzle ever holds the candidates of all its states. Everything of a ply is put into its element before the explode,
+    so a ply carries its own state and candidates, not the puzzle's arrays."""
     side0 = F.get(F.split(F.col("fen"), " "), 1)
     from seqforge.operators.project import side_label
-    given = {"moves": F.col("moves")} | ({"states": F.col(states), "cands": F.col(cands)} if states else {})
+    joins = isinstance(cands, DataFrame)
+    given = {"moves": F.col("moves")} | ({"states": F.col(states)} if states else {}) | ({"cands": F.col(cands)} if states and not joins else {})
 
     def plies(v: Column) -> Column:
         n = F.size(v["moves"])
@@ -85,7 +88,8 @@ def ply_expand(puzzles: DataFrame, solver_offset: int = 0, states: str | None =
             own = [i.alias("idx"), F.element_at(v["moves"], i + 1).alias("move"), F.slice(v["moves"], i + 1, n - i).alias("solution")]
             if states:
                 state = F.element_at(v["states"], i + 1)
-                own += [state.cast("string").alias("fen"), candidates_of(state, v["cands"]).alias("legal_moves")]
+                own += [state.cast("string").alias("fen"),
+                        state.alias("state") if joins else candidates_of(state, v["cands"]).alias("legal_moves")]
             return F.struct(*own)
 
         return F.transform(idx, one)
@@ -93,7 +97,11 @@ def ply_expand(puzzles: DataFrame, solver_offset: int = 0, states: str | None =
     kept = ["puzzle_id", "rating", "themes", "game_url", "opening_tags"]
     out = puzzles.select(*kept, *([] if states else ["fen"]), side0.alias("_side"), F.size("moves").alias("total_moves"),
                          F.explode(let(F.struct(*[c.alias(k) for k, c in given.items()]), plies)).alias("p"))
-    return out.select("puzzle_id", *(["p.fen", "p.legal_moves"] if states else ["fen"]), *kept[1:], "p.move",
+    legal = F.col("p.legal_moves")
+    if joins:
+        out = out.join(cands.select(F.col("state").alias("_state"), "candidates"), F.col("p.state") == F.col("_state"), "left")
+        legal = F.coalesce("candidates", F.array().cast("array<string>")).alias("legal_moves")
+    return out.select("puzzle_id", *([F.col("p.fen"), legal] if states else ["fen"]), *kept[1:], "p.move",
                       side_label(F.col("_side"), F.col("p.idx")).alias("side_to_move"), (F.col("p.idx") + 1).alias("move_number"),
                       "total_moves", "p.solution", "p.idx")
 
@@ -179,12 +187,15 @@ def with_all_candidates(df: DataFrame, rules: DataFrame) -> DataFrame:
     return df.withColumn("cands", one.scalar())
 
 
-def replayed(seqs: DataFrame, rules: DataFrame, key: Sequence[str] = ("seq_id",), actions: str = "actions") -> DataFrame:
-    """:func:`valid_prefix_fold` with ``states``, and the candidates of the states visited as ``cands``. The rules are written
-    once and measured once."""
+def replayed(seqs: DataFrame, rules: DataFrame, key: Sequence[str] = ("seq_id",), actions: str = "actions",
+             cands: bool = True) -> DataFrame:
+    """:func:`valid_prefix_fold` with ``states``, and, if wanted, the candidates of the states visited as ``cands``. The rules
+    are written once and measured once."""
     rules = stored(rules.select("state", "action", "next_state"), "rules")
     sizes = rule_sizes(rules)
     checked = valid_prefix_fold(seqs, rules, True, key, actions, sizes)
+    if not cands:
+        return checked
     return with_all_candidates(checked, rules) if sizes[0] <= SMALL else with_candidates(checked, rules, key)
 
 

@@ -303,17 +303,24 @@ def _puzzle_sql(sql: str) -> str:
 
 
 def _checked(spark, sf, errors=False):
-    """The checked puzzles, error rows among them if wanted. The raw rows are made once, for the puzzles and the rules."""
+    """The checked puzzles without candidates, error rows among them if wanted, and the rules. The raw rows are made once, for
+    the puzzles and the rules."""
     raw = stored(fx.v_raw(spark, sf), "raw-puzzles")
     p = project.type_puzzles(raw)
     p = (p if errors else project.good_rows(p)).withColumn("start_state", (F.col("puzzle_id").cast("bigint") % 7).cast("int"))
-    return examples.check_puzzles(p, fx.v_puz_rules(spark, sf, raw))
+    rules = stored(fx.v_puz_rules(spark, sf, raw), "puzzle-rules")
+    return examples.check_puzzles(p, rules, cands=False), rules
+
+
+def _examples(spark, sf):
+    checked, rules = _checked(spark, sf)
+    return examples.puzzle_examples(checked, rules=rules)
 
 
 @register("puzzle_examples", _puzzle_sql(
     "SELECT puzzle_id, move_number, fen, legal_moves, side_to_move, move, solution FROM examples"))
 def q_puzzle_examples(spark, sf):
-    ex = examples.puzzle_examples(_checked(spark, sf))
+    ex = _examples(spark, sf)
     return ex.select(F.col("metadata.puzzle_id").alias("puzzle_id"), F.col("metadata.move_number").cast("bigint").alias("move_number"),
                      F.col("input.fen").alias("fen"), joined("input.legal_moves").alias("legal_moves"),
                      F.col("input.side_to_move").alias("side_to_move"), F.col("output.move").alias("move"),
@@ -328,7 +335,7 @@ FROM (SELECT *, rating BETWEEN 1000 AND 2500 AS used FROM checked)
 """))
 def q_puzzle_report(spark, sf):
     """A7/S11 counters of one extraction run: error rows, rows outside the ratings, failed and successful."""
-    return examples.puzzle_report(_checked(spark, sf, True), 1000, 2500)
+    return examples.puzzle_report(_checked(spark, sf, True)[0], 1000, 2500)
 
 
 @register("position_examples", _puzzle_sql(
@@ -336,7 +343,7 @@ def q_puzzle_report(spark, sf):
     "solution AS output_solution, puzzle_id AS metadata_puzzle_id, rating AS metadata_rating, themes AS metadata_themes, "
     "move_number AS metadata_move_number, total_moves AS metadata_total_moves FROM examples"))
 def q_position_examples(spark, sf):
-    ex = examples.puzzle_examples(_checked(spark, sf))
+    ex = _examples(spark, sf)
     return ex.select(F.col("input.fen").alias("input_fen"), joined("input.legal_moves").alias("input_legal_moves"),
                      F.col("input.side_to_move").alias("input_side_to_move"),
                      F.col("output.move").alias("output_move"), joined("output.solution").alias("output_solution"),
@@ -350,7 +357,7 @@ def q_position_examples(spark, sf):
 @register("flatten_example", _puzzle_sql(
     "SELECT fen, move AS correct_move, legal_moves, side_to_move, puzzle_id, rating, themes FROM examples"))
 def q_flatten_example(spark, sf):
-    f = project.flatten_example(examples.puzzle_examples(_checked(spark, sf)))
+    f = project.flatten_example(_examples(spark, sf))
     return f.select("fen", "correct_move", joined("legal_moves").alias("legal_moves"), "side_to_move", "puzzle_id",
                     "rating", joined("themes").alias("themes"))
 
@@ -443,7 +450,7 @@ UNION ALL SELECT 'move_count_histogram', CAST(n AS VARCHAR), count(*) FROM n GRO
 """))
 def q_stats_sidecar(spark, sf):
     """The JSON document of one extraction run, taken apart again: part, key, value."""
-    doc = profile.stats_sidecar(_checked(spark, sf), F.col("ok")).select(F.from_json("stats_json", _SIDECAR).alias("j")).select("j.*")
+    doc = profile.stats_sidecar(_checked(spark, sf)[0], F.col("ok")).select(F.from_json("stats_json", _SIDECAR).alias("j")).select("j.*")
 
     def entry(part: str, key, value):
         return F.struct(F.lit(part).alias("part"), key.alias("key"), F.round(value.cast("double"), 6).alias("value"))

@@ -162,3 +162,27 @@ def test_checkpoint_dir_keeps_configured_folder(spark):
     from seqforge.session import checkpoint_dir
     first = checkpoint_dir(spark)
     assert first and checkpoint_dir(spark) == first   # an existing setting is read, never replaced
+
+
+def test_puzzle_plies_join_their_candidates(spark):
+    """More rules than one map may hold: no puzzle's row is given the candidates of its states; plies of repeated puzzles and
+    of states without a rule keep their rows."""
+    from seqforge.operators import examples
+    n = sequences.SMALL // 2 + 5
+    rules = spark.range(n).select((F.col("id") % 2).cast("int").alias("state"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("action"),
+                                  F.lit(1).alias("next_state"))
+    rules = rules.unionByName(rules.where("state = 1").withColumn("state", F.lit(2))).unionByName(rules.withColumn("state", F.lit(3)))
+    rows = [("a", 0, ["m0", "m1", "m3"]), ("b", 2, ["m1", "m5", "m7"]), ("c", 0, ["m1"]), ("d", 9, [])]
+    p = spark.createDataFrame([(k, s, "x w - -", v, 1, ["t"], "u", []) for k, s, v in rows],
+                              "puzzle_id string, start_state int, fen string, moves array<string>, rating int, themes array<string>, "
+                              "game_url string, opening_tags array<string>")
+    checked = examples.check_puzzles(p, rules, cands=False)
+    assert "cands" not in checked.columns and rules.count() > sequences.SMALL
+    cols = ["metadata.puzzle_id", "metadata.move_number", "input.fen", "input.legal_moves", "output.move"]
+    got = sorted(tuple(r) for r in examples.puzzle_examples(checked, rules=rules).select(*cols).collect())
+    assert got == sorted(tuple(r) for r in examples.puzzle_examples(examples.check_puzzles(p, rules)).select(*cols).collect())
+    odd = sorted(f"m{k}" for k in range(1, n, 2))
+    assert [(r[0], r[1], r[2], r[4]) for r in got] == [("a", 1, "0", "m0"), ("a", 3, "1", "m3"), ("b", 1, "2", "m1"), ("b", 3, "1", "m7")]
+    assert all(r[3] == (sorted(f"m{k}" for k in range(0, n, 2)) if r[2] == "0" else odd) for r in got)
+    lone = checked.where("puzzle_id = 'a'").withColumn("states", F.array(*map(F.lit, (7, 1, 1))))
+    assert [len(r["legal_moves"]) for r in examples.puzzle_examples(lone, rules=rules).select("input.legal_moves").collect()] == [0, len(odd)]
