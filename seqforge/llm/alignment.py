@@ -2,7 +2,7 @@
 
 1. A task encodes the texts of a block (up to ``BYTES``) with both tokenizers. Everything after that is Arrow: id lists are
    flattened, their parent indices name the document, cumulative sums of the tokens' bytes, taken off at each document's
-   start, give the ends, and an Acero hash join of both sides' (document, end) keys gives the cuts. A token's group is the
+   start, give the ends, and one search of a side's ascending (document, end) keys in the other's gives the cuts. A token's group is the
    first cut at or after its end. Of each kind of group (the same ids) one is taken: both sides' distinct ids, with how often
    they occur, are joined on the kind: its links. ``Table.group_by`` counts the kinds per document, adds up the links per
    document and pair, and counts each pair's documents in the block.
@@ -135,6 +135,19 @@ def ends(ids: pa.Array, names: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     return flat, doc, pc.add(pc.shift_left(doc, 32), pc.subtract(upto, before.take(doc)))
 
 
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that both ascending arrays hold (as often as an inner join gives them), and each key's place: the number of
+    cuts before it."""
+    at = np.searchsorted(b, a)
+    hit = b[np.minimum(at, len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
+    if (a[1:] == a[:-1]).any() or (b[1:] == b[:-1]).any():      # tokens without bytes
+        cuts = np.repeat(a[hit], np.searchsorted(b, a[hit], "right") - at[hit])
+        return cuts, np.searchsorted(cuts, a), np.searchsorted(cuts, b)
+    hit_b = np.zeros(len(b), bool)
+    hit_b[at[hit]] = True
+    return a[hit], np.cumsum(hit) - hit, np.cumsum(hit_b) - hit_b
+
+
 def align(texts: pa.Array, both: Pair) -> tuple[dict, pa.Table]:
     """Of texts without nulls: the documents' columns, and their links (doc, pair, n), pair = A id << 32 | B id."""
     wanted = pc.cast(after_space(texts), pa.large_binary())
@@ -144,10 +157,8 @@ def align(texts: pa.Array, both: Pair) -> tuple[dict, pa.Table]:
         a, b = (lists(pc.list_flatten(x.filter(exact)), pc.if_else(exact, pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)) for x in (a, b))
     flat_a, doc_a, key_a = ends(a, both.bytes_a)
     flat_b, doc_b, key_b = ends(b, both.bytes_b)
-    cuts = table(key=key_a).join(table(key=key_b), "key", join_type="inner", use_threads=False).column("key")
-    cuts = np.sort(cuts.to_numpy())
+    cuts, group_a, group_b = common_ends(key_a.to_numpy(), key_b.to_numpy())
     cut_doc = cuts >> 32
-    group_a, group_b = np.searchsorted(cuts, key_a.to_numpy()), np.searchsorted(cuts, key_b.to_numpy())
     # Every group as text; equal groups have equal links, so one of each is joined.
     joined = [pc.binary_join(lists(pc.cast(flat, pa.large_string()), np.bincount(g, minlength=len(cuts))), _large(",")) for flat, g in ((flat_a, group_a), (flat_b, group_b))]
     told = pc.binary_join_element_wise(*joined, _large("|"))
