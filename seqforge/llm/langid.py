@@ -181,17 +181,19 @@ def fit(train: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, epochs: int =
     order = np.argsort(rows["unit"].to_numpy() * len(langs) % 1.0, kind="stable")   # mixed, the same every time
     at = rows["at"].combine_chunks()
     cut, at = at.offsets.to_numpy(), at.values.to_numpy()
-    x = rows["x"].combine_chunks().values.to_numpy().astype(np.float64)
+    x = rows["x"].combine_chunks().values.to_numpy()     # single precision: only a row at a time is widened
     y = np.array([langs.index(v) for v in rows["lang"].to_pylist()], np.int64)
+    del rows
+    pa.default_memory_pool().release_unused()
     keep = [int(i) for i in order if cut[i + 1] > cut[i]]
     calib, learn = keep[::5], [i for k, i in enumerate(keep) if k % 5] or keep
     model = Ftrl(len(langs))
     for _ in range(epochs):
         for i in learn:
             s = slice(cut[i], cut[i + 1])
-            model.learn(at[s], x[s], y[i])
+            model.learn(at[s], x[s].astype(np.float64), y[i])
     w = model.weights()
-    logits = np.array([x[cut[i]:cut[i + 1]] @ w[at[cut[i]:cut[i + 1]]] for i in calib]).reshape(-1, len(langs))
+    logits = np.array([x[cut[i]:cut[i + 1]].astype(np.float64) @ w[at[cut[i]:cut[i + 1]]] for i in calib]).reshape(-1, len(langs))
     return Model(langs, idf, w, temperature(logits, y[calib]))
 
 

@@ -83,3 +83,12 @@ def test_sample_is_bounded(spark):
     model = langid.fit(d, sample_per_lang=30)
     ok = langid.predict(d.select("doc_id", "text", "lang"), model, ("doc_id", "lang")).where(F.col("lang") == F.col("lang_pred")).count()
     assert ok > 560
+
+
+def test_sample_is_widened_a_row_at_a_time(spark, monkeypatch):
+    """The driver holds the sample in single precision and learns from rows of its own, not views of a widened copy."""
+    seen = []
+    learn = langid.Ftrl.learn
+    monkeypatch.setattr(langid.Ftrl, "learn", lambda self, at, x, y: (seen.append((x.dtype, x.base is None)), learn(self, at, x, y))[1])
+    langid.fit(docs(spark, invented()).select("text", "lang"), epochs=1)
+    assert seen and all(kind == np.float64 and own for kind, own in seen)
